@@ -1,6 +1,6 @@
 """The registered queries of the engine."""
 
-from . import looming
+from . import evaluation, events, looming
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "looming"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "events", "looming"]

@@ -44,10 +44,10 @@ _V4 = ops.VARIANTS[4]
 _CANDIDATES = f"WITH {sql.histories(12, False)}, {sql.candidates(_V4, (0,))}"
 
 
-@query("multiwindow_candidates", f"{_CANDIDATES} SELECT seq, start, back, ord AS cue, fit_points, round(slope, 5) AS slope, round(ttc, 5) AS ttc FROM cands")
+@query("multiwindow_candidates", f"{_CANDIDATES} SELECT seq, start, back, ord AS cue, fit_points, round(slope, 7) AS slope, round(ttc, 5) AS ttc FROM cands")
 def multiwindow_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ops.candidates(ops.histories(tracks(spark, sf_dir), _V4), _V4)
-    return found.select("seq", "start", "back", F.col("ord").alias("cue"), "fit_points", F.round("slope", 5).alias("slope"), F.round("ttc", 5).alias("ttc"))
+    return found.select("seq", "start", "back", F.col("ord").alias("cue"), "fit_points", F.round("slope", 7).alias("slope"), F.round("ttc", 5).alias("ttc"))
 
 
 @query("candidate_quantiles", f"{_CANDIDATES}, {sql.STATS} SELECT seq, start, n, max_fit, round(low, 5) AS low, round(q10, 5) AS q10, round(q25, 5) AS q25, round(q50, 5) AS q50, round(q75, 5) AS q75, round(q90, 5) AS q90, round(iqr, 5) AS iqr FROM stats")
