@@ -9,22 +9,30 @@ and 128 bits for sets: what could be wrong is below one in 10**10 per pair.
 Texts of equal sets form a class, and classes are joined:
 
 1. Of each set in hash order the first n - ceil(P n) + l elements are kept, l = n/20.
-   Linked sets share at least l of them.  Elements that only one text keeps drop
-   out; classes left with fewer than l have no link.  This removes most texts
+   Linked sets share at least the smaller l of the two, which is 0.85 n/20 at
+   least.  Elements that only one text keeps drop out; classes left with fewer than
+   that have no link.  This removes most texts
    after shuffling a fifth of all shingles once for counts and once to join them.
-2. Among the rest, each prefix is ordered by frequency, rarest first, and its
-   last l - 1 elements are dropped: linked sets still share an element.  The
-   classes that share an element form its group.
+2. Among the rest, each prefix is ordered by frequency, rarest first, and but one
+   of as many elements are dropped from its end: linked sets still share an
+   element.  The classes that share an element form its group; of groups with the
+   same members one is kept.
 3. In PIVOT_ROUNDS rounds every group compares one member, its pivot, with the
    others; members already known to be connected are left out.
 4. Groups that still hold several components compare all members outside the
    largest component with all members, in blocks of bounded size.
 
+Pairs are first compared on their prefixes: below the smaller of the prefixes'
+last hashes both sets are known in full, so elements of one that the other lacks
+there count against the differences that linked sets may have.  What passes is
+compared on whole sets:
+
 A block's sets are stored in a trie, ordered by frequency within the block, so
 that near copies share long paths.  A probe walks the trie once, carrying the
 overlap so far; a subtree is pruned when what remains of the probe and of the
 subtree's sets cannot reach the threshold.  A link within a known component
-isn't needed, so blocks report spanning links only.
+isn't needed, so blocks report spanning links only.  From step 2 on, 64 bits of
+its hash name a class.
 
 No group is gathered in one task: counts are combined before they are shuffled,
 joins on an element have the other side unique (AQE splits hot ones), and work
@@ -46,7 +54,7 @@ from .common import maybe_broadcast, small_batches, written
 
 SHINGLE = 4
 PERCENT = 85
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 3
 #: Sets, and elements, in a block.
 BLOCK_SETS = 256
 BLOCK_ELEMENTS = 400_000
@@ -191,9 +199,9 @@ def _linked(units: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Spanning links of one block: probes against stored sets."""
     sets = [np.array(x, dtype=np.int64).view(_U) for x in units["elements"]]
     keys, labels, probe = units["key"].tolist(), units["label"].tolist(), units["probe"].to_numpy(bool)
-    parent: dict[bytes, bytes] = {}
+    parent: dict[int, int] = {}
 
-    def find(x: bytes) -> bytes:
+    def find(x: int) -> int:
         while (above := parent.get(x, x)) != x:
             parent[x] = parent.get(above, above)
             x = above
@@ -209,12 +217,51 @@ def _linked(units: pd.DataFrame, percent: int) -> pd.DataFrame:
             if a != b:
                 parent[a] = b
                 out.append((keys[i], keys[k]))
-    return pd.DataFrame(out, columns=["a", "b"])
-
-
-def _verify(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links found in blocks: units has unit, probe, key and label."""
-    return units.join(sets, "key").groupBy("unit").applyInPandas(lambda df: _linked(df, percent), "a binary, b binary")
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _alike(units: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The pairs of one block, of probes and stored sets of different components,
+    whose prefixes allow a link."""
+    prefixes = [np.array(x, dtype=np.int64).view(_U) for x in units["elements"]]
+    keys, labels, sizes, probe = units["key"].to_numpy(), units["label"].to_numpy(), units["n"].to_numpy(), units["probe"].to_numpy(bool)
+    stored, out = np.flatnonzero(~probe), []
+    if len(stored):
+        elements, inverse = np.unique(np.concatenate([prefixes[k] for k in stored]), return_inverse=True)
+        counts = np.array([len(prefixes[k]) for k in stored])
+        owner = np.repeat(np.arange(len(stored)), counts)
+        last = np.array([prefixes[k][-1] for k in stored], dtype=_U)
+    for i in np.flatnonzero(probe) if len(stored) else ():
+        mine = prefixes[i]
+        member = np.zeros(len(elements), bool)
+        at = np.searchsorted(elements, mine)
+        at[at == len(elements)] = 0
+        member[at[elements[at] == mine]] = True
+        hit = owner[member[inverse]]
+        common = np.bincount(hit, minlength=len(stored))
+        upto = np.minimum(last, mine[-1])
+        ours = np.searchsorted(mine, upto, "right")
+        theirs = np.array([c if x <= mine[-1] else np.searchsorted(prefixes[k], mine[-1], "right") for c, x, k in zip(counts, last, stored, strict=True)])
+        both = sizes[i] + sizes[stored]
+        least = -(-percent * both // (100 + percent))
+        fits = (common > 0) & (ours - common <= sizes[i] - least) & (theirs - common <= sizes[stored] - least) & (labels[stored] != labels[i]) & (least <= np.minimum(sizes[i], sizes[stored]))
+        out += [(keys[i], labels[i], sizes[i], keys[k], labels[k], sizes[k]) for k in stored[fits]]
+    return pd.DataFrame(out, columns=["pivot", "pivot_label", "pivot_n", "key", "label", "n"], dtype="int64")
+
+
+_PAIR = "pivot bigint, pivot_label bigint, pivot_n bigint, key bigint, label bigint, n bigint"
+
+
+def _candidates(units: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that prefixes allow; units has unit, probe, key and label."""
+    rows = prefixes.join(maybe_broadcast(units, 96), "key").select("unit", "probe", "key", "label", "n", "elements")
+    return written(rows.groupBy("unit").applyInPandas(lambda df: _alike(df, percent), _PAIR).distinct(), "candidates")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the pairs."""
+    rows = sets.join(maybe_broadcast(_pair_units(pairs), 96), "key").select("unit", "probe", "key", "label", "elements")
+    return written(rows.groupBy("unit").applyInPandas(lambda df: _linked(df, percent), "a bigint, b bigint"), "links")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -243,25 +290,31 @@ def _blocks(count: Column, elements: Column) -> Column:
     return F.greatest(F.ceil(count / BLOCK_SETS), F.ceil(elements / BLOCK_ELEMENTS), F.lit(1)).cast("int")
 
 
-def _pivot_units(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks that hold each group's pivot against the others, and what is left of the groups."""
-    pivots = members.groupBy("token").agg(F.min(F.struct("key", "label", "n")).alias("p"))
-    pairs = members.join(pivots, "token").where(F.col("label") != F.col("p.label"))
-    n, m = F.col("n"), F.col("p.n")
-    fits = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.col("key") != F.col("p.key"))
-    pairs = written(pairs.where(fits).select(F.col("p.key").alias("pivot"), F.col("p.label").alias("pivot_label"), F.col("p.n").alias("pivot_n"), "key", "label", "n").distinct(), "pairs")
+def _pair_units(pairs: DataFrame) -> DataFrame:
+    """Blocks that hold each pivot as a probe and its partners as stored sets."""
     sizes = pairs.groupBy("pivot").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
-    dealt = pairs.join(sizes, "pivot").withColumn("unit", F.concat_ws(":", F.hex("pivot"), F.pmod(F.xxhash64("key"), F.col("blocks"))))
+    dealt = pairs.join(sizes, "pivot").withColumn("unit", F.concat_ws(":", "pivot", F.pmod(F.xxhash64("key"), F.col("blocks"))))
     stored = dealt.select("unit", F.lit(False).alias("probe"), "key", "label")
-    probes = dealt.select("unit", F.lit(True).alias("probe"), F.col("pivot").alias("key"), F.col("pivot_label").alias("label")).distinct()
+    return stored.unionByName(dealt.select("unit", F.lit(True).alias("probe"), F.col("pivot").alias("key"), F.col("pivot_label").alias("label")).distinct())
+
+
+def _pivot_pairs(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Each group's pivot with the others, every pair once, and what is left of the groups."""
+    pivots = members.groupBy("token").agg(F.min(F.struct("key", "label", "n")).alias("p"))
+    pairs = members.join(pivots, "token").where((F.col("label") != F.col("p.label")) & (F.col("key") != F.col("p.key")))
+    n, m = F.col("n"), F.col("p.n")
+    pairs = pairs.where(100 * F.least(n, m) >= percent * F.greatest(n, m))
+    pairs = written(pairs.select(F.col("p.key").alias("pivot"), F.col("p.label").alias("pivot_label"), F.col("p.n").alias("pivot_n"), "key", "label", "n").distinct(), "pairs")
     left = members.join(pivots.select("token", F.col("p.key").alias("pivot")), "token").where(F.col("key") != F.col("pivot")).select("token", "key", "n")
-    return stored.unionByName(probes), left
+    return pairs, left
 
 
-def _open_groups(members: DataFrame) -> DataFrame:
-    """Members of groups that hold several components."""
-    several = members.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    return members.join(several, "token", "left_semi")
+def _distinct_groups(members: DataFrame) -> DataFrame:
+    """Members of groups that hold several components, of groups with the same members one."""
+    sums = [F.sum(F.xxhash64("key", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in range(2)]
+    groups = members.groupBy("token").agg(F.count("*").alias("c"), *sums, F.min("label").alias("low"), F.max("label").alias("high"))
+    kept = groups.where("low <> high").groupBy("c", "h0", "h1").agg(F.min("token").alias("token")).select("token")
+    return members.join(kept, "token", "left_semi")
 
 
 def _rest_units(members: DataFrame) -> DataFrame:
@@ -279,16 +332,16 @@ def _rest_units(members: DataFrame) -> DataFrame:
     return stored.select(unit.alias("unit"), F.lit(False).alias("probe"), "key", "label").unionByName(probes.select(unit.alias("unit"), F.lit(True).alias("probe"), "key", "label"))
 
 
-def _groups(docs: DataFrame, found: DataFrame, classes: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Members (token, key, n) of candidate groups, and the sets (key, elements) they name."""
-    shared = F.greatest(F.lit(1), F.floor(F.col("n") / 20))
+def _groups(docs: DataFrame, found: DataFrame, classes: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (token, key, n) of candidate groups, and the prefixes and whole sets of their keys."""
+    shared = F.greatest(F.lit(1), F.floor(F.col("n") * percent / 2000))
     rows = found.where("n > 0").select("cid", F.explode("elements").alias("token"))
     repeated = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     hits = rows.join(repeated, "token", "left_semi").groupBy("cid").agg(F.count("*").alias("hits"))
     alive = written(classes.join(hits, "cid").where(F.col("hits") >= shared * F.col("copies")).select("key", "rep"), "alive")
 
     known = maybe_broadcast(alive, 64)
-    one = found.join(known, "key").where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["key"]).select("key", "rep", "n", "elements")
+    one = found.join(known, "key").where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["key"]).select(F.col("cid").alias("key"), "rep", "n", "elements")
     one = written(one, "prefixes")
     rows = one.select("key", "n", F.explode("elements").alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("df"))
@@ -296,15 +349,15 @@ def _groups(docs: DataFrame, found: DataFrame, classes: DataFrame, size: int, pe
     first = F.slice("all", F.lit(1), (F.size("all") - shared + 1).cast("int"))
     members = ordered.select("key", "n", F.explode(first).alias("e")).where("e.df > 1").select(F.col("e.token").alias("token"), "key", "n")
     members = written(members, "members")
-    groups = members.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("h"), F.min("key").alias("low"), F.max("key").alias("high")).where("c > 1")
-    kept = groups.groupBy("c", "h", "low", "high").agg(F.min("token").alias("token")).select("token")
-    members = written(members.join(kept, "token", "left_semi"), "members")
+    members = written(_distinct_groups(_labelled(members, None)), "members")
 
-    wanted = written(members.select("key").distinct().join(one.select("key", "rep"), "key"), "wanted")
-    ids = maybe_broadcast(wanted.select(F.col("rep").alias("rep")).distinct(), 16)
+    wanted = members.select("key").distinct()
+    ids = maybe_broadcast(written(wanted.join(one.select("key", "rep"), "key").select("rep").distinct(), "wanted"), 16)
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = _sets(texts, size, percent, whole=True).join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("key", "elements")
-    return members, written(sets, "sets")
+    # Rows that repeat an id may come along; they are looked up by key only.
+    sets = written(_sets(texts, size, percent, whole=True).where("n > 0").select(F.col("cid").alias("key"), "elements"), "sets")
+    prefixes = one.select("key", "n", "elements").join(maybe_broadcast(wanted, 16), "key", "left_semi")
+    return members, written(prefixes, "prefixes"), sets
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -314,7 +367,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     found = written(_sets(docs, size, percent, whole=False), "prefixes")
     classes = written(found.where("n > 0").groupBy("key").agg(F.min("cid").alias("cid"), F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    members, sets = _groups(docs, found, classes, size, percent)
+    members, prefixes, sets = _groups(docs, found, classes, size, percent)
 
     links, labels = None, None
     left = _labelled(members, None)
@@ -322,19 +375,21 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
         if left.isEmpty():
             break
         if k < PIVOT_ROUNDS:
-            units, left = _pivot_units(left, percent)
+            pairs, left = _pivot_pairs(left, percent)
+            units = _pair_units(pairs)
         else:
             units = _rest_units(left)
-        new = written(_verify(units, sets, percent), "links")
+        new = _verified(_candidates(units, prefixes, percent), sets, percent)
         links = new if links is None else links.unionByName(new)
         labels = connected(links)
         if k < PIVOT_ROUNDS:
-            left = written(_open_groups(_labelled(left, labels)), "open")
+            left = written(_distinct_groups(_labelled(left, labels)), "open")
 
     if labels is None:
         of_class = classes.select("key", F.col("rep").alias("component"))
     else:
-        rooted = classes.select("key", "rep").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        named = labels.withColumnRenamed("key", "cid")
+        rooted = classes.select("key", "cid", "rep").join(named, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
         roots = rooted.groupBy("label").agg(F.min("rep").alias("component"))
         of_class = rooted.join(roots, "label").select("key", "component")
     out = found.select("doc_id", "n", "key").join(of_class, "key", "left")
