@@ -16,16 +16,16 @@ Texts of equal sets form a class, and classes are joined:
 2. Among the rest, each prefix is ordered by frequency, rarest first, and but one
    of as many elements are dropped from its end: linked sets still share an
    element.  The classes that share an element form its group; of groups with the
-   same members one is kept.
+   same members one is kept, and groups with the same least member become one
+   where that saves comparisons.
 3. In PIVOT_ROUNDS rounds every group compares one member, its pivot, with the
-   others; members already known to be connected are left out.
+   others; members already known to be connected are left out.  Pairs are first
+   compared on their prefixes: below the smaller of the prefixes' last hashes both
+   sets are known in full, so elements of one that the other lacks there count
+   against the differences that linked sets may have.  What passes is compared on
+   whole sets.
 4. Groups that still hold several components compare all members outside the
-   largest component with all members, in blocks of bounded size.
-
-Pairs are first compared on their prefixes: below the smaller of the prefixes'
-last hashes both sets are known in full, so elements of one that the other lacks
-there count against the differences that linked sets may have.  What passes is
-compared on whole sets:
+   largest component with all members on whole sets, in blocks of bounded size.
 
 A block's sets are stored in a trie, ordered by frequency within the block, so
 that near copies share long paths.  A probe walks the trie once, carrying the
@@ -54,10 +54,10 @@ from .common import maybe_broadcast, small_batches, written
 
 SHINGLE = 4
 PERCENT = 85
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
 #: Sets, and elements, in a block.
-BLOCK_SETS = 256
-BLOCK_ELEMENTS = 400_000
+BLOCK_SETS = 1024
+BLOCK_ELEMENTS = 1_000_000
 
 _U = np.uint64
 _WEIGHTS = wordhash.mix(np.arange(11, 11 + 64, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
@@ -258,9 +258,9 @@ def _candidates(units: DataFrame, prefixes: DataFrame, percent: int) -> DataFram
     return written(rows.groupBy("unit").applyInPandas(lambda df: _alike(df, percent), _PAIR).distinct(), "candidates")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the pairs."""
-    rows = sets.join(maybe_broadcast(_pair_units(pairs), 96), "key").select("unit", "probe", "key", "label", "elements")
+def _verified(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Spanning links within each unit."""
+    rows = sets.join(maybe_broadcast(units, 96), "key").select("unit", "probe", "key", "label", "elements")
     return written(rows.groupBy("unit").applyInPandas(lambda df: _linked(df, percent), "a bigint, b bigint"), "links")
 
 
@@ -317,6 +317,20 @@ def _distinct_groups(members: DataFrame) -> DataFrame:
     return members.join(kept, "token", "left_semi")
 
 
+def _merged_groups(members: DataFrame) -> DataFrame:
+    """Groups of one least member become one, where comparing its members costs no
+    more than comparing those of each group: near copies share many elements, and
+    so would meet again and again."""
+    members = members.select("token", "key", "n", "label")
+    groups = members.groupBy("token").agg(F.count("*").alias("c"), F.min("key").alias("pivot"))
+    apart = groups.groupBy("pivot").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("apart"), F.count("*").alias("n_groups")).where("n_groups > 1")
+    met = members.join(groups.select("token", "pivot"), "token").select("pivot", "key").distinct().groupBy("pivot").agg(F.count("*").alias("u"))
+    cheaper = apart.join(met, "pivot").where("u * u <= apart").select("pivot")
+    renamed = groups.select("token", "pivot").join(cheaper, "pivot").select("token", F.xxhash64("pivot", F.lit("merged")).alias("merged"))
+    named = members.join(renamed, "token", "left").select(F.coalesce("merged", "token").alias("token"), F.col("merged").isNotNull().alias("m"), "key", "n", "label")
+    return named.where("not m").unionByName(named.where("m").distinct()).drop("m")
+
+
 def _rest_units(members: DataFrame) -> DataFrame:
     """Blocks that hold all members outside a group's largest component against all members."""
     largest = members.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("largest"))
@@ -350,6 +364,7 @@ def _groups(docs: DataFrame, found: DataFrame, classes: DataFrame, size: int, pe
     members = ordered.select("key", "n", F.explode(first).alias("e")).where("e.df > 1").select(F.col("e.token").alias("token"), "key", "n")
     members = written(members, "members")
     members = written(_distinct_groups(_labelled(members, None)), "members")
+    members = written(_merged_groups(members), "members")
 
     wanted = members.select("key").distinct()
     ids = maybe_broadcast(written(wanted.join(one.select("key", "rep"), "key").select("rep").distinct(), "wanted"), 16)
@@ -370,16 +385,16 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     members, prefixes, sets = _groups(docs, found, classes, size, percent)
 
     links, labels = None, None
-    left = _labelled(members, None)
+    left = members
     for k in range(PIVOT_ROUNDS + 1):
         if left.isEmpty():
             break
         if k < PIVOT_ROUNDS:
             pairs, left = _pivot_pairs(left, percent)
-            units = _pair_units(pairs)
+            units = _pair_units(_candidates(_pair_units(pairs), prefixes, percent))
         else:
-            units = _rest_units(left)
-        new = _verified(_candidates(units, prefixes, percent), sets, percent)
+            units = written(_rest_units(written(_merged_groups(left), "rest")), "units")
+        new = _verified(units, sets, percent)
         links = new if links is None else links.unionByName(new)
         labels = connected(links)
         if k < PIVOT_ROUNDS:
