@@ -47,6 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_files(df: DataFrame, rows: int, rows_each: int = 100_000) -> DataFrame:
+    """df of about so many rows in few partitions, one for each core at least, so
+    that a small table isn't written as one tiny file for each shuffle partition."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // rows_each))
+
+
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """True if df's rows, of row_bytes each, fit a broadcast."""
     return df.count() * row_bytes <= limit

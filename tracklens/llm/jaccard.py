@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import maybe_broadcast, small_batches, written
+from .common import few_files, maybe_broadcast, small_batches, written
 
 SHINGLE = 4
 PERCENT = 85
@@ -267,12 +267,15 @@ def _verified(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """(key, label): the least key of each node's component, from edges (a, b)."""
     both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("key"), F.least("a", "low").alias("label")), "labels")
+    n = both.count()
+    first = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("key"), F.least("a", "low").alias("label"))
+    labels = written(few_files(first, n), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["key"]).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, labels["key"] == near["a"]).select("key", F.col("label").alias("old"), F.least("label", "near").alias("via"))
         jump = labels.select(F.col("key").alias("via"), F.col("label").alias("far"))
-        after = written(lower.join(jump, "via", "left").select("key", "old", F.least("via", "far").alias("label")), "labels")
+        after = lower.join(jump, "via", "left").select("key", "old", F.least("via", "far").alias("label"))
+        after = written(few_files(after, n), "labels")
         labels = after.select("key", "label")
         if after.where(F.col("old") != F.col("label")).isEmpty():
             return labels
@@ -363,11 +366,11 @@ def _groups(docs: DataFrame, found: DataFrame, classes: DataFrame, size: int, pe
     first = F.slice("all", F.lit(1), (F.size("all") - shared + 1).cast("int"))
     members = ordered.select("key", "n", F.explode(first).alias("e")).where("e.df > 1").select(F.col("e.token").alias("token"), "key", "n")
     members = written(members, "members")
-    members = written(_distinct_groups(_labelled(members, None)), "members")
-    members = written(_merged_groups(members), "members")
+    members = written(few_files(_distinct_groups(_labelled(members, None)), members.count()), "members")
+    members = written(few_files(_merged_groups(members), members.count()), "members")
 
     wanted = members.select("key").distinct()
-    ids = maybe_broadcast(written(wanted.join(one.select("key", "rep"), "key").select("rep").distinct(), "wanted"), 16)
+    ids = maybe_broadcast(written(few_files(wanted.join(one.select("key", "rep"), "key").select("rep").distinct(), members.count()), "wanted"), 16)
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     # Rows that repeat an id may come along; they are looked up by key only.
     sets = written(_sets(texts, size, percent, whole=True).where("n > 0").select(F.col("cid").alias("key"), "elements"), "sets")
@@ -385,7 +388,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     members, prefixes, sets = _groups(docs, found, classes, size, percent)
 
     links, labels = None, None
-    left = members
+    left, n = members, members.count()
     for k in range(PIVOT_ROUNDS + 1):
         if left.isEmpty():
             break
@@ -393,12 +396,12 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
             pairs, left = _pivot_pairs(left, percent)
             units = _pair_units(_candidates(_pair_units(pairs), prefixes, percent))
         else:
-            units = written(_rest_units(written(_merged_groups(left), "rest")), "units")
+            units = written(_rest_units(written(few_files(_merged_groups(left), n), "rest")), "units")
         new = _verified(units, sets, percent)
         links = new if links is None else links.unionByName(new)
         labels = connected(links)
         if k < PIVOT_ROUNDS:
-            left = written(_distinct_groups(_labelled(left, labels)), "open")
+            left = written(few_files(_distinct_groups(_labelled(left, labels)), n), "open")
 
     if labels is None:
         of_class = classes.select("key", F.col("rep").alias("component"))
