@@ -252,21 +252,24 @@ def _alike(units: pd.DataFrame, percent: int) -> pd.DataFrame:
 _PAIR = "pivot bigint, pivot_label bigint, pivot_n bigint, key bigint, label bigint, n bigint"
 
 
-def _candidates(units: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+def _candidates(units: DataFrame, prefixes: DataFrame, percent: int, rows_about: int) -> DataFrame:
     """Pairs that prefixes allow; units has unit, probe, key and label."""
     rows = prefixes.join(maybe_broadcast(units, 96), "key").select("unit", "probe", "key", "label", "n", "elements")
-    return written(rows.groupBy("unit").applyInPandas(lambda df: _alike(df, percent), _PAIR).distinct(), "candidates")
+    pairs = rows.groupBy("unit").applyInPandas(lambda df: _alike(df, percent), _PAIR).distinct()
+    return written(few_files(pairs, rows_about, 20_000), "candidates")
 
 
-def _verified(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(units: DataFrame, sets: DataFrame, percent: int, rows_about: int) -> DataFrame:
     """Spanning links within each unit."""
     rows = sets.join(maybe_broadcast(units, 96), "key").select("unit", "probe", "key", "label", "elements")
-    return written(rows.groupBy("unit").applyInPandas(lambda df: _linked(df, percent), "a bigint, b bigint"), "links")
+    links = rows.groupBy("unit").applyInPandas(lambda df: _linked(df, percent), "a bigint, b bigint")
+    return written(few_files(links, rows_about, 20_000), "links")
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(key, label): the least key of each node's component, from edges (a, b)."""
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = written(few_files(both, 2 * edges.count()), "edges")
     n = both.count()
     first = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("key"), F.least("a", "low").alias("label"))
     labels = written(few_files(first, n), "labels")
@@ -301,13 +304,14 @@ def _pair_units(pairs: DataFrame) -> DataFrame:
     return stored.unionByName(dealt.select("unit", F.lit(True).alias("probe"), F.col("pivot").alias("key"), F.col("pivot_label").alias("label")).distinct())
 
 
-def _pivot_pairs(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _pivot_pairs(members: DataFrame, percent: int, rows_about: int) -> tuple[DataFrame, DataFrame]:
     """Each group's pivot with the others, every pair once, and what is left of the groups."""
     pivots = members.groupBy("token").agg(F.min(F.struct("key", "label", "n")).alias("p"))
     pairs = members.join(pivots, "token").where((F.col("label") != F.col("p.label")) & (F.col("key") != F.col("p.key")))
     n, m = F.col("n"), F.col("p.n")
     pairs = pairs.where(100 * F.least(n, m) >= percent * F.greatest(n, m))
-    pairs = written(pairs.select(F.col("p.key").alias("pivot"), F.col("p.label").alias("pivot_label"), F.col("p.n").alias("pivot_n"), "key", "label", "n").distinct(), "pairs")
+    pairs = pairs.select(F.col("p.key").alias("pivot"), F.col("p.label").alias("pivot_label"), F.col("p.n").alias("pivot_n"), "key", "label", "n").distinct()
+    pairs = written(few_files(pairs, rows_about), "pairs")
     left = members.join(pivots.select("token", F.col("p.key").alias("pivot")), "token").where(F.col("key") != F.col("pivot")).select("token", "key", "n")
     return pairs, left
 
@@ -355,11 +359,13 @@ def _groups(docs: DataFrame, found: DataFrame, classes: DataFrame, size: int, pe
     rows = found.where("n > 0").select("cid", F.explode("elements").alias("token"))
     repeated = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     hits = rows.join(repeated, "token", "left_semi").groupBy("cid").agg(F.count("*").alias("hits"))
-    alive = written(classes.join(hits, "cid").where(F.col("hits") >= shared * F.col("copies")).select("key", "rep"), "alive")
+    n_classes = classes.count()
+    alive = classes.join(hits, "cid").where(F.col("hits") >= shared * F.col("copies")).select("key", "rep")
+    alive = written(few_files(alive, n_classes), "alive")
 
     known = maybe_broadcast(alive, 64)
     one = found.join(known, "key").where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["key"]).select(F.col("cid").alias("key"), "rep", "n", "elements")
-    one = written(one, "prefixes")
+    one = written(few_files(one, n_classes, 10_000), "prefixes")
     rows = one.select("key", "n", F.explode("elements").alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("df"))
     ordered = rows.join(counts, "token").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
@@ -375,7 +381,7 @@ def _groups(docs: DataFrame, found: DataFrame, classes: DataFrame, size: int, pe
     # Rows that repeat an id may come along; they are looked up by key only.
     sets = written(_sets(texts, size, percent, whole=True).where("n > 0").select(F.col("cid").alias("key"), "elements"), "sets")
     prefixes = one.select("key", "n", "elements").join(maybe_broadcast(wanted, 16), "key", "left_semi")
-    return members, written(prefixes, "prefixes"), sets
+    return members, written(few_files(prefixes, n_classes, 10_000), "prefixes"), sets
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -384,7 +390,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     """
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     found = written(_sets(docs, size, percent, whole=False), "prefixes")
-    classes = written(found.where("n > 0").groupBy("key").agg(F.min("cid").alias("cid"), F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = found.where("n > 0").groupBy("key").agg(F.min("cid").alias("cid"), F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = written(few_files(classes, found.count()), "classes")
     members, prefixes, sets = _groups(docs, found, classes, size, percent)
 
     links, labels = None, None
@@ -393,11 +400,11 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
         if left.isEmpty():
             break
         if k < PIVOT_ROUNDS:
-            pairs, left = _pivot_pairs(left, percent)
-            units = _pair_units(_candidates(_pair_units(pairs), prefixes, percent))
+            pairs, left = _pivot_pairs(left, percent, n)
+            units = _pair_units(_candidates(_pair_units(pairs), prefixes, percent, n))
         else:
-            units = written(_rest_units(written(few_files(_merged_groups(left), n), "rest")), "units")
-        new = _verified(units, sets, percent)
+            units = written(few_files(_rest_units(written(few_files(_merged_groups(left), n), "rest")), n), "units")
+        new = _verified(units, sets, percent, n)
         links = new if links is None else links.unionByName(new)
         labels = connected(links)
         if k < PIVOT_ROUNDS:
