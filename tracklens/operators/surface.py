@@ -101,3 +101,35 @@ def weighted_fit(rows: DataFrame, group: list[str], x: Column, y: Column, w: Col
     spread = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("sw")
     slope = F.when((F.col("points") >= 2) & (F.col("sw") > 0) & (F.abs(spread) >= 1e-12), (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("sw")) / spread)
     return sums.withColumn("slope", slope).withColumn("icept", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("sw")).select(*group, "points", "slope", "icept")
+
+
+#: Gates of a cell's expansion cue, its share against the fallback.
+CUE_PIXELS, CUE_RADIUS, CUE_SLOPE, CUE_RANGE = 8, 3.0, 1.0, (0.05, 20.0)
+FALLBACK_SHARE = 0.35
+
+
+def expansion_cues(surface: DataFrame, cells: DataFrame, unit_us: float, k: int = 3, pixels: int = CUE_PIXELS) -> DataFrame:
+    """Per selected cell: a weighted fit of the pixels' distance from the box's
+    centre on their age, its status, and the time to contact it gives."""
+    h, w = F.col("ry1") - F.col("ry0"), F.col("rx1") - F.col("rx0")
+    rows = surface.withColumns({"row": _cell(F.col("y") - F.col("ry0"), h, k), "col": _cell(F.col("x") - F.col("rx0"), w, k)})
+    rows = rows.join(cells.select("seq", "idx", "row", "col", "conf"), ["seq", "idx", "row", "col"])
+    dx, dy = F.col("x") - (F.col("rx0") + F.col("rx1")) / 2, F.col("y") - (F.col("ry0") + F.col("ry1")) / 2
+    age = (F.col("last_us") - F.col("hi")) / F.lit(unit_us)
+    fits = weighted_fit(rows, ["seq", "idx", "row", "col", "conf"], age, F.sqrt(dx * dx + dy * dy), F.col("surface"))
+    ttc = F.col("icept") / F.col("slope")
+    status = (
+        F.when(F.col("points") < pixels, "TOO_FEW_PIXELS").when(F.col("slope").isNull(), "FIT_FAIL").when(F.col("icept") <= CUE_RADIUS, "RADIUS_TOO_SMALL").when(F.col("slope") <= CUE_SLOPE, "NON_POSITIVE_EXPANSION")
+        .when(~ttc.between(*CUE_RANGE), "TTC_OUT_OF_RANGE").otherwise("OK")
+    )
+    return fits.withColumn("status", status).withColumn("ttc", F.when(F.col("status") == "OK", ttc))
+
+
+def predict_from_cues(cues: DataFrame, fallback: DataFrame) -> DataFrame:
+    """ttc and status of each interval: the weighted median of its good cues
+    blended with the fallback, the fallback alone without a cue."""
+    weight = F.col("conf") * F.greatest(F.col("points"), F.lit(1))
+    median = weighted_median(cues.where("status = 'OK'").withColumn("weight", weight), ["seq", "idx"], "ttc", "weight")
+    both = fallback.join(median, ["seq", "idx"], "left")
+    blend = (1 - FALLBACK_SHARE) * F.col("median") + FALLBACK_SHARE * F.col("fallback")
+    return both.select("seq", "idx", F.coalesce(blend, "median", "fallback").alias("ttc"), F.when(F.col("median").isNotNull(), "OK").when(F.col("fallback").isNotNull(), "OK_FALLBACK").otherwise("NO_VALID_FEATURE").alias("status"))

@@ -1,6 +1,6 @@
 """The registered queries of the engine."""
 
-from . import evaluation, events, looming
+from . import cues, evaluation, events, features, looming, streams
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "events", "looming"]
+__all__ = ["ORACLES", "QUERIES", "cues", "evaluation", "events", "features", "looming", "streams"]

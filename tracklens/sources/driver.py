@@ -47,14 +47,18 @@ GROUND_TRUTH_SQL = """gt AS (SELECT m * 0.1::DOUBLE + 0.05::DOUBLE AS t, v FROM
   SELECT (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS m, avg(o_totalprice) / 50000 AS v FROM orders GROUP BY 1))"""
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, event_id, t_us, x, y, p on a 100 x 100 sensor."""
+def event_columns(rows: DataFrame) -> DataFrame:
+    """seq, event_id, t_us, x, y, p on a 100 x 100 sensor, of a batch or stream."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
+    return rows.select(
         F.col("user_id").alias("seq"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"), k.alias("x"), (F.floor("value") % 100).cast("int").alias("y"), F.col("event_type").isin("click", "purchase").cast("int").alias("p")
     )
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_columns(table(spark, sf_dir, "events"))
+
+
 EVENTS_SQL = """ev AS (SELECT user_id AS seq, event_id, epoch_us(ts) AS t_us, CAST(json_extract_string(props, '$.k') AS INTEGER) AS x,
   CAST(floor(value) AS BIGINT) % 100 AS y, CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END AS p FROM events)"""
 
