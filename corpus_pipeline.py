@@ -6,8 +6,8 @@ the columns of documents.
 
 1. language_id: drops texts without a letter, and those that no learned language
    explains better than the others.
-2. ngram_jaccard: keeps, of each group of near copies, the document of least id.
-   Rows of one repeated id count as one document; rows without id all stay.
+2. ngram_jaccard: keeps, of each group of near copies (SHINGLE-word shingles, PERCENT
+   of them shared; op2's query has its own bounds), the document of least id.  Rows of one repeated id count as one document; rows without id all stay.
 3. decontamination: drops documents that hold a benchmark item.
 4. byte_bpe: the token ids of what is left.
 """
@@ -23,6 +23,9 @@ from tracklens.llm.common import maybe_broadcast, table, written
 
 #: Share of the winner below which a language is not told.
 LEAST_SCORE = 0.35
+#: Words of a shingle and least Jaccard similarity of near copies.
+SHINGLE = 5
+PERCENT = 80
 
 ORACLE_SQL = None
 
@@ -34,7 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = written(jaccard.components(docs).select("doc_id", "component_id"), "components")
+    classes = written(jaccard.components(docs, size=SHINGLE, percent=PERCENT).select("doc_id", "component_id"), "components")
     gone = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(maybe_broadcast(gone, 16), "doc_id", "left_anti").select(*docs.columns)
     repeated = written(classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated")

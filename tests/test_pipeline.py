@@ -1,0 +1,16 @@
+"""The corpus pipeline's stages on small cases."""
+
+import pytest
+
+pytest.importorskip("public_tokenizers")
+
+import corpus_pipeline  # noqa: E402
+
+
+def test_ngram_jaccard_drops_near_copies_of_five_words_and_80_percent(spark):
+    words = [f"w{k}" for k in range(100)]
+    near = [*words[:30], "changed", *words[31:70], "too", *words[71:]]  # 86 / 106 = 0.81 at five words, 89 / 105 = 0.848 at four
+    far = [*words[:20], "a", *words[21:50], "b", *words[51:80], "c", *words[81:]]  # 81 / 111 = 0.73 at five words
+    texts = [words, near, [w + "x" for w in words], [w + "y" for w in words], [w + "y" for w in far]]
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 0) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.ngram_jaccard(spark, docs, "").collect()) == [0, 2, 3, 4]
