@@ -48,11 +48,13 @@ def stream_latest_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours that begin at every fiftieth event, joined as a second stream."""
     at = _folder(spark)
+    first, last = event_columns(table(spark, sf_dir, "events")).agg(F.min("t_us"), F.max("t_us")).first()
     left = event_stream(spark, sf_dir).withColumn("ts", F.timestamp_micros("t_us"))
     begins = event_stream(spark, sf_dir).where("event_id % 50 = 0").select("seq", F.col("event_id").alias("span"), F.timestamp_micros("t_us").alias("lo_ts"))
     spans = begins.withColumn("hi_ts", F.col("lo_ts") + F.expr("INTERVAL 1 HOUR"))
-    # One file is one batch here, so nothing is late; across files the slack bounds how far apart they may lie.
-    windows.follow(windows.interval_stream_join(left, spans).select("span", "event_id"), f"{at}/log", f"{at}/state")
+    # Each file is a batch, and files come in any order: with the table's time spread as slack no row is late.
+    slack = f"{((last or 0) - (first or 0)) // 1_000_000 + 1} seconds"
+    windows.follow(windows.interval_stream_join(left, spans, slack).select("span", "event_id"), f"{at}/log", f"{at}/state")
     return spark.read.parquet(f"{at}/log").groupBy("span").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
 
 

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+#: Longest piece of a span in a stream join's state.  Hours, as a day's length depends on the time zone.
+PIECE = "24 HOURS"
+
 
 def follow(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Run the stream over all there is now, appending to the log at path."""
@@ -54,13 +57,18 @@ def latest_pixels(events: DataFrame) -> DataFrame:
 def interval_stream_join(events: DataFrame, spans: DataFrame, slack: str = "10 minutes") -> DataFrame:
     """Two streams: events (seq, ts, ...) with the spans [lo_ts, hi_ts) they fall in.
 
-    Watermarks bound what either side keeps: an event waits for spans that begin
-    before it, a span for events until it ends.
+    Spans may be of any length.  They are cut into pieces of at most PIECE, so that
+    watermarks bound what either side keeps: an event waits for pieces that begin
+    before it, a piece for events until PIECE after its begin.  Rows more than
+    ``slack`` behind the latest are late and lost.
     """
     left = events.withWatermark("ts", slack).alias("e")
-    right = spans.withWatermark("lo_ts", slack).alias("s")
-    inside = (F.col("e.seq") == F.col("s.seq")) & (F.col("ts") >= F.col("lo_ts")) & (F.col("ts") < F.col("hi_ts"))
-    bounded = (F.col("ts") <= F.col("lo_ts") + F.expr("INTERVAL 1 DAY")) & inside
+    piece = F.expr(f"INTERVAL {PIECE}")
+    begins = F.filter(F.sequence("lo_ts", "hi_ts", piece), lambda t: t < F.col("hi_ts"))
+    cut = spans.where("lo_ts < hi_ts").withColumn("__lo", F.explode(begins)).withColumn("__hi", F.least("hi_ts", F.col("__lo") + piece))
+    right = cut.withWatermark("__lo", slack).alias("s")
+    inside = (F.col("e.seq") == F.col("s.seq")) & (F.col("ts") >= F.col("__lo")) & (F.col("ts") < F.col("__hi"))
+    bounded = (F.col("ts") <= F.col("__lo") + piece) & inside
     return left.join(right, bounded).select("e.*", *[F.col(f"s.{c}") for c in spans.columns if c != "seq"])
 
 
