@@ -16,7 +16,9 @@ have no detection, repeated rows are scanned alike.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import asdict, dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,7 +104,8 @@ GENERAL = [
 CONFIDENCE = {1: 1.0, 2: 0.95, 3: 0.9, 4: 0.75, 5: 0.5}
 BASE_CONFIDENCE = 0.9
 
-#: A text without any of these holds no signature; matched on words joined by one space.
+#: Words that most signatures hold; matched on words joined by one space.  ``gate``
+#: adds what the other signatures begin with.
 KEYWORDS = r"(?i)licen[cs]e|copyleft|public domain|creative commons|\bcc(?: by|0)|\b[al]?gpl|\bbsd|no attribution|rights reserved|proprietary and|permission (?:is|to)|redistribution and|provided as is"
 
 
@@ -115,21 +118,52 @@ class Rule:
     first: tuple[str, ...]
 
 
+def examples(pattern: str) -> list[str]:
+    """All texts that a signature matches; it may hold letters, [ab], (?:a|b c) and ?."""
+
+    def options(i: int) -> tuple[list[str], int]:
+        out, here = [], [""]
+        while i < len(pattern) and pattern[i] != ")":
+            if pattern[i] == "|":
+                out, here, i = out + here, [""], i + 1
+                continue
+            if pattern.startswith("(?:", i):
+                unit, i = options(i + 3)
+                i += 1
+            elif pattern[i] == "[":
+                end = pattern.index("]", i)
+                unit, i = list(pattern[i + 1 : end]), end + 1
+            else:
+                unit, i = [pattern[i]], i + 1
+            if pattern[i : i + 1] == "?":
+                unit, i = ["", *unit], i + 1
+            here = [x + y for x in here for y in unit]
+        return out + here, i
+
+    return options(0)[0]
+
+
 def _first_words(pattern: str) -> tuple[str, ...]:
-    """The words a signature can begin with: (?:a|b c) x, (?:a )?b and the like."""
-    if not pattern.startswith("(?:"):
-        return (pattern.split(" ")[0].split("(")[0],)
-    depth, end = 0, 0
-    for end, c in enumerate(pattern):
-        depth += (c == "(") - (c == ")")
-        if not depth:
-            break
-    found = [x for option in pattern[3:end].split("|") for x in _first_words(option.strip())]
-    return tuple(found) + (_first_words(pattern[end + 2 :].lstrip()) if pattern[end + 1 : end + 2] == "?" else ())
+    """The words a signature can begin with, joined forms as gplv3 included."""
+    return tuple(sorted({x.split(" ")[0] for x in examples(pattern)}))
+
+
+@lru_cache(maxsize=1)
+def gate() -> str:
+    """A text that this doesn't match holds none of the rules' signatures: KEYWORDS, and
+    the first two words of each signature, shortest first, that holds none so far."""
+    known, added = re.compile(KEYWORDS), {}
+    for text in sorted({x for _, name, _ in LICENSES for x in examples(name)} | {x for _, form, _ in GENERAL for x in examples(form)}, key=lambda x: (len(x), x)):
+        if not known.search(text) and not any(f" {x}" in f" {text}" for x in added):
+            added[" ".join(text.split(" ")[:2])] = None
+    return "|".join([KEYWORDS, *(rf"\b{x}" for x in added)])
 
 
 def rules() -> list[Rule]:
-    """All rules: five signatures for each license, then the general ones."""
+    """All rules: five signatures for each license, then the general ones.
+
+    Each holds the word license, a license's name or a general signature, as ``gate`` expects.
+    """
     out = []
     for label, name, short in LICENSES:
         forms = (
@@ -185,6 +219,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", table: list[Rule]
     A map over the scan: no shuffle.
     """
     by_word = _by_first_word(rules() if table is None else table)
+    keywords = gate() if table is None else "|".join([KEYWORDS, *(rf"\b{re.escape(x)}" for x in by_word)])
     most = max(map(len, by_word.values()), default=1)
     lookup = F.from_json(F.lit(json.dumps(by_word)), f"map<string,{_KIND}>")
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -192,7 +227,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", table: list[Rule]
     if clash:
         raise ValueError(f"reserved column names: {clash}")
     df = docs.select(*keep, words_joined(F.col(text)).alias("__joined"))
-    gated = F.when(F.col("__joined").rlike(KEYWORDS), F.split(F.translate("__joined", letters.upper(), letters), " "))
+    gated = F.when(F.col("__joined").rlike(keywords), F.split(F.translate("__joined", letters.upper(), letters), " "))
     df = df.select(*keep, _n_words(F.col("__joined")).alias("n_words"), gated.alias("__words"))
     words = F.col("__words")
     none = F.array().cast("array<struct<label:string,start:int>>")
