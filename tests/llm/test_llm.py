@@ -59,7 +59,7 @@ def test_word_hashes_do_not_depend_on_pieces():
     assert n == 4 and first.tolist() == [0, 2, 2, 2, 3] and hashes[0] == hashes[2] == whole[2][0] and hashes[1] == whole[2][1]
 
 
-def test_jaccard_against_brute_force(spark, docs, rows):
+def test_jaccard_against_brute_force(spark, docs, rows, monkeypatch):
     def shingles(text):
         words = re.findall(r"[^\x20\x09-\x0d]+", lower(text or ""))
         return {tuple(words[i : i + 4]) for i in range(len(words) - 3)} if len(words) > 3 else {tuple(words)} if words else set()
@@ -81,8 +81,9 @@ def test_jaccard_against_brute_force(spark, docs, rows):
         if r[0] is not None:
             least[find(i)] = min(r[0], least.get(find(i), r[0]))
     want = sorted((r[0] or -1, len(s), least.get(find(i), -1)) for i, (r, s) in enumerate(zip(rows, sets, strict=True)))
-    for rounds in (0, 3):
-        jaccard.PIVOT_ROUNDS = rounds
+    for rounds in (0, jaccard.PIVOT_ROUNDS, 3):
+        monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", rounds)
+        monkeypatch.setattr(jaccard, "HOT_ROWS", 2 if rounds else 1024)
         got = jaccard.components(docs).collect()
         assert sorted((x[0] or -1, x[1], -1 if x[2] is None else x[2]) for x in got) == want
     assert jaccard.components(docs.limit(0)).collect() == []
@@ -124,8 +125,47 @@ def test_decontamination(spark):
     texts = [f"Intro. {item.upper()}! tail", f"a {near} b", far, None, "", item[:30], " ".join([item] * 3)]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
     bench = spark.createDataFrame([(7, item), (7, item), (8, None), (9, "short one"), (None, item)], "item_id bigint, text string")
-    assert sorted(map(tuple, decontaminate.find(docs, bench).collect())) == [(0, 7, 0), (1, 7, 2), (6, 7, 0)]
-    assert sorted(r[0] for r in decontaminate.clean(docs, bench).collect()) == [2, 3, 4, 5]
+    assert sorted(map(tuple, decontaminate.find(docs, bench, min_words=6).collect())) == [(0, 7, 0), (1, 7, 2), (6, 7, 0)]
+    assert sorted(r[0] for r in decontaminate.clean(docs, bench, min_words=6).collect()) == [2, 3, 4, 5]
+    short = spark.createDataFrame([(9, "Seven words"), (10, "?!")], "item_id bigint, text string")
+    assert sorted(map(tuple, decontaminate.find(docs, short).collect())) == [(2, 9, 0)]
+
+
+def test_decontamination_against_brute_force(spark, monkeypatch):
+    r = random.Random(11)
+    items = [[r.choice("abcdefgh") for _ in range(n)] for n in (1, 3, 4, 5, 9, 14, 23)]
+    texts = []
+    for _ in range(60):
+        words = [r.choice("abcdefgh") for _ in range(r.randrange(0, 30))]
+        planted = list(r.choice(items))
+        for _ in range(r.randrange(0, 4)):
+            planted[r.randrange(len(planted))] = r.choice("abcxyz")
+        texts.append(words + planted + words[:5] if r.random() < 0.7 else words)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+
+    def least(item, text):
+        row = list(range(len(item) + 1))
+        best = row[-1]
+        for w in text:
+            new = [0]
+            for i, v in enumerate(item):
+                new.append(min(row[i] + (v != w), row[i + 1] + 1, new[i] + 1))
+            row, best = new, min(best, new[-1])
+        return best
+
+    want = {(i, j, d) for i, t in enumerate(texts) for j, item in enumerate(items) if (d := least(item, t)) <= len(item) // 5}
+    assert {tuple(x) for x in decontaminate.find(docs, bench).collect()} == want
+    kept = sorted(set(range(60)) - {i for i, _, _ in want})
+    for size in (decontaminate.BLOCK_BYTES, 16):  # one block, several
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert {tuple(x) for x in decontaminate.find(docs, bench).collect()} == want
+        assert sorted(x[0] for x in decontaminate.clean(docs, bench).collect()) == kept
+
+
+def test_decontamination_of_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a b c")] * 7, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "x y")], "item_id bigint, text string")
     assert decontaminate.clean(docs, bench.limit(0)).count() == 7 and decontaminate.find(docs.limit(0), bench).count() == 0
 
 
@@ -168,7 +208,7 @@ def test_html(spark):
 
 def test_fingerprints_against_plain_python(spark, docs, rows, tmp_path):
     got = queries.op7_fingerprints(spark, folder(spark, tmp_path, documents=docs)).collect()
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5((r[1] or "").encode()).hexdigest()))
     want, prints = [], {}
     for r, after in zip(order, [*order[1:], order[0]], strict=True):
         text, following = r[1] or "", after[1] or ""
@@ -184,11 +224,29 @@ def test_fingerprints_against_plain_python(spark, docs, rows, tmp_path):
     assert spotsigs.with_next(docs.limit(0)).collect() == []
 
 
-def test_signatures(spark):
-    texts = ["the river bank of green stone walls and so on", "river the", "no anchors here", "", "?!", "the the of a river flows"]
-    df = spotsigs.with_signatures(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "sigs")
-    sizes = [len(r["sigs"]) for r in df.collect()]
-    assert sizes == [5, 1, 2, 0, 1, 4] or sizes[3] == 0 and sizes[4] == 1 and sizes[0] >= 3
+def plain_signatures(text):
+    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    found = {
+        (w + " " + " ".join([x for x in words[i + 1 :] if x not in spotsigs.ANCHORS][: spotsigs.CHAIN])) for i, w in enumerate(words) if w in spotsigs.ANCHORS
+    } or ({" " + (" ".join(words) or text)} if text else set())
+    return sorted(hashlib.md5(x.encode()).hexdigest()[: spotsigs.DIGITS] for x in found)
+
+
+def test_signatures_and_likeness_against_plain_python(spark, rows):
+    texts = ["the river bank of green stone walls and so on", "river the", "no words", "", "?!", "the the of a to in for by river flows", "a " * 500 + "house door", *(r[1] or "" for r in rows)]
+    df = spotsigs.with_signatures(spark.createDataFrame([(a, b) for a, b in zip(texts, [*texts[1:], texts[0]], strict=True)], "a string, b string"), "a", "x")
+    df = spotsigs.with_signatures(df, "b", "y")
+    for r in df.select("*", spotsigs.likeness(F.col("x"), F.col("y")).alias("like"), spotsigs.is_near_copy(F.col("x"), F.col("y")).alias("near")).collect():
+        x, y = set(plain_signatures(r["a"])), set(plain_signatures(r["b"]))
+        like = len(x & y) / len(x | y) if x | y else 1.0
+        assert r["x"] == sorted(x) and r["like"] == pytest.approx(like) and r["near"] == (like >= spotsigs.SIMILAR)
+
+
+def test_next_rows_of_a_hot_key(spark):
+    rows = [(k % 3 if k % 3 else None, f"text {k}") for k in range(60)] + [(2, f"hot {k}") for k in range(200)]
+    got = {r["text"]: r["next_text"] for r in spotsigs.with_next(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).hexdigest()))
+    assert got == {a[1]: b[1] for a, b in zip(order, [*order[1:], order[0]], strict=True)}
 
 
 def test_language_id(spark, sf, docs, rows):
@@ -276,11 +334,48 @@ def test_urls(spark):
     assert got[8] == ("fan.org", "/fr/", None, "block") and got[9] == ("x.net", "", None, "allow") and got[10][2:] == ("com/en/", "block")
 
 
+def plain_ranks(edges, seeds):
+    """Personalised PageRank by power iteration; mass without a way out returns to the seeds."""
+    total = sum(seeds.values())
+    seeds = {h: x / total for h, x in seeds.items()}
+    hosts = set(seeds) | {x for e in edges for x in e[:2]}
+    out_of = {s: sum(n for x, _, n in edges if x == s) for s, _, _ in edges}
+    ranks = dict(seeds)
+    for _ in range(400):
+        lost = sum(r for h, r in ranks.items() if h not in out_of)
+        ranks = {h: seeds.get(h, 0) * (1 - linkgraph.DAMPING + linkgraph.DAMPING * lost) + linkgraph.DAMPING * sum(ranks.get(s, 0) * n / out_of[s] for s, d, n in edges if d == h) for h in hosts}
+    return ranks
+
+
 def test_page_rank_against_power_iteration(spark):
-    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 3)]
-    df = linkgraph.propagate(spark.createDataFrame(edges, "src string, dst string, n bigint"), spark.createDataFrame([("a", 3.0), ("b", 1.0)], "host string, mass double"))
-    out = dict.fromkeys("abc", 0.0) | {"a": 0.75, "b": 0.25}
-    total = {s: sum(n for x, _, n in edges if x == s) for s in "abc"}
-    for _ in range(linkgraph.ITERATIONS):
-        out = {h: (1 - linkgraph.DAMPING) * {"a": 0.75, "b": 0.25}.get(h, 0) + linkgraph.DAMPING * sum(out[s] * n / total[s] for s, d, n in edges if d == h) for h in "abc"}
-    assert {r["host"]: pytest.approx(r["rank"]) for r in df.collect()} == out
+    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 3), ("c", "sink", 2)]
+    chain = [(f"h{k}", f"h{k + 1}", 1) for k in range(30)]  # longer than a few rounds reach
+    df = linkgraph.propagate(
+        spark.createDataFrame([("x", *e) for e in edges] + [("y", *e) for e in chain], "walk string, src string, dst string, n bigint"),
+        spark.createDataFrame([("x", "a", 3.0), ("x", "b", 1.0), ("y", "h0", 2.0)], "walk string, host string, mass double"),
+    )
+    got = {(r["walk"], r["host"]): r["rank"] for r in df.collect()}
+    want = {("x", h): r for h, r in plain_ranks(edges, {"a": 3.0, "b": 1.0}).items()} | {("y", h): r for h, r in plain_ranks(chain, {"h0": 2.0}).items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= linkgraph.TOLERANCE for k in want)
+    assert sum(r for (w, _), r in got.items() if w == "x") == pytest.approx(1) and got["y", "h30"] > 0
+
+
+def test_url_verdicts_against_a_plain_graph(spark):
+    pages = [
+        (1, "https://example.com/en/71", "<a href='//friend.org/x'>a</a><img src=http://cdn.net/i>"), (2, "http://bad.example.com/en/8", "<a href='/in'>b</a>"), (3, "https://fan.info/fr/", "<a href=https://bad.example.com/q>"),
+        (4, "https://friend.org/fr/", ""), (5, "http://www.fan.info/x", None), (6, "http://lonely.info/", "<base href='http://friend.org/'>"), (7, "http://cdn.net/", "<link rel=canonical href=http://deep.a.cdn.net/>"), (8, "http://deep.a.cdn.net/fr", ""),
+    ]
+    edges = {}
+    for s, d, n in [("example.com", "friend.org", 1), ("example.com", "cdn.net", 1), ("fan.info", "bad.example.com", 1), ("lonely.info", "friend.org", 1), ("cdn.net", "deep.a.cdn.net", 1)] + [
+        e for a, b in [("bad.example.com", "example.com"), ("www.fan.info", "fan.info"), ("deep.a.cdn.net", "a.cdn.net"), ("a.cdn.net", "cdn.net")] for e in ((a, b, 1), (b, a, 1))
+    ]:
+        edges[s, d] = edges.get((s, d), 0) + n
+    edges = [(*e, n) for e, n in edges.items()]
+    trust, distrust = plain_ranks(edges, {"example.com": 1}), plain_ranks([(d, s, n) for s, d, n in edges], {"bad.example.com": 1})
+    out = linkgraph.judge(spark.createDataFrame(pages, "page_id bigint, url string, html string"), queries.URL_RULES).collect()
+    for r in out:
+        t, d = trust.get(r["host"], 0), distrust.get(r["host"], 0)
+        assert r["links"] > 0 and abs(r["trust"] - t) < 2e-3 and abs(r["distrust"] - d) < 2e-3
+        if r["rule"] is None:
+            assert r["verdict"] == ("block" if d > 0 and d >= t else "allow")
+    assert {r["verdict"] for r in out if r["rule"] is None} == {"allow", "block"}

@@ -6,8 +6,10 @@ at each position, the rank of the pair that starts there, and the position, so
 that the minimum is the leftmost one.  The root names the next merge, and a
 merge updates three leaves: the pair it removes, the pair that now starts at the
 merged part and the one before it.  A match of n bytes so takes O(n log n), however long it is.
+The leaves of up to WIDE positions are one node: short matches are a tree of one level.
 
-Null texts count as empty.  Ids are packed as little-endian uint32.
+Null texts count as empty, repeated rows are encoded alike; columns named __text or as
+one of RESULTS cannot be kept.  Ids are packed as little-endian uint32.
 """
 
 from __future__ import annotations
@@ -23,13 +25,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import reserved, small_batches
 
 #: Pre-tokens remembered by a Python worker; when full, it starts anew.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 #: Longer pre-tokens are encoded each time.
 CACHE_BYTES = 64
 
+#: The columns that ``encode`` adds.
+RESULTS = ("n_tokens", "ids_sha256", "decoded_sha256", "ids")
+
 _NONE = 1 << 62
 #: Children of a node of the segment tree: enough that most pre-tokens are one node.
 WIDE = 16
@@ -168,6 +173,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str
     package; texts that are null count as empty, repeated rows stay.  No
     shuffle: a map over the scan's partitions.
     """
+    reserved(keep, "__text", *RESULTS)
     small_batches(docs.sparkSession)
     source = docs.select(*keep, docs[text].alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]

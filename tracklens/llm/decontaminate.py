@@ -8,10 +8,14 @@ pieces; k edits leave one of them whole, so every match contains an exact hit of
 a piece.  Hits are found on rolling hashes of the text's words, and each is
 verified on the words around it with Myers' bit-parallel distance.
 
-Items of fewer than MIN_WORDS words say too little to convict a text, and match
-nothing; neither do null or empty texts.  The benchmark is read in blocks of about
-BLOCK_BYTES, so what goes to the executors at once is bounded; every block is
-held against all texts, in a map without a shuffle.
+Items of fewer than 1 / ERROR_SHARE words must be met exactly; ``min_words`` leaves
+out items of fewer words, by default none.  Items without a word, null or empty
+texts match nothing; equal items under one id count once, repeated documents each.
+
+The benchmark is read in blocks of about BLOCK_BYTES, one at a time: its items go to
+the driver and in the plan to the tasks, so both are bounded.  Every block reads all texts once, in
+a map without a shuffle; where there are several blocks, each one's result is written to the
+shared folder before the next begins.
 """
 
 from __future__ import annotations
@@ -25,10 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import small_batches
+from .common import small_batches, written
 
 ERROR_SHARE = 0.2
-MIN_WORDS = 6
 BLOCK_BYTES = 16 << 20
 _U = np.uint64
 _WEIGHTS = wordhash.mix(np.arange(1, 4097, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
@@ -76,7 +79,7 @@ class Matcher:
         pieces: dict[int, list[tuple[int, int, int]]] = {}
         for item_id, words in items:
             m = len(words)
-            if m < MIN_WORDS:
+            if not m:
                 continue
             k = math.floor(m * ERROR_SHARE)
             masks: dict[int, int] = {}
@@ -129,7 +132,7 @@ class Matcher:
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The benchmark's items (id, text) in blocks of bounded size."""
+    """The benchmark's items (id, text) in blocks of bounded size (or of one item)."""
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / BLOCK_BYTES))
@@ -138,11 +141,12 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
         yield sorted({(r[0], r[1].encode()) for r in rows if r[0] is not None})
 
 
-def _matcher(items: list[tuple[int, bytes]]) -> Matcher:
-    return Matcher([(i, wordhash.words_of(text, wordhash.PUNCT)[2]) for i, text in items])
+def _matcher(items: list[tuple[int, bytes]], min_words: int) -> Matcher:
+    words = ((i, wordhash.words_of(text, wordhash.PUNCT)[2]) for i, text in items)
+    return Matcher([(i, w) for i, w in words if len(w) >= min_words])
 
 
-def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 1) -> DataFrame:
     """doc_id, item_id, distance (in words) of every text that holds an item."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
@@ -150,28 +154,31 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     for items in blocks(benchmark):
 
         def batches(it: Iterable[pa.RecordBatch], items: list[tuple[int, bytes]] = items) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(items)
+            matcher = _matcher(items, min_words)
             for batch in it:
                 found = sorted(matcher.batch(batch.column(1)))
                 ids = batch.column(0).take(pa.array([x[0] for x in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int32())], names=["doc_id", "item_id", "distance"])
 
         part = source.mapInArrow(batches, f"doc_id {source.schema[0].dataType.simpleString()}, item_id bigint, distance int")
-        out = part if out is None else out.unionByName(part)
+        out = part if out is None else written(out.unionByName(part), "found")
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs whose text holds no item."""
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_words: int = 1) -> DataFrame:
+    """The rows of docs, with all their columns, whose text holds no item."""
     small_batches(docs.sparkSession)
-    at = docs.columns.index(text)
+    names = docs.columns
+    at = names.index(text)
+    out = None
     for items in blocks(benchmark):
 
         def batches(it: Iterable[pa.RecordBatch], items: list[tuple[int, bytes]] = items) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(items)
+            matcher = _matcher(items, min_words)
             for batch in it:
                 bad = {row for row, _, _ in matcher.batch(batch.column(at))}
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_())) if bad else batch
 
-        docs = docs.mapInArrow(batches, docs.schema)
-    return docs
+        rows = docs if out is None else written(out, "clean")
+        out = rows.mapInArrow(batches, docs.schema)
+    return out

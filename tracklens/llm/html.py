@@ -1,15 +1,19 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is read tag by tag into flat blocks of text.  Each block has its word
-count and link density, those of its neighbours, and what encloses it; a decision
-tree, grown from the small labelled table LABELLED, tells main text from the
-rest.  Head, scripts, styles, comments in the markup and form controls never
-become blocks.
+count and link density, those of the blocks before and after it, and what
+encloses it.  A decision tree, grown by Gini gain alone from the blocks of the
+labelled pages PAGES with their true neighbours, tells main text from the rest.
+Head, scripts, styles, comments in the markup and form controls never become
+blocks.
 
 Inside a block, character references are decoded and white space becomes one
 space; blocks without text vanish.  Null, empty and tag-free input is allowed
-(the latter is one block); unclosed and stray tags are tolerated.  Pages are
-read in one pass, in time linear in their length.
+(the latter is one block); unclosed and stray tags are tolerated.  A quoted
+attribute value may be of any length and hold any character; where a quote is
+never closed, tags end at the next > from there on.  Pages are read in one pass,
+in time linear in their length.  Repeated rows are extracted alike, each to its
+own row; columns named __html, text or n_chars cannot be kept.
 """
 
 from __future__ import annotations
@@ -23,11 +27,14 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import reserved, small_batches
 
-#: A comment, a tag (with quoted values, else up to the next >), a declaration, or a tag that the page's end cuts.
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]{0,256}\"|'[^']{0,256}')*+>|[^<>]*+>)|<[!?/][^<>]*>|<[a-zA-Z!?/][^<>]*\Z", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: What begins a comment, a tag or a declaration.
+_OPENING = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/<>]*)|[!?/])")
+#: The rest of a tag up to its >; a quoted value after = may hold anything.
+_REST = re.compile(r"(?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+")
+_PLAIN_REST = re.compile(r"[^<>]*+")
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea select option button title".split())  # noqa: SIM905
@@ -50,47 +57,45 @@ Features = tuple[float, ...]
 #: What the tree may ask of a block.
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "beside", "in_main", "page_has_main", "heading")
 
-#: Labelled blocks: words, link density, beside, in_main, page_has_main, heading, then 1 for main text.
-_SEEN = (
-    # Inside an article: running text, short paragraphs, headings, links.
-    (1, 0.0, 0, 1, 1, 0, 1),
-    (8, 0.0, 0, 1, 1, 1, 1),
-    (40, 0.1, 0, 1, 1, 0, 1),
-    (200, 0.0, 0, 1, 1, 0, 1),
-    (3, 1.0, 0, 1, 1, 0, 1),
-    (30, 0.6, 0, 1, 1, 0, 1),
-    # In menus, footers, sidebars, adverts, forms, comments; in the article or not.
-    (1, 1.0, 1, 0, 1, 0, 0),
-    (8, 0.0, 1, 0, 1, 0, 0),
-    (60, 0.0, 1, 0, 1, 0, 0),
-    (25, 0.0, 1, 1, 1, 0, 0),
-    (4, 0.5, 1, 1, 1, 1, 0),
-    (250, 0.0, 1, 1, 1, 0, 0),
-    (90, 0.0, 1, 0, 0, 0, 0),
-    (12, 1.0, 1, 0, 0, 0, 0),
-    (5, 0.0, 1, 0, 0, 1, 0),
-    # Beside the article of a page that has one.
-    (5, 0.0, 0, 0, 1, 0, 0),
-    (70, 0.0, 0, 0, 1, 0, 0),
-    (200, 0.0, 0, 0, 1, 0, 0),
-    (30, 0.9, 0, 0, 1, 0, 0),
-    (7, 0.0, 0, 0, 1, 1, 0),
-    # On a page without an article element: running text, and lists of links.
-    (1, 0.0, 0, 0, 0, 0, 1),
-    (7, 0.0, 0, 0, 0, 1, 1),
-    (35, 0.0, 0, 0, 0, 0, 1),
-    (80, 0.2, 0, 0, 0, 0, 1),
-    (220, 0.1, 0, 0, 0, 0, 1),
-    (2, 1.0, 0, 0, 0, 0, 0),
-    (12, 0.9, 0, 0, 0, 0, 0),
-    (30, 0.8, 0, 0, 0, 0, 0),
-    (6, 0.7, 0, 0, 0, 1, 0),
+#: The labelled table: pages of several shapes, their blocks in page order.  A block
+#: is its words, linked words and signs: + main text, b beside, m within an article
+#: or main element, h heading.
+PAGES = (
+    # A menu, an advert, an article, a footer.
+    "1/1b 1/1b 2/2b 1/1b 9/0b 8/0+mh 60/0+m 5/0+m 120/4+m 1/0+m 80/0+m 12/0b",
+    "2/2b 1/1b 60/0b 14/0+mh 14/0+m 300/0+m 2/0+m 90/0+m 6/0+m 45/0b",
+    "1/1b 3/0b 1/0+mh 1/0+m 7/0+m 9/9+m 4/0+m 1/0b",
+    # An article with adverts, a list of links and comments in it or after it.
+    "1/1b 1/1b 7/0+mh 40/0+m 25/0bm 70/2+m 10/10+m 3/3+m 8/1+m 4/4bm 30/0bm 250/0bm 2/2b",
+    "3/0bh 12/12b 6/0+mh 90/0+m 6/0+mh 30/18+m 55/0+m 80/0b 40/0b 90/0b 5/5b",
+    # An article beside blocks of no known name.
+    "4/0 1/1 1/1 6/0+mh 35/0+m 80/3+m 70/0 200/0 30/27 5/0h 9/9 9/0",
+    "70/0 8/0+mh 3/0+m 150/0+m 20/0+m 7/0h 40/0 60/0 5/0 2/0",
+    "20/0 5/5 9/0+mh 9/0+m 30/0+m 30/0 9/0 1/0",
+    # No article element: menus, running text, headings, lists of links, small print.
+    "1/1 2/2 1/1 7/0+h 35/0+ 80/16+ 4/0+ 220/20+ 60/0+ 3/3 2/0 4/4 2/2",
+    "2/2 1/0 3/3 1/1 10/0+h 120/0+ 1/0+ 55/5+ 6/0+h 90/0+ 12/11 30/24 1/1 3/0 2/2",
+    "5/5 2/0h 4/4 6/6 3/0h 2/2 3/3 1/0 5/5 40/0+ 30/6+ 9/9 1/0 1/1",
+    "7/0+h 1/0+ 3/0+ 2/0+ 8/0+ 5/0+",
+    "2/0+ 1/1 1/1 2/0h 4/4",
+    "5/0+ 12/2+ 40/4+ 6/5 1/1",
+    "1/1 90/0b 1/1 6/0+h 70/0+ 4/0+ 12/0b 5/0bh 6/6b",
+    "1/1 8/0b 250/0+ 60/0b 40/0+ 25/0b 9/0b",
+    "1/1 1/1 45/0+ 1/1 60/2+ 2/2 38/0+ 1/1 4/0 3/3",
+    "3/3 2/0 3/3 30/0+ 2/2 5/0 2/2 26/1+ 1/1",
+    "12/0+",
 )
-#: Neighbours (words, link density) among which each of those was seen.
-_NEIGHBOURS = ((0, 0.0), (4, 0.0), (90, 0.0), (300, 0.0))
-#: On a page without an article element: a caption between links, with its neighbours.
-_BETWEEN_LINKS = tuple((words, 0.0, before, 1.0, after, 1.0, 0, 0, 0, heading, 0) for words in (1, 3) for heading in (0, 1) for before in (1, 4) for after in (1, 4))
-LABELLED: tuple[tuple[float, ...], ...] = _BETWEEN_LINKS + tuple((w, d, *before, *after, beside, main, has_main, heading, label) for w, d, beside, main, has_main, heading, label in _SEEN for before in _NEIGHBOURS for after in _NEIGHBOURS)
+
+
+def labelled(pages: tuple[str, ...] = PAGES) -> list[tuple[float, ...]]:
+    """Features and label (1: main text) of every block of labelled pages."""
+    out = []
+    for page in pages:
+        read = [re.fullmatch(r"(\d+)/(\d+)(\D*)", x).groups() for x in page.split(" ")]
+        found = [Block("", int(words), int(linked), "b" in signs, "m" in signs, "h" in signs) for words, linked, signs in read]
+        out += [(*f, float("+" in signs)) for f, (_, _, signs) in zip(features(found), read, strict=True)]
+    return out
+
 
 @dataclass(frozen=True)
 class Node:
@@ -101,40 +106,33 @@ class Node:
     label: int = 0
 
 
-def grow(rows: tuple[tuple[float, ...], ...]) -> Node:
-    """A decision tree by greatest Gini gain; ties go to the earliest of SPLIT_ORDER."""
-    labels = [int(r[-1]) for r in rows]
-    share = sum(labels) / max(1, len(rows))
-    if share in (0.0, 1.0) or not rows:
-        return Node(label=round(share))
+def grow(rows: list[tuple[float, ...]]) -> Node:
+    """A decision tree by greatest Gini gain; ties go to the first of FEATURES."""
+    share = sum(r[-1] for r in rows) / max(1, len(rows))
     gini = lambda part: (p := sum(r[-1] for r in part) / len(part)) * (1 - p) * len(part)
     best = None
-    for feature in SPLIT_ORDER:
+    for feature in range(len(FEATURES)) if 0 < share < 1 else ():
         values = sorted({r[feature] for r in rows})
         for low, high in zip(values, values[1:], strict=False):
             bound = (low + high) / 2
             left, right = [r for r in rows if r[feature] < bound], [r for r in rows if r[feature] >= bound]
             cost = gini(left) + gini(right)
             if best is None or cost < best[0] - 1e-12:
-                best = (cost, feature, bound, tuple(left), tuple(right))
+                best = (cost, feature, bound, left, right)
     if best is None:
         return Node(label=round(share))
     _, feature, bound, left, right = best
     return Node(feature, bound, grow(left), grow(right))
 
 
-#: Enclosure first, then link densities, then word counts.
-SPLIT_ORDER = (6, 7, 8, 1, 3, 5, 0, 2, 4, 9)
-
-
 @lru_cache(maxsize=1)
 def tree() -> Node:
-    return grow(LABELLED)
+    return grow(labelled())
 
 
-def is_main(features: Features, node: Node) -> bool:
+def is_main(block: Features, node: Node) -> bool:
     while node.feature >= 0:
-        node = node.below if features[node.feature] < node.bound else node.above
+        node = node.below if block[node.feature] < node.bound else node.above
     return bool(node.label)
 
 
@@ -152,6 +150,17 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+def features(found: list[Block]) -> Iterator[Features]:
+    """FEATURES of each block of a page; where a neighbour lacks, it has no words and no links."""
+    none = Block("", 0, 0, False, False, False)
+    has_main = float(any(b.in_main for b in found))
+    for before, b, after in zip([none, *found], found, [*found[1:], none], strict=False):
+        yield (
+            float(b.words), b.density, float(before.words), before.density, float(after.words), after.density,
+            float(b.beside), float(b.in_main), has_main, float(b.heading),
+        )
+
+
 class _Open:
     """The open elements that matter, and how many of them are beside or main."""
 
@@ -213,23 +222,39 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(text, n, min(n, linked), opened.beside > 0, opened.main > 0, heading))
         parts.clear()
 
-    at = 0
-    while match := _TAG.search(page, at):
-        if match.start() > at:
-            parts.append((page[at : match.start()], in_link))
-        at = match.end()
-        name, closing = (match[2] or "").lower(), bool(match[1])
+    at = text_from = 0
+    broken = False  # a quote was found that isn't closed
+    while match := _OPENING.search(page, at):
+        begin, at = match.start(), match.end()
+        name, closing, rest = (match[3] or "").lower(), bool(match[2]), ""
+        if match[1]:
+            end = page.find("-->", at - 2 if page.startswith("<!-->", begin) else at)
+            end = len(page) if end < 0 else end + 3
+        else:
+            end = at if broken or not name else _REST.match(page, at).end()
+            if broken or page[end : end + 1] != ">":
+                broken = broken or "<" in page[at:end]
+                end = _PLAIN_REST.match(page, at).end()
+            if page[end : end + 1] == "<":  # no tag after all
+                continue
+            if end == len(page):
+                name = ""
+            end = min(len(page), end + 1)
+            rest = page[at:end]
+        if begin > text_from:
+            parts.append((page[text_from:begin], in_link))
+        at = text_from = end
         if not name:
             continue
         if name in RAW:
-            if not closing and not match[3].endswith("/>"):
+            if not closing and not rest.endswith("/>"):
                 close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 if close is not None:
-                    at = close.end()
+                    at = text_from = close.end()
                     continue
                 unclosed.add(name)
                 if name in ("script", "style", "textarea", "title"):
-                    at = len(page)
+                    at = text_from = len(page)
             continue
         if name == "a":
             in_link = not closing
@@ -244,10 +269,10 @@ def blocks(page: str) -> list[Block]:
             opened.close(name)
         elif name != "hr":
             opened.imply_end(name)
-            beside, main = _role(name, match[3], opened.main > 0)
+            beside, main = _role(name, rest, opened.main > 0)
             if beside or main or name in _CONTAINERS:
                 opened.push(name, beside, main)
-    parts.append((page[at:], in_link))
+    parts.append((page[text_from:], in_link))
     flush()
     return out
 
@@ -258,25 +283,13 @@ _CONTAINERS = frozenset("div section article main header footer nav aside form u
 
 def main_text(page: str | None) -> str:
     """The main text of a page: its blocks joined by an empty line."""
-    found = blocks(page or "")
-    has_main = float(any(b.in_main for b in found))
-    root = tree()
-    out = []
-    for k, b in enumerate(found):
-        before, after = found[k - 1] if k else None, found[k + 1] if k + 1 < len(found) else None
-        features = (
-            float(b.words), b.density,
-            float(before.words) if before else 0.0, before.density if before else 0.0,
-            float(after.words) if after else 0.0, after.density if after else 0.0,
-            float(b.beside), float(b.in_main), has_main, float(b.heading),
-        )
-        if is_main(features, root):
-            out.append(b.text)
-    return "\n\n".join(out)
+    found, root = blocks(page or ""), tree()
+    return "\n\n".join(b.text for b, f in zip(found, features(found), strict=True) if is_main(f, root))
 
 
 def extract(pages: DataFrame, keep: list[str], column: str = "html") -> DataFrame:
     """pages' columns ``keep`` plus text and n_chars.  A map over the scan, without a shuffle."""
+    reserved(keep, "__html", "text", "n_chars")
     small_batches(pages.sparkSession)
 
     def batches(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

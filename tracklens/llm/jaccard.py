@@ -35,8 +35,11 @@ isn't needed, so blocks report spanning links only.  From step 2 on, 64 bits of
 its hash name a class.
 
 No group is gathered in one task: counts are combined before they are shuffled,
-joins on an element have the other side unique (AQE splits hot ones), and work
-on groups is dealt by (group, block).
+joins on an element have the other side unique and deal hot elements by (element, salt), and
+work on groups is dealt by (group, block) over all shuffle partitions.
+
+Null ids are allowed; rows that repeat an id are classified each by its own text;
+columns other than key and text are not read.
 """
 
 from __future__ import annotations
@@ -50,7 +53,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import few_files, maybe_broadcast, small_batches, written
+from .common import few_files, gathered, maybe_broadcast, partitions, small_batches, written
 
 SHINGLE = 4
 PERCENT = 85
@@ -58,6 +61,8 @@ PIVOT_ROUNDS = 1
 #: Sets, and elements, in a block.
 BLOCK_SETS = 1024
 BLOCK_ELEMENTS = 1_000_000
+#: An element with more rows than this, and than a millionth of all, is dealt to several tasks.
+HOT_ROWS = 1024
 
 _U = np.uint64
 _WEIGHTS = wordhash.mix(np.arange(11, 11 + 64, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
@@ -252,18 +257,42 @@ def _alike(units: pd.DataFrame, percent: int) -> pd.DataFrame:
 _PAIR = "pivot bigint, pivot_label bigint, pivot_n bigint, key bigint, label bigint, n bigint"
 
 
+def _in_units(units: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The units' rows, dealt by unit over all shuffle partitions; units are written, so counted cheaply."""
+    return rows.join(maybe_broadcast(units, 96), "key").select(*columns).repartition(partitions(rows.sparkSession), "unit")
+
+
 def _candidates(units: DataFrame, prefixes: DataFrame, percent: int, rows_about: int) -> DataFrame:
     """Pairs that prefixes allow; units has unit, probe, key and label."""
-    rows = prefixes.join(maybe_broadcast(units, 96), "key").select("unit", "probe", "key", "label", "n", "elements")
+    rows = _in_units(units, prefixes, ["unit", "probe", "key", "label", "n", "elements"])
     pairs = rows.groupBy("unit").applyInPandas(lambda df: _alike(df, percent), _PAIR).distinct()
     return written(few_files(pairs, rows_about, 20_000), "candidates")
 
 
 def _verified(units: DataFrame, sets: DataFrame, percent: int, rows_about: int) -> DataFrame:
     """Spanning links within each unit."""
-    rows = sets.join(maybe_broadcast(units, 96), "key").select("unit", "probe", "key", "label", "elements")
+    rows = _in_units(units, sets, ["unit", "probe", "key", "label", "elements"])
     links = rows.groupBy("unit").applyInPandas(lambda df: _linked(df, percent), "a bigint, b bigint")
-    return written(few_files(links, rows_about, 20_000), "links")
+    return written(gathered(links, rows_about), "links")
+
+
+def _hot(rows: DataFrame, n: int) -> DataFrame | None:
+    """(token, salts): the tokens of more than HOT_ROWS and a millionth of the n rows,
+    a million at most, and into how many parts to deal them; None if there are none."""
+    most = max(HOT_ROWS, n // 1_000_000)
+    counted = rows.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > most)
+    hot = written(counted.select("token", F.ceil(F.col("c") / most).alias("salts")).coalesce(1), "hot")
+    return None if hot.isEmpty() else F.broadcast(hot)
+
+
+def _by_token(rows: DataFrame, unique: DataFrame, hot: DataFrame | None, how: str = "inner", spread: str = "key") -> DataFrame:
+    """rows joined with what is known of each token; the rows of a hot one go to several tasks."""
+    if hot is None:
+        return rows.join(unique, "token", how)
+    salts = F.coalesce("salts", F.lit(1).cast("bigint"))
+    left = rows.join(hot, "token", "left").withColumn("__salt", F.pmod(F.xxhash64(spread), salts)).drop("salts")
+    right = unique.join(hot, "token", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("salts")
+    return left.join(right, ["token", "__salt"], how).drop("__salt")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -296,56 +325,58 @@ def _blocks(count: Column, elements: Column) -> Column:
     return F.greatest(F.ceil(count / BLOCK_SETS), F.ceil(elements / BLOCK_ELEMENTS), F.lit(1)).cast("int")
 
 
-def _pair_units(pairs: DataFrame) -> DataFrame:
+def _pair_units(pairs: DataFrame, rows_about: int) -> DataFrame:
     """Blocks that hold each pivot as a probe and its partners as stored sets."""
-    sizes = pairs.groupBy("pivot").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
-    dealt = pairs.join(sizes, "pivot").withColumn("unit", F.concat_ws(":", "pivot", F.pmod(F.xxhash64("key"), F.col("blocks"))))
+    pairs = pairs.withColumnRenamed("pivot", "token")
+    sizes = pairs.groupBy("token").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    dealt = _by_token(pairs, sizes, _hot(pairs, rows_about)).withColumn("unit", F.concat_ws(":", "token", F.pmod(F.xxhash64("key"), F.col("blocks"))))
     stored = dealt.select("unit", F.lit(False).alias("probe"), "key", "label")
-    return stored.unionByName(dealt.select("unit", F.lit(True).alias("probe"), F.col("pivot").alias("key"), F.col("pivot_label").alias("label")).distinct())
+    return stored.unionByName(dealt.select("unit", F.lit(True).alias("probe"), F.col("token").alias("key"), F.col("pivot_label").alias("label")).distinct())
 
 
-def _pivot_pairs(members: DataFrame, percent: int, rows_about: int) -> tuple[DataFrame, DataFrame]:
+def _pivot_pairs(members: DataFrame, hot: DataFrame | None, percent: int, rows_about: int) -> tuple[DataFrame, DataFrame]:
     """Each group's pivot with the others, every pair once, and what is left of the groups."""
     pivots = members.groupBy("token").agg(F.min(F.struct("key", "label", "n")).alias("p"))
-    pairs = members.join(pivots, "token").where((F.col("label") != F.col("p.label")) & (F.col("key") != F.col("p.key")))
+    with_pivot = _by_token(members, pivots, hot)
+    pairs = with_pivot.where((F.col("label") != F.col("p.label")) & (F.col("key") != F.col("p.key")))
     n, m = F.col("n"), F.col("p.n")
     pairs = pairs.where(100 * F.least(n, m) >= percent * F.greatest(n, m))
     pairs = pairs.select(F.col("p.key").alias("pivot"), F.col("p.label").alias("pivot_label"), F.col("p.n").alias("pivot_n"), "key", "label", "n").distinct()
     pairs = written(few_files(pairs, rows_about), "pairs")
-    left = members.join(pivots.select("token", F.col("p.key").alias("pivot")), "token").where(F.col("key") != F.col("pivot")).select("token", "key", "n")
+    left = with_pivot.where(F.col("key") != F.col("p.key")).select("token", "key", "n")
     return pairs, left
 
 
-def _distinct_groups(members: DataFrame) -> DataFrame:
+def _distinct_groups(members: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Members of groups that hold several components, of groups with the same members one."""
     sums = [F.sum(F.xxhash64("key", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in range(2)]
     groups = members.groupBy("token").agg(F.count("*").alias("c"), *sums, F.min("label").alias("low"), F.max("label").alias("high"))
     kept = groups.where("low <> high").groupBy("c", "h0", "h1").agg(F.min("token").alias("token")).select("token")
-    return members.join(kept, "token", "left_semi")
+    return _by_token(members, kept, hot, "left_semi")
 
 
-def _merged_groups(members: DataFrame) -> DataFrame:
+def _merged_groups(members: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Groups of one least member become one, where comparing its members costs no
     more than comparing those of each group: near copies share many elements, and
     so would meet again and again."""
     members = members.select("token", "key", "n", "label")
     groups = members.groupBy("token").agg(F.count("*").alias("c"), F.min("key").alias("pivot"))
     apart = groups.groupBy("pivot").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("apart"), F.count("*").alias("n_groups")).where("n_groups > 1")
-    met = members.join(groups.select("token", "pivot"), "token").select("pivot", "key").distinct().groupBy("pivot").agg(F.count("*").alias("u"))
+    met = _by_token(members, groups.select("token", "pivot"), hot).select("pivot", "key").distinct().groupBy("pivot").agg(F.count("*").alias("u"))
     cheaper = apart.join(met, "pivot").where("u * u <= apart").select("pivot")
     renamed = groups.select("token", "pivot").join(cheaper, "pivot").select("token", F.xxhash64("pivot", F.lit("merged")).alias("merged"))
-    named = members.join(renamed, "token", "left").select(F.coalesce("merged", "token").alias("token"), F.col("merged").isNotNull().alias("m"), "key", "n", "label")
+    named = _by_token(members, renamed, hot, "left").select(F.coalesce("merged", "token").alias("token"), F.col("merged").isNotNull().alias("m"), "key", "n", "label")
     return named.where("not m").unionByName(named.where("m").distinct()).drop("m")
 
 
-def _rest_units(members: DataFrame) -> DataFrame:
+def _rest_units(members: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Blocks that hold all members outside a group's largest component against all members."""
     largest = members.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("largest"))
-    marked = members.join(largest, "token").withColumn("outside", F.col("label") != F.col("largest"))
-    sizes = marked.groupBy("token").agg(
-        _blocks(F.count("*"), F.sum("n")).alias("stored_blocks"), _blocks(F.count_if("outside"), F.sum(F.when(F.col("outside"), F.col("n")).otherwise(0))).alias("probe_blocks")
+    outside = F.col("label") != F.col("largest")
+    sizes = _by_token(members, largest, hot).groupBy("token", "largest").agg(
+        _blocks(F.count("*"), F.sum("n")).alias("stored_blocks"), _blocks(F.count_if(outside), F.sum(F.when(outside, F.col("n")).otherwise(0))).alias("probe_blocks")
     )
-    marked = marked.join(sizes, "token")
+    marked = _by_token(members, sizes, hot).withColumn("outside", outside)
     spot = F.xxhash64("key")
     stored = marked.withColumn("s", F.pmod(spot, F.col("stored_blocks"))).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("probe_blocks") - 1)))
     probes = marked.where("outside").withColumn("p", F.pmod(spot, F.col("probe_blocks"))).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("stored_blocks") - 1)))
@@ -357,8 +388,14 @@ def _groups(docs: DataFrame, found: DataFrame, classes: DataFrame, size: int, pe
     """Members (token, key, n) of candidate groups, and the prefixes and whole sets of their keys."""
     shared = F.greatest(F.lit(1), F.floor(F.col("n") * percent / 2000))
     rows = found.where("n > 0").select("cid", F.explode("elements").alias("token"))
-    repeated = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    hits = rows.join(repeated, "token", "left_semi").groupBy("cid").agg(F.count("*").alias("hits"))
+    # Hot tokens are counted where all rows are counted anyway.
+    counted = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    repeated = written(counted, "repeated")
+    n_rows = repeated.agg(F.sum("c")).first()[0] or 0
+    most = max(HOT_ROWS, n_rows // 1_000_000)
+    hot = written(repeated.where(F.col("c") > most).select("token", F.ceil(F.col("c") / most).alias("salts")).coalesce(1), "hot")
+    hot = None if hot.isEmpty() else F.broadcast(hot)
+    hits = _by_token(rows, repeated.select("token"), hot, "left_semi", "cid").groupBy("cid").agg(F.count("*").alias("hits"))
     n_classes = classes.count()
     alive = classes.join(hits, "cid").where(F.col("hits") >= shared * F.col("copies")).select("key", "rep")
     alive = written(few_files(alive, n_classes), "alive")
@@ -368,12 +405,12 @@ def _groups(docs: DataFrame, found: DataFrame, classes: DataFrame, size: int, pe
     one = written(few_files(one, n_classes, 10_000), "prefixes")
     rows = one.select("key", "n", F.explode("elements").alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = rows.join(counts, "token").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
+    ordered = _by_token(rows, counts, hot).groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))
     first = F.slice("all", F.lit(1), (F.size("all") - shared + 1).cast("int"))
     members = ordered.select("key", "n", F.explode(first).alias("e")).where("e.df > 1").select(F.col("e.token").alias("token"), "key", "n")
     members = written(members, "members")
-    members = written(few_files(_distinct_groups(_labelled(members, None)), members.count()), "members")
-    members = written(few_files(_merged_groups(members), members.count()), "members")
+    members = written(few_files(_distinct_groups(_labelled(members, None), hot), members.count()), "members")
+    members = written(few_files(_merged_groups(members, hot), members.count()), "members")
 
     wanted = members.select("key").distinct()
     ids = maybe_broadcast(written(few_files(wanted.join(one.select("key", "rep"), "key").select("rep").distinct(), members.count()), "wanted"), 16)
@@ -399,16 +436,19 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     for k in range(PIVOT_ROUNDS + 1):
         if left.isEmpty():
             break
+        hot = _hot(left, n)
         if k < PIVOT_ROUNDS:
-            pairs, left = _pivot_pairs(left, percent, n)
-            units = _pair_units(_candidates(_pair_units(pairs), prefixes, percent, n))
+            pairs, left = _pivot_pairs(left, hot, percent, n)
+            first = written(few_files(_pair_units(pairs, n), n), "units")
+            units = written(few_files(_pair_units(_candidates(first, prefixes, percent, n), n), n), "units")
         else:
-            units = written(few_files(_rest_units(written(few_files(_merged_groups(left), n), "rest")), n), "units")
+            rest = written(few_files(_merged_groups(left, hot), n), "rest")
+            units = written(few_files(_rest_units(rest, _hot(rest, n)), n), "units")
         new = _verified(units, sets, percent, n)
         links = new if links is None else links.unionByName(new)
         labels = connected(links)
         if k < PIVOT_ROUNDS:
-            left = written(few_files(_distinct_groups(_labelled(left, labels)), n), "open")
+            left = written(few_files(_distinct_groups(_labelled(left, labels), hot), n), "open")
 
     if labels is None:
         of_class = classes.select("key", F.col("rep").alias("component"))

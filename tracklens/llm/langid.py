@@ -1,7 +1,7 @@
 """Language identification: known words first, then ever shorter character n-grams.
 
-``fit`` counts the words of labelled texts per language, in Spark, and keeps the
-most frequent words and character n-grams.  A text's score for a language is the
+``fit`` counts the words of a bounded sample of labelled texts per language, in
+Spark; all words and character n-grams of the sample make up the model.  A text's score for a language is the
 sum, over its words, of
 
 * the word's log relative frequency in that language, if the word is known, else
@@ -12,7 +12,9 @@ Words are maximal runs of letters, lower-cased, framed by spaces for n-grams.
 Frequencies get add-half smoothing.  Equal scores go to the alphabetically first
 language.  ``score`` is the softmax share of the winner, over the scores divided
 by the square root of the number of words.  A text that is null or has no letter
-is ``und`` with score 0; without any labelled text every text is ``und``.
+is ``und`` with score 0; without any labelled text every text is ``und``.  Repeated
+rows are told alike, each to its own row; columns named __text, lang_pred or score
+cannot be kept.
 """
 
 from __future__ import annotations
@@ -27,13 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import reserved, small_batches
 
-#: About so many labelled texts are counted; beyond, a share chosen by a hash of their id.
-SAMPLE_TEXTS = 20_000
-#: Words and n-grams kept in the model, the most frequent over all languages.
-MODEL_WORDS = 60_000
-MODEL_GRAMS = 60_000
+#: About so many labelled texts are counted; beyond, a share chosen by a hash of id and text.
+SAMPLE_TEXTS = 4_000
+#: The broadcast model may be so large; a larger one is refused, not cut.
+MODEL_BYTES = 256 << 20
 MAX_GRAM = 4
 #: Log-probability lost with each shorter length of n-grams.
 STEP_PENALTY = 0.5
@@ -56,33 +57,40 @@ def _counted(labelled: DataFrame) -> DataFrame:
     return labelled.mapInPandas(words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _table(counts: DataFrame, key: str, limit: int, languages: list[str]) -> dict[str, list[float]]:
-    """Per-language log frequencies of the ``limit`` most frequent keys."""
+def _table(counts: DataFrame, key: str, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """The keys, numbered, and their log frequencies per language."""
     sums = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(languages)]
-    top = counts.groupBy(key).agg(*sums, F.sum("n").alias("all_n")).orderBy(F.desc("all_n"), key).limit(limit)
-    rows = top.toPandas()
+    table = counts.groupBy(key).agg(F.sum("n").alias("all_n"), *sums).persist()
+    try:
+        n, size = table.agg(F.count("*"), F.sum(F.octet_length(key))).first()
+        if (size or 0) + n * (100 + 4 * len(languages)) > MODEL_BYTES:
+            raise ValueError(f"a model of {n} keys is larger than MODEL_BYTES: take a smaller sample")
+        rows = table.toPandas().sort_values(key, ignore_index=True)
+    finally:
+        table.unpersist()
     each = rows[[f"l{i}" for i in range(len(languages))]].to_numpy(dtype=float)
     logs = np.log(each + 0.5) - np.log(each.sum(axis=0) + 0.5 * (len(rows) + 1))
-    return dict(zip(rows[key], logs.tolist(), strict=True))
+    return {k: i for i, k in enumerate(rows[key])}, logs.astype(np.float32)
 
 
 class Model:
-    """Languages and log frequencies; its size is bounded by the two limits."""
+    """Languages, and log frequencies of words and n-grams."""
 
-    def __init__(self, languages: list[str], words: dict[str, list[float]], grams: dict[str, list[float]]) -> None:
+    def __init__(self, languages: list[str], words: tuple[dict[str, int], np.ndarray], grams: tuple[dict[str, int], np.ndarray]) -> None:
         self.languages, self.words, self.grams = languages, words, grams
+        self._grams = dict(zip(grams[0], grams[1].tolist(), strict=True))
 
     def of_word(self, word: str) -> list[float]:
-        known = self.words.get(word)
+        at, logs = self.words
+        known = at.get(word)
         if known is not None:
-            return known
+            return logs[known].tolist()
         framed = f" {word} "
-        n = len(self.languages)
         for back, size in enumerate(range(min(MAX_GRAM, len(framed)), 0, -1)):
-            hits = [g for i in range(len(framed) - size + 1) if (g := self.grams.get(framed[i : i + size])) is not None]
+            hits = [g for i in range(len(framed) - size + 1) if (g := self._grams.get(framed[i : i + size])) is not None]
             if hits:
-                return [sum(h[k] for h in hits) / len(hits) - STEP_PENALTY * back for k in range(n)]
-        return [0.0] * n
+                return [sum(x) / len(hits) - STEP_PENALTY * back for x in zip(*hits, strict=True)]
+        return [0.0] * len(self.languages)
 
     def predict(self, text: str | None, cache: dict[str, list[float]]) -> tuple[str, float]:
         words = _WORD.findall((text or "").lower())
@@ -111,24 +119,24 @@ def fit(docs: DataFrame, training: Column, sample: int = SAMPLE_TEXTS, key: str
     """Learn from ``text`` and non-null ``lang`` of the rows where ``training``.
 
     ``sample`` bounds (about) how many labelled texts are counted: of N labelled
-    rows, those whose hashed id lies below sample / N of its range.  The number
-    of languages is taken to be small.
+    rows, those whose hash of id and text lies below sample / N of its range (rows
+    equal in both share their lot).  The number of languages is taken to be small.
     """
     labelled = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(key, "lang", "text")
     n = labelled.select(key).count()
     if n > sample:
-        labelled = labelled.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.lit(int(sample / n * (1 << 20))))
+        labelled = labelled.where(F.shiftrightunsigned(F.xxhash64(key, "text"), 1) < F.lit(max(1, sample * (1 << 63) // n)))
     spark = docs.sparkSession
     small_batches(spark)
     counts = _counted(labelled.select("lang", "text")).persist()
     try:
         languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
-        words = _table(counts, "word", MODEL_WORDS, languages)
+        words = _table(counts, "word", languages)
         framed = F.concat(F.lit(" "), "word", F.lit(" "))
         sizes = F.sequence(F.lit(1), F.least(F.lit(MAX_GRAM), F.length(framed)))
         grams = F.flatten(F.transform(sizes, lambda s: F.transform(F.sequence(F.lit(1), F.length(framed) - s + 1), lambda i: framed.substr(i, s))))
         by_gram = counts.select("lang", "n", F.explode(grams).alias("gram")).where(F.col("gram") != " ").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        return Model(languages, words, _table(by_gram, "gram", MODEL_GRAMS, languages))
+        return Model(languages, words, _table(by_gram, "gram", languages))
     finally:
         counts.unpersist()
 
@@ -136,8 +144,9 @@ def fit(docs: DataFrame, training: Column, sample: int = SAMPLE_TEXTS, key: str
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """docs' columns ``keep`` plus ``lang_pred`` and ``score``; only the text is
     looked at.  A map over the scan, without a shuffle; the model is broadcast,
-    its size bounded by MODEL_WORDS and MODEL_GRAMS.
+    its size checked against MODEL_BYTES when it was learned.
     """
+    reserved(keep, "__text", "lang_pred", "score")
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast((model.languages, model.words, model.grams))

@@ -23,6 +23,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import reserved
+
 #: Words of the longest signature that is looked for.
 WINDOW = 16
 
@@ -178,6 +180,14 @@ def rules() -> list[Rule]:
     return out
 
 
+def longest(table: list[Rule]) -> int:
+    """Words of the longest text that a rule can match, at most; ValueError if it has no bound."""
+    for rule in table:
+        if re.search(r"[*+{]", rule.pattern):
+            raise ValueError(f"{rule.rule}: a signature without repetitions is needed")
+    return max((rule.pattern.count(" ") + 1 for rule in table), default=1)
+
+
 _KIND = "array<struct<rule:string,label:string,priority:int,pattern:string>>"
 
 
@@ -219,13 +229,12 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", table: list[Rule]
     A map over the scan: no shuffle.
     """
     by_word = _by_first_word(rules() if table is None else table)
+    window_words = WINDOW if table is None else longest(table)
     keywords = gate() if table is None else "|".join([KEYWORDS, *(rf"\b{re.escape(x)}" for x in by_word)])
     most = max(map(len, by_word.values()), default=1)
     lookup = F.from_json(F.lit(json.dumps(by_word)), f"map<string,{_KIND}>")
     letters = "abcdefghijklmnopqrstuvwxyz"
-    clash = [c for c in ("__joined", "__words", "__found") if c in keep]
-    if clash:
-        raise ValueError(f"reserved column names: {clash}")
+    reserved(keep, "__joined", "__words", "__found", "n_words", "base", "detections", "labels", "score")
     df = docs.select(*keep, words_joined(F.col(text)).alias("__joined"))
     gated = F.when(F.col("__joined").rlike(keywords), F.split(F.translate("__joined", letters.upper(), letters), " "))
     df = df.select(*keep, _n_words(F.col("__joined")).alias("n_words"), gated.alias("__words"))
@@ -237,7 +246,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", table: list[Rule]
     base = F.concat(*[places(*x) for x in BASE_PHRASES.items()])
 
     def found_at(i: Column) -> Column:
-        window = F.array_join(F.slice(words, i + 1, WINDOW), " ")
+        window = F.array_join(F.slice(words, i + 1, window_words), " ")
         fits = F.filter(F.element_at(lookup, F.get(words, i)), lambda r: F.regexp_like(window, r["pattern"]))
 
         def detection(r: Column) -> Column:
@@ -256,8 +265,8 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", table: list[Rule]
         return F.struct(d["priority"], d["start"] + d["minus_end"], d["rule"])
 
     def alone(d: Column, i: Column) -> Column:
-        # What can contain d starts at most WINDOW words before it, or equals it.
-        near = F.slice(found, F.greatest(F.lit(1), i + 1 - WINDOW * most), F.lit(WINDOW * most + most))
+        # What can contain d starts at most window_words words before it, or equals it.
+        near = F.slice(found, F.greatest(F.lit(1), i + 1 - window_words * most), F.lit(window_words * most + most))
         inside = lambda e: (e["start"] <= d["start"]) & (e["minus_end"] <= d["minus_end"]) & (rank(e) < rank(d))
         return ~F.exists(near, inside)
 

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, jaccard, langid, licenses, linkgraph, spotsigs, wordpieces
+from . import bpe, chat, decontaminate, html, jaccard, langid, licenses, linkgraph, spotsigs, sql, wordpieces
 from .common import table
 
-try:
-    import public_tokenizers
-except ImportError:  # the vocabularies' path is then the caller's to give
-    public_tokenizers = None
-
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
@@ -64,6 +60,9 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
         spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        spotsigs.length_class(F.col("sigs")).alias("length_class"),
+        spotsigs.is_near_copy(F.col("sigs"), F.col("edited_sigs")).alias("copy_edited"),
+        spotsigs.is_near_copy(F.col("sigs"), F.col("next_sigs")).alias("copy_next"),
     )
 
 
@@ -107,4 +106,4 @@ QUERIES = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": sql.NGRAM_JACCARD, "op7_fingerprints": sql.FINGERPRINTS, "op9_chat_formatting": sql.CHAT_FORMATTING}

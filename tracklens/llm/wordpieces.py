@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import reserved, small_batches
 
 END = "</w>"
 WORD = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+")
@@ -121,7 +121,12 @@ class Counter:
 
 
 def count_tokens(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
-    """docs' columns ``keep`` plus n_words and n_tokens.  A map over the scan, without a shuffle."""
+    """docs' columns ``keep`` plus n_words and n_tokens.  A map over the scan, without a shuffle.
+
+    Null texts count as empty, repeated rows are counted alike; columns named __text, n_words or
+    n_tokens cannot be kept.
+    """
+    reserved(keep, "__text", "n_words", "n_tokens")
     small_batches(docs.sparkSession)
 
     def batches(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
