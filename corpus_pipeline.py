@@ -2,14 +2,17 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs.  All but the last return
-the columns of documents.
+the columns of documents, others that docs may have included.
 
-1. language_id: drops texts without a letter, and those that no learned language
+1. language_id: drops texts without a letter (null and empty ones, too), and those that no learned language
    explains better than the others.
 2. ngram_jaccard: keeps, of each group of near copies (SHINGLE-word shingles, PERCENT
-   of them shared; op2's query has its own bounds), the document of least id.  Rows of one repeated id count as one document; rows without id all stay.
+   of them shared; op2's query has its own bounds), the document of least id (null ids
+   come last; of one id the text of least hash; of rows equal in both the row of least hash).  Rows
+   that repeat an id with another text are documents of their own; texts without words all stay.
 3. decontamination: drops documents that hold a benchmark item.
-4. byte_bpe: the token ids of what is left.
+4. byte_bpe: the token ids of what is left, beside all columns but the text (and
+   columns that bear the name of a result).
 """
 
 from __future__ import annotations
@@ -30,21 +33,35 @@ PERCENT = 80
 ORACLE_SQL = None
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with its columns named by their place, so that none clashes with an operator's own, and the text's name."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{docs.columns.index('text')}"
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, ~langid.held_out())
-    told = langid.predict(docs, model, docs.columns)
-    return told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    numbered, text = _numbered(docs)
+    told = langid.predict(numbered, model, numbered.columns, text=text)
+    kept = told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*numbered.columns).toDF(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = written(jaccard.components(docs, size=SHINGLE, percent=PERCENT).select("doc_id", "component_id"), "components")
-    gone = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(maybe_broadcast(gone, 16), "doc_id", "left_anti").select(*docs.columns)
-    repeated = written(classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated")
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    # What tells a document: its id, or else the greatest number, and its text's hash.
+    named = docs.withColumn(row, F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text")))
+    classes = jaccard.components(named.select(row, "text"), key=row, size=SHINGLE, percent=PERCENT)
+    classes = written(classes.where("n_shingles > 0").select(F.col("doc_id").alias(row), "component_id"), "components")
+    gone = written(classes.where(F.col(row) != F.col("component_id")).select(row).distinct(), "gone")
+    kept = named.join(maybe_broadcast(gone, 48), row, "left_anti")
+    repeated = written(classes.where(F.col(row) == F.col("component_id")).groupBy(row).agg(F.count("*").alias("c")).where("c > 1").select(row), "repeated")
     if repeated.isEmpty():
-        return kept
-    ids = maybe_broadcast(repeated, 16)
-    return kept.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(ids, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+        return kept.select(*docs.columns)
+    repeated = maybe_broadcast(repeated, 48)
+    first = kept.join(repeated, row, "left_semi").groupBy(row).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("first"))
+    return kept.join(repeated, row, "left_anti").select(*docs.columns).unionByName(first.select("first.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +69,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keep = [c for c in ("doc_id", "lang", "source", "n_chars") if c in docs.columns]
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep, with_ids=True)
+    numbered, text = _numbered(docs)
+    keep = {f"c{i}": c for i, c in enumerate(docs.columns) if c not in ("text", *bpe.RESULTS)}
+    return bpe.encode(numbered, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, list(keep), text=text, with_ids=True).withColumnsRenamed(keep)
 
 
 STAGES = [("language_id", language_id), ("ngram_jaccard", ngram_jaccard), ("decontamination", decontamination), ("byte_bpe", byte_bpe)]
