@@ -33,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import maybe_broadcast, written
 
 DAMPING = 0.85
 #: Share of the walk that may be undelivered when the rounds end; each round delivers 1 - DAMPING of what is left.
@@ -119,7 +119,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     of_walk = [F.sum(F.when(F.col("walk") == w, F.col("rank"))).alias(w) for w in ("trust", "distrust")]
     degrees = forth.unionByName(back).select(F.col("src").alias("host"), F.lit(None).cast("string").alias("walk"), F.lit(None).cast("double").alias("rank"), "n")
     hosts = ranks.withColumn("n", F.lit(0).cast("bigint")).unionByName(degrees).groupBy("host").agg(*of_walk, F.sum("n").alias("links"))
-    out = urls.join(hosts, "host", "left").fillna(0, ["trust", "distrust", "links"])
+    out = urls.join(maybe_broadcast(written(hosts, "hosts"), 128), "host", "left").fillna(0, ["trust", "distrust", "links"])
     blocked = (F.col("distrust") > 0) & (F.col("distrust") >= THRESHOLD * (F.col("trust") + F.col("distrust")))
     verdict = F.coalesce("rule_verdict", F.when(blocked, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust", "links")
