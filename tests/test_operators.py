@@ -30,8 +30,10 @@ def test_interval_join_keeps_half_open_bounds(spark):
 
 
 def test_asof_interpolation_edges(spark):
-    series = spark.createDataFrame([(1.0, 10.0), (2.0, 20.0), (4.0, 0.0)], "t double, v double")
-    at = spark.createDataFrame([(x,) for x in (0.9, 1.0, 1.5, 2.0, 3.0, 4.0, 4.1)], "q double")
+    series = spark.createDataFrame([(1, 1.0, 10.0), (1, 2.0, 20.0), (1, 4.0, 0.0), (2, 0.0, 7.0)], "seq int, t double, v double")
+    at = spark.createDataFrame([(1, x) for x in (0.9, 1.0, 1.5, 2.0, 3.0, 4.0, 4.1)], "seq int, q double")
+    for slot in (0.7, 0.0007):  # all points in one group, and each in its own
+        assert {r["q"]: r["v"] for r in joins.asof_interpolate(at, series, "q", slot).collect()} == {0.9: None, 1.0: 10.0, 1.5: 15.0, 2.0: 20.0, 3.0: 10.0, 4.0: 0.0, 4.1: None}
     got = {r["q"]: (r["v"], r["v_status"]) for r in joins.asof_interpolate(at, series, "q", 0.7).collect()}
     assert got == {0.9: (None, "OUT_OF_RANGE"), 1.0: (10.0, "OK"), 1.5: (15.0, "OK"), 2.0: (20.0, "OK"), 3.0: (10.0, "OK"), 4.0: (0.0, "OK"), 4.1: (None, "OUT_OF_RANGE")}
 
@@ -39,7 +41,7 @@ def test_asof_interpolation_edges(spark):
 def test_current_collapse_needs_three_labels_before(spark):
     rows = [(1, k, 0.0, 0.0, 0.0, a) for k, a in enumerate((10.0, 1.0, 10.0, 10.0, 1.0))] + [(2, k * 6, 0.0, 0.0, 0.0, a) for k, a in enumerate((10.0, 10.0, 10.0, 1.0))]
     df = spark.createDataFrame(rows, "seq bigint, label_id bigint, ts double, w double, h double, area double")
-    got = {(r["seq"], r["label_id"]) for r in looming.current_collapse(df).where("collapsed").collect()}
+    got = {(r["seq"], r["start"]) for r in looming.current_collapse(df).where("collapsed").collect()}
     assert got == {(1, 4)}
 
 

@@ -6,30 +6,105 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
+from .joins import less_own
 
-def threshold_gate(rows: DataFrame, feature: str, thresholds: list[float], target: float, least: int, group: str = "fold") -> DataFrame:
+
+def training_quantiles(rows: DataFrame, feature: str, shares: list[float], group: str = "fold") -> DataFrame:
+    """group, threshold: for each group, the interpolated quantiles of the other groups' values, each once.
+
+    The values are ranked once, by distinct value; a group's training ranks are those
+    ranks less its own rows below, so no fold's training rows are joined or gathered.
+    Ranks over all rows come from the ranks within each of RANGES value ranges and the counts of the ranges before.
+    """
+    x = F.col(feature).cast("double")
+    used = rows.where(F.col(group).isNotNull() & x.isNotNull()).select(F.col(group).alias("g"), x.alias("x"))
+    cells = used.groupBy("x", "g").agg(F.count("*").alias("own"))
+    sizes = cells.groupBy("g").agg(F.sum("own").alias("own_n"))
+    sizes = sizes.withColumn("__one", F.lit(1)).join(F.broadcast(sizes.agg(F.sum("own_n").alias("all_n")).withColumn("__one", F.lit(1))), "__one").drop("__one")
+    cuts = cells.agg(F.percentile_approx("x", [k / RANGES for k in range(1, RANGES)], 10_000).alias("cuts")).withColumn("__one", F.lit(1))
+    values = cells.groupBy("x").agg(F.sum("own").alias("c")).withColumn("__one", F.lit(1)).join(F.broadcast(cuts), "__one")
+    values = values.select("x", "c", F.size(F.filter("cuts", lambda t: t < F.col("x"))).alias("range"))
+    before = values.groupBy("range").agg(F.sum("c").alias("c"))
+    before = before.select("range", (F.sum("c").over(Window.orderBy("range")) - F.col("c")).alias("before"))  # one row a range
+    up_to = F.sum("c").over(Window.partitionBy("range").orderBy("x"))
+    ranked = values.withColumn("upto", up_to).join(F.broadcast(before), "range").select("x", "c", (F.col("before") + F.col("upto")).alias("upto"))
+    # A wanted rank of a group lies among all values below that of rank + own rows; the own
+    # rows split the values into stretches on which own rows below are constant.
+    ranked = written(ranked, "ranked")
+    own = cells.join(ranked, "x").select("g", "x", "own", "upto", "c")
+    inside = Window.partitionBy("g").orderBy("x")
+    own_upto = F.sum("own").over(inside)
+    own = written(own, "own")
+    stretches = own.withColumns({"own_upto": own_upto, "next_from": F.lead(F.col("upto") - F.col("c")).over(inside), "low": F.col("upto") - F.col("c") - (own_upto - F.col("own"))})
+    # Training ranks (from 1) of an own value, if other groups have it, and of the stretch after it: rank + shift is a rank among all.
+    at_value = stretches.where("c > own").select("g", (F.col("low") + 1).alias("first"), (F.col("low") + F.col("c") - F.col("own")).alias("last"), F.lit(None).cast("bigint").alias("shift"), "x")
+    after = stretches.join(sizes.select("g", "all_n"), "g").select("g", (F.col("upto") - F.col("own_upto") + 1).alias("first"), (F.coalesce("next_from", "all_n") - F.col("own_upto")).alias("last"), F.col("own_upto").alias("shift"), F.lit(None).cast("double").alias("x"))
+    head = stretches.groupBy("g").agg(F.min(F.col("upto") - F.col("c")).alias("last")).select("g", F.lit(1).cast("bigint").alias("first"), "last", F.lit(0).cast("bigint").alias("shift"), F.lit(None).cast("double").alias("x"))
+    parts = at_value.unionByName(after).unionByName(head).where("last >= first")
+    position = lambda s: (F.col("all_n") - F.col("own_n") - 1) * F.lit(s)
+    each = F.array(*[F.struct(F.lit(s).alias("share"), position(s).alias("at")) for s in shares])
+    wanted = sizes.where("all_n > own_n").select("g", F.explode(each).alias("w")).select("g", "w.share", "w.at")
+    wanted = wanted.select("g", "share", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("k")).withColumn("rank", F.col("k") + 1)
+    told = wanted.join(parts, "g").where(F.col("rank").between(F.col("first"), F.col("last"))).select("g", "share", "at", "k", "x", (F.col("rank") + F.col("shift")).alias("place"))
+    spread = ranked.select(F.col("x").alias("value"), F.explode(F.sequence(F.floor((F.col("upto") - F.col("c")) / STEP), F.floor((F.col("upto") - 1) / STEP))).alias("step"), "upto", (F.col("upto") - F.col("c")).alias("from_"))
+    missing = told.where("x IS NULL").withColumn("step", F.floor((F.col("place") - 1) / STEP)).join(spread, "step").where((F.col("place") > F.col("from_")) & (F.col("place") <= F.col("upto")))
+    values = told.where("x IS NOT NULL").select("g", "share", "at", "k", "x").unionByName(missing.select("g", "share", "at", "k", F.col("value").alias("x")))
+    low, high = F.min("x"), F.max("x")
+    found = values.groupBy("g", "share").agg((low + (F.first("at") - F.floor(F.first("at"))) * (high - low)).alias("threshold"))
+    return found.select(F.col("g").alias(group), "threshold").distinct()
+
+
+#: Ranges of values that are ranked apart, and ranks that are looked up together.
+RANGES, STEP = 256, 1024
+
+
+def threshold_gate(rows: DataFrame, feature: str, shares: list[float], target: float, least: int, group: str = "fold") -> DataFrame:
     """For each group, the threshold on ``feature`` chosen from the other groups.
 
-    Kept rows have a feature of at most the threshold.  Of the thresholds that
+    Thresholds are the ``shares`` quantiles of the training rows.  Kept rows have a
+    feature of at most the threshold.  Of the thresholds that
     keep at least ``least`` training rows at a mean error of at most ``target``,
-    the one that keeps most wins (the first of equals); if there is none, the one
-    of least mean error.  Rows are binned once and counted per (group, bin);
-    training sets are totals less the group's own, so no fold is joined.
+    the one that keeps most wins (the least of equals); if there is none, the one
+    of least mean error.  Rows and thresholds are put in order of value together and counted by
+    running sums; training sets are totals less the group's own.
     """
-    edges = F.array(*[F.lit(t) for t in thresholds])
-    bin_of = F.size(F.filter(edges, lambda t: t < F.col(feature)))
-    cells = rows.where(F.col(feature).isNotNull() & F.col("error").isNotNull()).groupBy(group, bin_of.alias("bin")).agg(F.count("*").alias("n"), F.sum("error").alias("e"))
-    grid = cells.select(group).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(len(thresholds) - 1))))
-    dense = grid.join(cells, [group, "bin"], "left").fillna(0, ["n", "e"])
-    upto = Window.partitionBy(group).orderBy("bin")
-    sums = dense.withColumns({"own_n": F.sum("n").over(upto), "own_e": F.sum("e").over(upto)})
-    every = Window.partitionBy("bin")
-    train = sums.withColumns({"train_n": F.sum("own_n").over(every) - F.col("own_n"), "train_e": F.sum("own_e").over(every) - F.col("own_e")}).where(F.col("train_n") >= least)
-    train = train.withColumn("mean", F.col("train_e") / F.col("train_n"))
-    good = F.col("mean") <= target
-    order = Window.partitionBy(group).orderBy(good.desc(), F.when(good, -F.col("train_n")), F.when(~good, F.col("mean")), "bin")
-    best = train.withColumn("place", F.row_number().over(order)).where("place = 1")
-    return best.select(group, F.get(edges, F.col("bin")).alias("threshold"), "train_n", "mean", F.col("own_n").alias("kept"), F.col("own_e").alias("kept_error"))
+    used = rows.where(F.col(feature).isNotNull() & F.col("error").isNotNull()).select(F.col(group).alias("g"), F.col(feature).cast("double").alias("x"), "error")
+    used = written(used, "gate")
+    at = training_quantiles(used, "x", shares, "g")
+    counts = below(used, at)
+    t = counts.select("g", "threshold", (F.col("all_n") - F.col("own_n")).alias("train_n"), ((F.col("all_e") - F.col("own_e")) / F.nullif(F.col("all_n") - F.col("own_n"), F.lit(0))).alias("mean"), F.col("own_n").alias("kept"), F.col("own_e").alias("kept_error"))
+    t = t.where(F.col("train_n") >= least)
+    rounded = F.round("mean", 9)
+    good = rounded <= target
+    order = Window.partitionBy("g").orderBy(good.desc(), F.when(good, -F.col("train_n")), F.when(~good, rounded), "threshold")
+    best = t.withColumn("place", F.row_number().over(order)).where("place = 1")
+    return best.select(F.col("g").alias(group), "threshold", "train_n", "mean", "kept", "kept_error")
+
+
+def below(used: DataFrame, at: DataFrame) -> DataFrame:
+    """at (g, threshold) plus count and sum of error of the rows (g, x, error) at or
+    below the threshold: of the own group (own_n, own_e) and of all (all_n, all_e)."""
+    cuts = used.agg(F.percentile_approx("x", [k / RANGES for k in range(1, RANGES)], 10_000).alias("cuts")).withColumn("__one", F.lit(1))
+    points = used.groupBy("g", "x").agg(F.count("*").alias("n"), F.sum("error").alias("e")).withColumn("ask", F.lit(0))
+    asked = at.select("g", F.col("threshold").alias("x"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("e"), F.lit(1).alias("ask"))
+    both = points.unionByName(asked).withColumn("__one", F.lit(1)).join(F.broadcast(cuts), "__one")
+    both = both.select("g", "x", "n", "e", "ask", F.size(F.filter("cuts", lambda t: t < F.col("x"))).alias("range"))
+    totals = both.groupBy("range").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    totals = totals.select("range", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("n0"), F.coalesce(F.sum("e").over(upto), F.lit(0.0)).alias("e0"))
+    inside, own = Window.partitionBy("range").orderBy("x"), Window.partitionBy("g").orderBy("x")
+    ranked = both.join(F.broadcast(totals), "range").withColumns({"all_n": F.col("n0") + F.sum("n").over(inside), "all_e": F.col("e0") + F.sum("e").over(inside)})
+    return ranked.withColumns({"own_n": F.sum("n").over(own), "own_e": F.sum("e").over(own)}).where("ask = 1").select("g", F.col("x").alias("threshold"), "own_n", "own_e", "all_n", "all_e")
+
+
+def gated(rows: DataFrame, found: DataFrame, bounds: dict[str, str], group: str = "fold") -> DataFrame:
+    """The rows whose features lie at or below their group's thresholds (feature: threshold column)."""
+    named = found.select(group, *[F.col(t).alias(f"__{t}") for t in bounds.values()])
+    joined = rows.join(named, group)
+    for feature, t in bounds.items():
+        joined = joined.where(F.col(feature) <= F.col(f"__{t}"))
+    return joined.select(*rows.columns)
 
 
 def log_affine(rows: DataFrame, group: str = "fold") -> DataFrame:
@@ -37,7 +112,6 @@ def log_affine(rows: DataFrame, group: str = "fold") -> DataFrame:
     x, y = F.log("pred"), F.log("truth")
     used = rows.where("pred > 0 AND truth > 0")
     own = used.groupBy(group).agg(F.count("*").alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy"))
-    every = Window.partitionBy()  # one row a group
-    t = own.select(group, *[(F.sum(c).over(every) - F.col(c)).alias(c) for c in ("n", "x", "y", "xx", "xy")])
+    t = less_own(own, ["n", "x", "y", "xx", "xy"])
     slope = F.try_divide(F.col("n") * F.col("xy") - F.col("x") * F.col("y"), F.col("n") * F.col("xx") - F.col("x") * F.col("x"))
     return t.withColumn("b", slope).withColumn("a", (F.col("y") - F.col("b") * F.col("x")) / F.col("n")).select(group, F.col("n").cast("bigint").alias("n"), "a", "b")

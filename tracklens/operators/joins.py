@@ -27,23 +27,31 @@ def interval_join(points: DataFrame, spans: DataFrame, width: int, on: str = "se
     return left.join(right, [on, "__slot"]).where((F.col(time) >= F.col("lo")) & (F.col(time) < F.col("hi"))).drop("__slot")
 
 
-def asof_interpolate(queries: DataFrame, series: DataFrame, at: str, slot: float) -> DataFrame:
-    """queries plus ``v`` and ``v_status``: the series (t, v) interpolated at ``at``.
+def asof_interpolate(queries: DataFrame, series: DataFrame, at: str, slot: float, on: str = "seq") -> DataFrame:
+    """queries plus ``v`` and ``v_status``: their series (on, t, v) interpolated at ``at``.
 
-    Outside the series' range v is null and the status OUT_OF_RANGE.  A query on
+    Outside a series' range, or without one, v is null and the status OUT_OF_RANGE.  A query on
     the first point takes its value, as do queries between equal times.  Segments
-    of the series are joined by time slots of width ``slot``.
+    of the series are joined by time slots of width ``slot``; points are put in
+    order per series and group of slots, each group with the last point before it,
+    so that one long series spreads over many tasks.
     """
-    order = Window.orderBy("t")  # one series; its points are few beside the queries
-    segments = series.select("t", "v", F.lag("t").over(order).alias("t0"), F.lag("v").over(order).alias("v0"))
-    segments = segments.select("t", "v", F.coalesce("t0", "t").alias("t0"), F.coalesce("v0", "v").alias("v0"), F.col("t0").isNull().alias("first"))
+    group = F.floor(F.col("t") / (1024 * slot))
+    points = series.select(on, "t", "v", group.alias("__group"))
+    ends = points.groupBy(on, "__group").agg(F.max_by(F.struct("t", "v"), "t").alias("last"))
+    of_series = Window.partitionBy(on).orderBy("__group")  # one row a group of 1024 slots
+    ends = ends.select(on, "__group", F.lag("last").over(of_series).alias("before"))
+    order = Window.partitionBy(on, "__group").orderBy("t")
+    segments = points.withColumns({"t0": F.lag("t").over(order), "v0": F.lag("v").over(order)}).join(ends, [on, "__group"])
+    segments = segments.withColumns({"t0": F.coalesce("t0", "before.t"), "v0": F.coalesce("v0", "before.v")})
+    segments = segments.select(F.col(on).alias("__on"), "t", "v", F.coalesce("t0", "t").alias("t0"), F.coalesce("v0", "v").alias("v0"), F.col("t0").isNull().alias("first"))
     segments = segments.withColumn("__slot", F.explode(F.sequence(F.floor(F.col("t0") / slot), F.floor(F.col("t") / slot))))
     left = queries.withColumn("__slot", F.floor(F.col(at) / slot)).withColumnRenamed(at, "__at")
-    inside = (left["__slot"] == segments["__slot"]) & (F.col("__at") <= F.col("t")) & ((F.col("__at") > F.col("t0")) | (F.col("first") & (F.col("__at") == F.col("t"))))
+    inside = (left[on] == segments["__on"]) & (left["__slot"] == segments["__slot"]) & (F.col("__at") <= F.col("t")) & ((F.col("__at") > F.col("t0")) | (F.col("first") & (F.col("__at") == F.col("t"))))
     share = (F.col("__at") - F.col("t0")) / F.nullif(F.col("t") - F.col("t0"), F.lit(0.0))
     value = F.when(F.abs(F.col("t") - F.col("t0")) < 1e-12, F.col("v0")).otherwise(F.col("v0") + share * (F.col("v") - F.col("v0")))
-    joined = left.join(segments.drop(), inside, "left")
-    keep = [F.col("__at").alias(at) if c == at else F.col(c) for c in queries.columns]
+    joined = left.join(segments, inside, "left")
+    keep = [F.col("__at").alias(at) if c == at else left[c] for c in queries.columns]
     return joined.select(*keep, value.alias("v"), F.when(F.col("t").isNull(), "OUT_OF_RANGE").otherwise("OK").alias("v_status"))
 
 
@@ -55,5 +63,13 @@ def unfinished(work: DataFrame, done: DataFrame, on: str | list[str]) -> DataFra
 def loso_totals(rows: DataFrame, group: str, sums: dict[str, Column]) -> DataFrame:
     """For each group, sums over all other groups: totals less its own, no fold join."""
     own = rows.groupBy(group).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    everything = Window.partitionBy()  # one row a group
-    return own.select(group, *[(F.sum(n).over(everything) - F.col(n)).alias(n) for n in sums])
+    return less_own(own, list(sums))
+
+
+def less_own(own: DataFrame, sums: list[str]) -> DataFrame:
+    """own with each of the sums replaced by the total over all rows less the row's own;
+    the totals are one row, joined with all."""
+    whole = own.agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    columns = [c for c in own.columns if c not in sums]
+    joined = own.withColumn("__one", F.lit(1)).join(F.broadcast(whole.withColumn("__one", F.lit(1))), "__one")
+    return joined.select(*columns, *[(F.col(f"__{c}") - F.col(c)).alias(c) for c in sums])

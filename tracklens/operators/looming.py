@@ -1,15 +1,19 @@
-"""Time to contact from trailing linear trends of box sizes, in thirteen variants."""
+"""Time to contact from trailing linear trends of box sizes, in thirteen variants.
+
+Every sample carries the boxes it looks back on, thirteen at most, in one array: one
+window gathers it, and all sub-windows, fits and quantiles are expressions in the
+row.  Sequences are dealt by blocks of labels, so a long one spreads over many tasks.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .joins import band_join
-
 CUES = ("width", "height", "diag", "root_area", "bottom")
 #: Thresholds of the quality gate and the guards.
 MIN_REF, MIN_SLOPE, MIN_TTC = 3.0, 1.0, 0.05
@@ -47,73 +51,160 @@ VARIANTS = {
 }
 
 
+#: Labels of a sequence that one task takes at a time.
+BLOCK = 4096
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _median(values: Column) -> Column:
     """Of a small array."""
-    ordered, n = F.sort_array(values), F.size(values)
-    return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
+    at = lambda o, k: F.get(o, F.floor((F.size(o) - k) / 2).cast("int"))
+    return _let(F.sort_array(values), lambda o: F.when(F.size(o) > 0, (at(o, 1) + at(o, 0)) / 2))
+
+
+def _quantile(ordered: Column, q: float) -> Column:
+    """Of a sorted array, interpolated."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    low, high = (F.get(ordered, f(at).cast("int")) for f in (F.floor, F.ceil))
+    return low + (at - F.floor(at)) * (high - low)
+
+
+def with_history(tracks: DataFrame, back: int) -> DataFrame:
+    """One sample per box: seq, start, query_t, frac (place in the sequence) and hist,
+    the boxes (label_id, ts, w, h, area) of labels in [start - back, start] in order.
+
+    Boxes are dealt by (seq, block of labels), those at a block's end to the next
+    block, too; a block's first place comes from the counts of the blocks before.
+    """
+    if back >= BLOCK:
+        raise ValueError(f"a history of at most {BLOCK - 1} labels is needed")
+    block = F.floor(F.col("label_id") / BLOCK)
+    sizes = tracks.groupBy("seq", block.alias("block")).agg(F.count("*").alias("c"))
+    of_seq = Window.partitionBy("seq")  # one row a block
+    before = F.sum("c").over(of_seq.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("seq", "block", F.coalesce(before, F.lit(0)).alias("before"), F.sum("c").over(of_seq).alias("n_seq"))
+    near_end = F.pmod(F.col("label_id"), F.lit(BLOCK)) >= BLOCK - back
+    dealt = tracks.select("seq", "label_id", "ts", "w", "h", "area", F.explode(F.when(near_end, F.array(block, block + 1)).otherwise(F.array(block))).alias("block"))
+    # By number, as the work on a row is large beside its bytes.
+    dealt = dealt.repartition(int(tracks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq", "block")
+    order = Window.partitionBy("seq", "block").orderBy("label_id")
+    hist = F.collect_list(F.struct("label_id", "ts", "w", "h", "area")).over(order.rangeBetween(-back, 0))
+    own = F.col("block") == block
+    place = F.sum(own.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    rows = dealt.select("seq", "block", F.col("label_id").alias("start"), F.col("ts").alias("query_t"), hist.alias("hist"), place.alias("place"), own.alias("own")).where("own")
+    frac = F.when(F.col("n_seq") > 1, (F.col("before") + F.col("place")) / (F.col("n_seq") - 1))
+    return rows.join(sizes, ["seq", "block"]).select("seq", "start", "query_t", frac.alias("frac"), "hist")
+
+
+def _collapsed() -> Column:
+    """The sample's own area falls below COLLAPSE of the median over the labels in
+    [start - 5, start - 1], of which there are three at least."""
+    recent = F.transform(F.filter("hist", lambda b: b["label_id"].between(F.col("start") - 5, F.col("start") - 1)), lambda b: b["area"])
+    return _let(recent, lambda r: (F.size(r) >= 3) & F.coalesce(F.element_at("hist", -1)["area"] / _median(r) < COLLAPSE, F.lit(False)))
 
 
 def current_collapse(tracks: DataFrame) -> DataFrame:
-    """tracks plus collapsed: the area falls below COLLAPSE of the median over the
-    labels in [label - 5, label - 1], of which there are three at least."""
-    before = Window.partitionBy("seq").orderBy("label_id").rangeBetween(-5, -1)
-    ratio = F.col("area") / F.percentile("area", F.lit(0.5)).over(before)
-    return tracks.withColumn("collapsed", (F.count("area").over(before) >= 3) & F.coalesce(ratio < COLLAPSE, F.lit(False)))
+    """seq, start and collapsed of every box."""
+    return with_history(tracks, 5).select("seq", "start", _collapsed().alias("collapsed"))
 
 
 def sample_frame(tracks: DataFrame) -> DataFrame:
-    """One sample per box: seq, start, query_t, frac (place in the sequence), n_seq."""
-    n = F.count("*").over(Window.partitionBy("seq"))
-    at = F.row_number().over(Window.partitionBy("seq").orderBy("label_id")) - 1
-    return tracks.select("seq", F.col("label_id").alias("start"), F.col("ts").alias("query_t"), F.when(n > 1, at / (n - 1)).alias("frac"))
+    """One sample per box: seq, start, query_t, frac."""
+    return with_history(tracks, 0).drop("hist")
 
 
 def histories(tracks: DataFrame, variant: Variant) -> DataFrame:
-    """The boxes each sample looks back on, with dropped: history guard says so."""
-    tracks = current_collapse(tracks)
-    cur = F.col("collapsed") if variant.current_guard else F.lit(False)
-    samples = sample_frame(tracks).join(tracks.select("seq", F.col("label_id").alias("start"), cur.alias("cur_guard")), ["seq", "start"])
-    rows = band_join(samples, tracks.select("seq", "label_id", "ts", "w", "h", "area"), variant.back)
-    rows = rows.where(~F.col("cur_guard") | (F.col("label_id") < F.col("start")))
-    inside = Window.partitionBy("seq", "start").orderBy("label_id")
-    left, right = F.collect_list("area").over(inside.rowsBetween(-2, -1)), F.collect_list("area").over(inside.rowsBetween(1, 2))
-    low = F.col("area") / _median(F.concat(left, right)) < COLLAPSE
-    return rows.withColumn("dropped", (F.size(left) > 0) & (F.size(right) > 0) & F.coalesce(low, F.lit(False)))
+    """with_history with cur_guard (the current box collapsed and is left out) and
+    dropped in each box: the history guard says so."""
+    df = with_history(tracks, variant.back).withColumn("cur_guard", _collapsed() if variant.current_guard else F.lit(False))
+    guarded = F.when(F.col("cur_guard"), F.slice("hist", F.lit(1), F.size("hist") - 1)).otherwise(F.col("hist"))
+
+    def marked(b: Column, i: Column, areas: Column) -> Column:
+        sides = F.struct(F.slice(areas, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))).alias("left"), F.slice(areas, i + 2, F.lit(2)).alias("right"))
+        low = lambda s: (F.size(s["left"]) > 0) & (F.size(s["right"]) > 0) & F.coalesce(b["area"] / _median(F.concat(s["left"], s["right"])) < COLLAPSE, F.lit(False))
+        return F.struct(*[b[c].alias(c) for c in ("label_id", "ts", "w", "h", "area")], _let(sides, low).alias("dropped"))
+
+    areas = lambda h: F.transform(h, lambda b: b["area"])
+    return df.withColumn("hist", _let(guarded, lambda h: _let(areas(h), lambda a: F.transform(h, lambda b, i: marked(b, i, a)))))
+
+
+def _cues(b: Column) -> list[Column]:
+    return [b["w"], b["h"], F.sqrt(b["w"] * b["w"] + b["h"] * b["h"]), F.sqrt(F.greatest(b["area"], F.lit(1e-6))), b["h"] / 2]
+
+
+def _sums(hist: Column, used: list[int]) -> Column:
+    """Moments of the last 1, 2, ... boxes: struct(label_id, n, t, tt, y and ty of each
+    cue), times counted from the sample's."""
+    names = ["t", "tt", *[f"{k}{i}" for i in used for k in ("y", "ty")]]
+    kind = "struct<label_id:bigint,n:int," + ",".join(f"{x}:double" for x in names) + ">"
+    zero = F.struct(F.lit(None).cast("bigint").alias("label_id"), F.lit(0).alias("n"), *[F.lit(0.0).alias(x) for x in names]).cast(kind)
+
+    def add(out: Column, b: Column) -> Column:
+        last = F.element_at(out, -1)
+        t, cues = b["ts"] - F.col("query_t"), _cues(b)
+        values = {"t": t, "tt": t * t} | {f"{k}{i}": v for i in used for k, v in (("y", cues[i]), ("ty", t * cues[i]))}
+        return F.concat(out, F.array(F.struct(b["label_id"].alias("label_id"), (last["n"] + 1).alias("n"), *[(last[x] + values[x]).alias(x) for x in names]).cast(kind)))
+
+    return F.aggregate(F.reverse(hist), F.array(zero), add)
+
+
+def _fits(sums: Column, variant: Variant) -> Column:
+    """Candidates, struct(back, ord, fit_points, slope, ref, ttc), of every cue over every trailing window."""
+    used = [0] if variant.mode == "width" else list(range(5 if variant.bottom else 4))
+    backs = F.sequence(F.lit(2 if variant.mode == "multi" else variant.back), F.lit(variant.back))
+
+    def of_window(back: Column) -> Column:
+        inside = F.filter(sums, lambda s: s["label_id"].isNull() | (s["label_id"] >= F.col("start") - back))
+        return F.transform(F.slice(inside, -1, 1), lambda m: F.array(*[fit(m, back, i) for i in used]))
+
+    def fit(m: Column, back: Column, i: int) -> Column:
+        slope = F.try_divide(m["n"] * m[f"ty{i}"] - m["t"] * m[f"y{i}"], m["n"] * m["tt"] - m["t"] * m["t"])
+        ref = (m[f"y{i}"] - slope * m["t"]) / m["n"]
+        return F.struct(back.alias("back"), F.lit(i).alias("ord"), m["n"].cast("bigint").alias("fit_points"), F.when(m["n"] >= 2, slope).alias("slope"), ref.alias("ref"))
+
+    found = F.flatten(F.flatten(F.transform(backs, of_window)))
+    good = F.filter(found, lambda c: (c["slope"] > MIN_SLOPE) & (c["ref"] > MIN_REF) & (c["ref"] / c["slope"]).between(MIN_TTC, variant.max_ttc))
+    return F.transform(good, lambda c: F.struct(c["back"], c["ord"], c["fit_points"], c["slope"], c["ref"], (c["ref"] / c["slope"]).alias("ttc")))
+
+
+def with_candidates(rows: DataFrame, variant: Variant, kept_only: bool = False, into: str = "cands") -> DataFrame:
+    """rows plus the candidates from each history, or from what the history guard keeps of it."""
+    used = [0] if variant.mode == "width" else list(range(5 if variant.bottom else 4))
+    hist = F.filter("hist", lambda b: ~b["dropped"]) if kept_only else F.col("hist")
+    return rows.withColumn(into, _let(_sums(hist, used), lambda sums: _fits(sums, variant)))
 
 
 def candidates(rows: DataFrame, variant: Variant) -> DataFrame:
-    """(seq, start, src, back, cue): fits of every cue over every trailing window.
+    """(seq, start, back, ord, fit_points, slope, ref, ttc), one row per candidate."""
+    return with_candidates(rows, variant).select("seq", "start", F.explode("cands").alias("c")).select("seq", "start", "c.*")
+
 
-    src 0 has all rows of the history, src 1 those that the history guard keeps.
+QUANTILES = {"q10": 0.10, "q25": 0.25, "q50": 0.50, "q75": 0.75, "q90": 0.90}
+
+
+def with_stats(rows: DataFrame, cands: str = "cands", prefix: str = "", quantiles: dict[str, float] | None = None) -> DataFrame:
+    """rows plus counts and exact quantiles of the candidates; n is null where there is none.
+
+    The statistics come out of a generator of one row, so that filters on what is
+    derived from them read these columns and don't repeat the fits.
     """
-    if variant.mode == "multi":
-        backs = F.sequence(F.greatest(F.lit(2), F.col("start") - F.col("label_id")), F.lit(variant.back).cast("bigint"))
-    else:
-        backs = F.array(F.lit(variant.back).cast("bigint"))
-    sources = F.lit(0) if not variant.history_guard else F.when(F.col("dropped"), F.lit(0))
-    if variant.history_guard:
-        rows = rows.withColumn("src", F.explode(F.when(F.col("dropped"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
-    else:
-        rows = rows.withColumn("src", sources)
-    cue = {"width": F.col("w"), "height": F.col("h"), "diag": F.sqrt(F.col("w") * F.col("w") + F.col("h") * F.col("h")), "root_area": F.sqrt(F.greatest(F.col("area"), F.lit(1e-6))), "bottom": F.col("h") / 2}
-    used = ("width",) if variant.mode == "width" else CUES if variant.bottom else CUES[:4]
-    fits = [F.struct(F.lit(i).alias("ord"), F.regr_slope(cue[c], F.col("ts")).alias("slope"), F.regr_intercept(cue[c], F.col("ts")).alias("icept")).alias(c) for i, c in enumerate(CUES) if c in used]
-    grouped = rows.withColumn("back", F.explode(backs)).groupBy("seq", "start", "query_t", "src", "back").agg(F.count("*").alias("fit_points"), *fits)
-    one = grouped.where("fit_points >= 2").select("seq", "start", "query_t", "src", "back", "fit_points", F.explode(F.array(*used)).alias("f"))
-    ref = F.col("f.slope") * F.col("query_t") + F.col("f.icept")
-    out = one.select("seq", "start", "src", "back", "fit_points", F.col("f.ord").alias("ord"), F.col("f.slope").alias("slope"), ref.alias("ref"))
-    ttc = F.try_divide("ref", "slope")
-    return out.where((F.col("slope") > MIN_SLOPE) & (F.col("ref") > MIN_REF)).withColumn("ttc", ttc).where(F.col("ttc").between(MIN_TTC, variant.max_ttc))
-
-
-def candidate_stats(found: DataFrame) -> DataFrame:
-    """Per sample and source: counts and exact quantiles of the candidates."""
-    q = F.percentile("ttc", F.array(*[F.lit(x) for x in (0.10, 0.25, 0.50, 0.75, 0.90)]))
-    stats = found.groupBy("seq", "start", "src").agg(F.count("*").alias("n"), F.max("fit_points").alias("max_fit"), F.min("ttc").alias("low"), q.alias("q"))
-    names = [F.get("q", i).alias(x) for i, x in enumerate(("q10", "q25", "q50", "q75", "q90"))]
-    stats = stats.select("seq", "start", "src", "n", "max_fit", "low", *names)
-    middle = F.greatest(F.abs("q50"), F.lit(1e-6))
-    return stats.withColumns({"iqr": (F.col("q75") - F.col("q25")) / middle, "spread": (F.col("q90") - F.col("q10")) / middle})
+    def stats(ordered: Column) -> Column:
+        some = F.when(F.size(ordered) > 0, F.size(ordered).cast("bigint"))
+        fits = F.array_max(F.transform(cands, lambda c: c["fit_points"]))
+        return F.struct(some.alias("n"), fits.alias("max_fit"), F.get(ordered, F.lit(0)).alias("low"), *[_quantile(ordered, q).alias(k) for k, q in (quantiles or QUANTILES).items()])
+
+    names = ["n", "max_fit", "low", *(quantiles or QUANTILES)]
+    ordered = F.sort_array(F.transform(cands, lambda c: c["ttc"]))
+    df = rows.select("*", F.inline(F.transform(F.array(ordered), stats)).alias(*[f"{prefix}{x}" for x in names]))
+    if quantiles is not None:
+        return df
+    middle = F.greatest(F.abs(f"{prefix}q50"), F.lit(1e-6))
+    of = lambda k: F.col(f"{prefix}{k}")
+    return df.withColumns({f"{prefix}iqr": (of("q75") - of("q25")) / middle, f"{prefix}spread": (of("q90") - of("q10")) / middle})
 
 
 def _gates(version: str) -> Column:
@@ -139,29 +230,25 @@ def _phase(level: int) -> Column:
 
 def estimate(tracks: DataFrame, number: int) -> DataFrame:
     """seq, start, status and ttc of every sample, by variant ``number``."""
-    v = VARIANTS[number]
-    rows = histories(tracks, v)
-    n_rows, n_kept = F.count("*"), F.count_if(~F.col("dropped"))
-    base = rows.groupBy("seq", "start", "query_t", "frac", "cur_guard").agg(n_rows.alias("n_rows"), n_kept.alias("n_kept"))
-    everyone = sample_frame(tracks)
-    found = candidates(rows, v)
+    return estimated(histories(tracks, VARIANTS[number]), VARIANTS[number]).select("seq", "start", "status", "ttc")
+
+
+def estimated(rows: DataFrame, v: Variant) -> DataFrame:
+    """Histories plus status and ttc and, in the variants of many windows, the candidates' statistics."""
+    df = with_candidates(rows, v)
+    df = df.withColumns({"n_rows": F.size("hist"), "n_kept": F.size(F.filter("hist", lambda b: ~b["dropped"]))})
     if v.mode != "multi":
-        best = F.max_by(F.struct("slope", "ref", "ttc", "ord"), F.struct(F.col("slope") / F.abs("ref"), -F.col("ord"))).alias("b")
-        chosen = found.groupBy("seq", "start").agg(best).select("seq", "start", F.col("b.ttc").alias("ttc"), F.col("b.ord").alias("ord"))
-        out = everyone.join(base.select("seq", "start", "n_rows"), ["seq", "start"], "left").join(chosen, ["seq", "start"], "left")
-        named = F.concat(F.lit("OK_BBOX_"), F.upper(F.get(F.array(*map(F.lit, CUES)), F.col("ord"))))
-        status = F.when(F.coalesce("n_rows", F.lit(0)) < 2, "BBOX_HISTORY_TOO_SHORT").when(F.col("ttc").isNull(), "BBOX_FIT_FAIL").otherwise(named)
-        return out.select("seq", "start", status.alias("status"), "ttc")
-
-    stats = candidate_stats(found)
+        best = F.array_max(F.transform("cands", lambda c: F.struct((c["slope"] / F.abs(c["ref"])).alias("rel"), (-c["ord"]).alias("minus"), c["ttc"].alias("ttc"))))
+        df = df.withColumn("best", best)
+        named = F.concat(F.lit("OK_BBOX_"), F.upper(F.get(F.array(*map(F.lit, CUES)), -F.col("best.minus"))))
+        status = F.when(F.col("n_rows") < 2, "BBOX_HISTORY_TOO_SHORT").when(F.col("best").isNull(), "BBOX_FIT_FAIL").otherwise(named)
+        return df.withColumns({"status": status, "ttc": F.when(F.col("n_rows") >= 2, F.col("best.ttc"))})
+
     columns = ["n", "max_fit", "low", "q10", "q25", "q50", "q75", "q90", "iqr", "spread"]
-    plain = stats.where("src = 0").drop("src")
-    df = everyone.join(base.select("seq", "start", "cur_guard", "n_rows", "n_kept"), ["seq", "start"], "left").join(plain, ["seq", "start"], "left")
-    df = df.fillna({"n_rows": 0, "n_kept": 0, "cur_guard": False})
+    df = with_stats(df)
     used = F.lit(False)
     if v.history_guard:
-        guarded = stats.where("src = 1").select("seq", "start", *[F.col(c).alias(f"g_{c}") for c in columns])
-        df = df.join(guarded, ["seq", "start"], "left")
+        df = with_stats(with_candidates(df, v, kept_only=True, into="g_cands"), "g_cands", "g_")
         removed = F.col("n_kept") < F.col("n_rows")
         if v.history_guard == "always":
             used = removed
@@ -169,12 +256,13 @@ def estimate(tracks: DataFrame, number: int) -> DataFrame:
             poor = (F.col("n") < MIN_CANDIDATES) | (F.col("max_fit") < MIN_FIT) | (F.col("iqr") > MAX_DISPERSION)
             used = F.coalesce(poor & removed & F.col("g_n").isNotNull(), F.lit(False))
         df = df.withColumn("hist_guard", used)
-        df = df.select("seq", "start", "frac", "cur_guard", "n_rows", "n_kept", "hist_guard", *[F.when(F.col("hist_guard"), F.col(f"g_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
+        df = df.select(*[c for c in df.columns if c not in columns and not c.startswith("g_")], *[F.when(F.col("hist_guard"), F.col(f"g_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
     else:
         df = df.withColumn("hist_guard", used)
-    before = Window.partitionBy("seq", "start").orderBy("label_id").rowsBetween(-5, -1)
-    ratios = rows.withColumn("ratio", F.col("area") / F.percentile("area", F.lit(0.5)).over(before)).where("label_id = start").select("seq", "start", "ratio")
-    df = df.join(ratios, ["seq", "start"], "left")
+    # The current area against the median of the five boxes before it; none without the current box.
+    before = F.transform(F.slice("hist", F.greatest(F.col("n_rows") - 5, F.lit(1)), F.least(F.greatest(F.col("n_rows") - 1, F.lit(0)), F.lit(5))), lambda b: b["area"])
+    last = F.try_element_at("hist", F.lit(-1))
+    df = df.withColumn("ratio", F.when(last["label_id"] == F.col("start"), last["area"] / _median(before)))
     df = df.withColumn("gate", _gates(v.gate) if v.gate else F.lit(None).cast("struct<name:string,suffix:string,pick:int>"))
     calm = F.col("gate").isNull() & ~F.col("cur_guard") & ~F.col("hist_guard")
     df = df.withColumn("phase", F.when(calm, _phase(v.phases)) if v.phases else F.lit(None).cast("struct<suffix:string,pick:int>"))
@@ -192,4 +280,4 @@ def estimate(tracks: DataFrame, number: int) -> DataFrame:
         status = status.when(F.col("gate").isNotNull(), F.concat(F.lit("BBOX_LOW_QUALITY_"), F.col("gate.name"), F.lit(tail)))
     status = status.otherwise(ok)
     value = F.when(pick == 10, F.col("q10")).when(pick == 25, F.col("q25")).when(pick == 50, F.col("q50")).otherwise(F.col("q75"))
-    return df.select("seq", "start", status.alias("status"), value.alias("value")).select("seq", "start", "status", F.when(F.col("status").startswith("OK"), F.col("value")).alias("ttc"))
+    return df.withColumns({"status": status, "value": value}).withColumn("ttc", F.when(F.col("status").startswith("OK"), F.col("value"))).drop("value", "cands")

@@ -10,24 +10,24 @@ from ..operators import gates, looming, metrics, smoothing
 from ..operators.joins import asof_interpolate, unfinished
 from ..sources.driver import GROUND_TRUTH_SQL, ground_truth, tracks
 from . import looming_sql
-from .registry import query
+from .registry import ORACLES, query
 
 NUMBER = 7
 
 
 def evaluated(spark: SparkSession, sf_dir: str, number: int = NUMBER) -> DataFrame:
-    """seq, start, status, pred, truth, error and fold (sequences dealt to ten folds)."""
+    """seq, start, status, pred, truth, error and fold (each sequence is one)."""
     boxes = tracks(spark, sf_dir)
     truth = asof_interpolate(boxes.select("seq", F.col("label_id").alias("start"), "ts"), ground_truth(spark, sf_dir), "ts", 0.1).select("seq", "start", F.col("v").alias("truth"))
     out = looming.estimate(boxes, number).join(truth, ["seq", "start"]).withColumnRenamed("ttc", "pred")
-    return out.withColumns({"error": metrics.error_pct(F.col("pred"), F.col("truth")), "fold": F.col("seq") % 10})
+    return out.withColumns({"error": metrics.error_pct(F.col("pred"), F.col("truth")), "fold": F.col("seq")})
 
 
 def _sql(number: int = NUMBER) -> str:
     return f"""WITH est AS ({looming_sql.estimate(looming.VARIANTS[number]).replace("round(CASE pick", "(CASE pick").replace("ELSE q75 END, 5)", "ELSE q75 END)")}),
-{GROUND_TRUTH_SQL}, seg AS (SELECT t, v, lag(t) OVER (ORDER BY t) AS p, lag(v) OVER (ORDER BY t) AS pv FROM gt),
-m AS (SELECT e.seq, e.start, e.status, e.ttc AS pred, g.truth, CASE WHEN truth > 0 THEN abs(e.ttc - truth) / truth * 100 END AS error, e.seq % 10 AS fold FROM est e JOIN (
-  SELECT seq, start, CASE WHEN p IS NULL THEN v ELSE pv + (ts - p) / (t - p) * (v - pv) END AS truth FROM (SELECT DISTINCT seq, start, start * 0.1::DOUBLE AS ts FROM est) LEFT JOIN seg ON ts <= t AND (ts > p OR p IS NULL AND ts = t)) g
+{GROUND_TRUTH_SQL},
+m AS (SELECT e.seq, e.start, e.status, e.ttc AS pred, g.truth, CASE WHEN truth > 0 THEN abs(e.ttc - truth) / truth * 100 END AS error, e.seq AS fold FROM est e JOIN (
+  SELECT q.seq, start, CASE WHEN p IS NULL THEN v ELSE pv + (ts - p) / (t - p) * (v - pv) END AS truth FROM (SELECT DISTINCT seq, start, start * 0.1::DOUBLE AS ts FROM est) q LEFT JOIN seg ON seg.seq = q.seq AND ts <= t AND (ts > p OR p IS NULL AND ts = t)) g
   ON g.seq = e.seq AND g.start = e.start)"""
 
 
@@ -140,22 +140,31 @@ def ratio_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smoothing.recursive_clip(evaluated(spark, sf_dir), 1.5, ratio=True, value="pred").select("seq", "start", F.round("smooth", 5).alias("smooth"))
 
 
-THRESHOLDS = [1.0 + 0.3 * k + 0.0137 for k in range(30)]
+#: Gate thresholds: these quantiles of the training rows.
+SHARES = [k / 20 for k in range(1, 21)]
 
 
 @query(
     "gate_1f_loso",
-    f"""{_M}, th AS (SELECT unnest({THRESHOLDS}) AS threshold), k AS (SELECT fold, threshold, count(*) AS n, sum(error) AS e FROM m JOIN th ON pred <= threshold WHERE error IS NOT NULL GROUP BY 1, 2),
-    d AS (SELECT f.fold, th.threshold, coalesce(n, 0) AS n, coalesce(e, 0) AS e FROM (SELECT DISTINCT fold FROM m WHERE error IS NOT NULL) f CROSS JOIN th LEFT JOIN k ON k.fold = f.fold AND k.threshold = th.threshold),
-    t AS (SELECT *, (sum(n) OVER (PARTITION BY threshold) - n)::BIGINT AS train_n, sum(e) OVER (PARTITION BY threshold) - e AS train_e FROM d)
-    SELECT fold, round(threshold, 4) AS threshold, train_n, round(train_e / train_n, 4) AS mean, n AS kept FROM t WHERE train_n >= 100
-    QUALIFY row_number() OVER (PARTITION BY fold ORDER BY train_e / train_n <= 90 DESC, CASE WHEN train_e / train_n <= 90 THEN -train_n END, CASE WHEN train_e / train_n > 90 THEN train_e / train_n END, threshold) = 1""",
+    f"""{_M}, u AS (SELECT fold, pred, error FROM m WHERE error IS NOT NULL), f AS (SELECT DISTINCT fold FROM u),
+    th AS (SELECT f.fold, unnest(list_distinct(quantile_cont(pred, {SHARES}))) AS threshold FROM f JOIN u ON u.fold <> f.fold GROUP BY f.fold),
+    t AS (SELECT th.fold, threshold, count(*) AS train_n, avg(error) AS mean FROM th JOIN u ON u.fold <> th.fold AND u.pred <= th.threshold GROUP BY 1, 2),
+    best AS (SELECT * FROM t WHERE train_n >= 100 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(mean, 9) <= 50 DESC, CASE WHEN round(mean, 9) <= 50 THEN -train_n END, CASE WHEN round(mean, 9) > 50 THEN round(mean, 9) END, threshold) = 1)
+    SELECT b.fold, round(threshold, 4) AS threshold, train_n, round(mean, 4) AS mean, (SELECT count(*) FROM u WHERE u.fold = b.fold AND u.pred <= b.threshold) AS kept FROM best b""",
 )
 def gate_1f_loso(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = gates.threshold_gate(evaluated(spark, sf_dir), "pred", THRESHOLDS, 90.0, 100)
+    found = gates.threshold_gate(evaluated(spark, sf_dir), "pred", SHARES, 50.0, 100)
     return found.select("fold", F.round("threshold", 4).alias("threshold"), "train_n", F.round("mean", 4).alias("mean"), "kept")
 
 
+@query("gate_1f_rows", ORACLES["gate_1f_loso"].replace("SELECT b.fold, round(threshold", "SELECT u.seq, u.start FROM best b JOIN (SELECT seq, start, fold, pred FROM m WHERE error IS NOT NULL) u ON u.fold = b.fold AND u.pred <= b.threshold --").split("--")[0])
+def gate_1f_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that each held-out sequence's gate keeps."""
+    rows = evaluated(spark, sf_dir).where("error IS NOT NULL")
+    found = gates.threshold_gate(rows, "pred", SHARES, 50.0, 100)
+    return gates.gated(rows, found, {"pred": "threshold"}).select("seq", "start")
+
+
 @query(
     "log_affine_loso",
     f"""{_M}, f AS (SELECT DISTINCT fold FROM m WHERE pred > 0 AND truth > 0) SELECT f.fold, count(*) AS n, round(regr_intercept(ln(truth), ln(pred)), 6) AS a, round(regr_slope(ln(truth), ln(pred)), 6) AS b

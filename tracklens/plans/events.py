@@ -129,9 +129,9 @@ def weighted_fit_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "gt_asof_interp",
-    f"""WITH {TRACKS_SQL}, {GROUND_TRUTH_SQL}, seg AS (SELECT t, v, lag(t) OVER (ORDER BY t) AS p, lag(v) OVER (ORDER BY t) AS pv FROM gt)
-    SELECT seq, label_id, CASE WHEN t IS NULL THEN 'OUT_OF_RANGE' ELSE 'OK' END AS status, round(CASE WHEN p IS NULL THEN v ELSE pv + (ts - p) / (t - p) * (v - pv) END, 6) AS truth
-    FROM tracks LEFT JOIN seg ON ts <= t AND (ts > p OR p IS NULL AND ts = t)""",
+    f"""WITH {TRACKS_SQL}, {GROUND_TRUTH_SQL}
+    SELECT tracks.seq, label_id, CASE WHEN t IS NULL THEN 'OUT_OF_RANGE' ELSE 'OK' END AS status, round(CASE WHEN p IS NULL THEN v ELSE pv + (ts - p) / (t - p) * (v - pv) END, 6) AS truth
+    FROM tracks LEFT JOIN seg ON seg.seq = tracks.seq AND ts <= t AND (ts > p OR p IS NULL AND ts = t)""",
 )
 def gt_asof_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = asof_interpolate(tracks(spark, sf_dir), ground_truth(spark, sf_dir), "ts", 0.1)

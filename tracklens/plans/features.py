@@ -82,9 +82,8 @@ _RATED = f"{_sql(13)}, {_Q}, rated AS (SELECT m.seq, m.start, m.status, m.pred,
 
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimates of the last variant that have truth, with candidate quantiles, family and name."""
-    found = looming.candidates(looming.histories(tracks(spark, sf_dir), _V4), _V4)
-    q = found.groupBy("seq", "start").agg(F.count("*").alias("n"), F.max("fit_points").alias("max_fit"), F.percentile("ttc", F.array(*[F.lit(k / 100) for k in QUANTILES])).alias("q"))
-    q = q.select("seq", "start", "n", "max_fit", *[F.get("q", i).alias(f"q{k}") for i, k in enumerate(QUANTILES)])
+    found = looming.with_candidates(looming.histories(tracks(spark, sf_dir), _V4), _V4)
+    q = looming.with_stats(found, quantiles={f"q{k}": k / 100 for k in QUANTILES}).where("n IS NOT NULL").select("seq", "start", "n", "max_fit", *[f"q{k}" for k in QUANTILES])
     df = evaluated(spark, sf_dir, 13).where("pred IS NOT NULL AND truth IS NOT NULL")
     return named(df.join(q, ["seq", "start"]).withColumn("family", metrics.status_family(F.col("status"), F.col("truth"))))
 
@@ -255,7 +254,8 @@ def ridge_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seq", "start", F.round(guess, 4).alias("guess"), F.round(metrics.error_pct(guess, F.col("truth")), 3).alias("error"))
 
 
-PAIR = ([1.0137 + 0.5 * k for k in range(12)], [0.1037 + 0.1 * k for k in range(12)])
+#: The last bounds exclude nothing.
+PAIR = ([1.0137 + k for k in range(12)] + [1e9], [0.1037 + 0.15 * k for k in range(12)] + [1e9])
 
 
 @query(

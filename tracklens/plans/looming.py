@@ -47,18 +47,18 @@ _CANDIDATES = f"WITH {sql.histories(12, False)}, {sql.candidates(_V4, (0,))}"
 @query("multiwindow_candidates", f"{_CANDIDATES} SELECT seq, start, back, ord AS cue, fit_points, round(slope, 7) AS slope, round(ttc, 5) AS ttc FROM cands")
 def multiwindow_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ops.candidates(ops.histories(tracks(spark, sf_dir), _V4), _V4)
-    return found.select("seq", "start", "back", F.col("ord").alias("cue"), "fit_points", F.round("slope", 7).alias("slope"), F.round("ttc", 5).alias("ttc"))
+    return found.select("seq", "start", F.col("back").cast("bigint").alias("back"), F.col("ord").alias("cue"), "fit_points", F.round("slope", 7).alias("slope"), F.round("ttc", 5).alias("ttc"))
 
 
 @query("candidate_quantiles", f"{_CANDIDATES}, {sql.STATS} SELECT seq, start, n, max_fit, round(low, 5) AS low, round(q10, 5) AS q10, round(q25, 5) AS q25, round(q50, 5) AS q50, round(q75, 5) AS q75, round(q90, 5) AS q90, round(iqr, 5) AS iqr FROM stats")
 def candidate_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = ops.candidate_stats(ops.candidates(ops.histories(tracks(spark, sf_dir), _V4), _V4))
+    stats = ops.with_stats(ops.with_candidates(ops.histories(tracks(spark, sf_dir), _V4), _V4)).where("n IS NOT NULL")
     return stats.select("seq", "start", "n", "max_fit", *[F.round(c, 5).alias(c) for c in ("low", "q10", "q25", "q50", "q75", "q90", "iqr")])
 
 
 @query("collapse_guard_current", f"WITH {TRACKS_SQL}, {sql.COLLAPSED} SELECT seq, start, cur FROM collapsed")
 def collapse_guard_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.current_collapse(tracks(spark, sf_dir)).select("seq", F.col("label_id").alias("start"), F.col("collapsed").alias("cur"))
+    return ops.current_collapse(tracks(spark, sf_dir)).withColumnRenamed("collapsed", "cur")
 
 
 @query(
@@ -66,9 +66,9 @@ def collapse_guard_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {sql.histories(12, True)} SELECT seq, start, count(*) FILTER (dropped) AS n_dropped, coalesce(string_agg(CASE WHEN dropped THEN label_id::VARCHAR END, ';' ORDER BY label_id), '') AS labels FROM hist GROUP BY 1, 2",
 )
 def collapse_guard_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ops.histories(tracks(spark, sf_dir), ops.VARIANTS[8])
-    labels = F.sort_array(F.collect_list(F.when(F.col("dropped"), F.col("label_id"))))
-    return rows.groupBy("seq", "start").agg(F.count_if("dropped").alias("n_dropped"), labels.alias("labels")).withColumn("labels", F.array_join(F.transform("labels", lambda x: x.cast("string")), ";"))
+    rows = ops.histories(tracks(spark, sf_dir), ops.VARIANTS[8]).where("size(hist) > 0")
+    gone = F.filter("hist", lambda b: b["dropped"])
+    return rows.select("seq", "start", F.size(gone).cast("bigint").alias("n_dropped"), F.array_join(F.transform(gone, lambda b: b["label_id"].cast("string")), ";").alias("labels"))
 
 
 @query(

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.driver import DAY_US, EVENTS_SQL, TRACKS_SQL, event_columns, table, tracks
+from ..sources.shared import shared_folder
 from ..streaming import windows
 from .registry import query
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; a temporary one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tracklens-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,13 +42,13 @@ def stream_latest_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.latest(spark, f"{at}/log", ["seq", "x", "y"])
 
 
-@query("stream_interval_join", f"WITH {EVENTS_SQL}, s AS (SELECT seq, event_id AS span, t_us AS lo, t_us + 3600000000 AS hi FROM ev WHERE event_id % 50 = 0) SELECT s.span, count(*) AS n, max(e.event_id) AS last_event FROM ev e JOIN s ON s.seq = e.seq AND e.t_us >= s.lo AND e.t_us < s.hi GROUP BY 1")
+@query("stream_interval_join", f"WITH {EVENTS_SQL}, s AS (SELECT seq, event_id AS span, t_us AS lo, t_us + 3600000000 AS hi FROM ev) SELECT s.span, count(*) AS n, max(e.event_id) AS last_event FROM ev e JOIN s ON s.seq = e.seq AND e.t_us >= s.lo AND e.t_us < s.hi GROUP BY 1")
 def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours that begin at every fiftieth event, joined as a second stream."""
+    """The hour after every event, joined as a second stream."""
     at = _folder(spark)
     first, last = event_columns(table(spark, sf_dir, "events")).agg(F.min("t_us"), F.max("t_us")).first()
     left = event_stream(spark, sf_dir).withColumn("ts", F.timestamp_micros("t_us"))
-    begins = event_stream(spark, sf_dir).where("event_id % 50 = 0").select("seq", F.col("event_id").alias("span"), F.timestamp_micros("t_us").alias("lo_ts"))
+    begins = event_stream(spark, sf_dir).select("seq", F.col("event_id").alias("span"), F.timestamp_micros("t_us").alias("lo_ts"))
     spans = begins.withColumn("hi_ts", F.col("lo_ts") + F.expr("INTERVAL 1 HOUR"))
     # Each file is a batch, and files come in any order: with the table's time spread as slack no row is late.
     slack = f"{((last or 0) - (first or 0)) // 1_000_000 + 1} seconds"

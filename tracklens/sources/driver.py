@@ -1,8 +1,7 @@
 """The engine's inputs, derived from the star-schema tables.
 
-* tracks: one box per supplier (sequence) and month (label), with injected gaps
-  and area collapses, so that range frames differ from row frames;
-* ground truth: a monthly series of order values;
+* tracks: one box per supplier (sequence) and month (label), with injected area collapses;
+* ground truth: a monthly series of item values for each sequence;
 * events: the event stream, as (sequence, time, x, y, polarity);
 * intervals: days on which a sequence has a region of interest.
 """
@@ -23,7 +22,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("seq"), ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("bigint").alias("label_id"), "l_quantity"
     )
     m = F.col("label_id")
-    boxes = rows.where((F.col("seq") + m) % 17 != 0).groupBy("seq", "label_id").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("c"))
+    boxes = rows.groupBy("seq", "label_id").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("c"))
     k = F.when((F.col("seq") * 7 + m) % 23 == 0, 0.3).otherwise(1.0)
     jitter = lambda a, b, n: (F.col("seq") * a + m * b) % n  # noqa: E731  keeps fits off the thresholds
     return boxes.select("seq", "label_id", (m * 0.1).alias("ts"), (k * (20 + F.col("q") / 10 + m * 0.4 + jitter(31, 17, 101) * 0.00137)).alias("w"), (k * (20 + F.col("c") * 3 + m * 0.3 + jitter(13, 29, 97) * 0.00173)).alias("h")).withColumn("area", F.col("w") * F.col("h"))
@@ -34,17 +33,19 @@ TRACKS_SQL = """tracks AS (
     SELECT seq, label_id, k * (20 + q / 10 + label_id * 0.4::DOUBLE + (seq * 31 + label_id * 17) % 101 * 0.00137::DOUBLE) AS w, k * (20 + c * 3 + label_id * 0.3::DOUBLE + (seq * 13 + label_id * 29) % 97 * 0.00173::DOUBLE) AS h FROM (
       SELECT l_suppkey AS seq, ((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1)::BIGINT AS label_id, sum(l_quantity) AS q, count(*) AS c,
         CASE WHEN (l_suppkey * 7 + label_id) % 23 = 0 THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END AS k
-      FROM lineitem WHERE (l_suppkey + ((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1)) % 17 <> 0 GROUP BY 1, 2)))"""
+      FROM lineitem GROUP BY 1, 2)))"""
 
 
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """t, v: a series over months, in the tracks' time."""
-    month = (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1
-    return table(spark, sf_dir, "orders").groupBy(month.alias("m")).agg((F.avg("o_totalprice") / 50000).alias("v")).select((F.col("m") * 0.1 + 0.05).alias("t"), "v")
+    """seq, t, v: a series over months for each sequence, in the tracks' time."""
+    month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("seq"), month.alias("m")).agg((F.avg("l_extendedprice") / 10007).alias("v"))
+    return rows.select("seq", (F.col("m") * 0.1 + 0.05).alias("t"), "v")
 
 
-GROUND_TRUTH_SQL = """gt AS (SELECT m * 0.1::DOUBLE + 0.05::DOUBLE AS t, v FROM (
-  SELECT (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS m, avg(o_totalprice) / 50000 AS v FROM orders GROUP BY 1))"""
+GROUND_TRUTH_SQL = """gt AS (SELECT seq, m * 0.1::DOUBLE + 0.05::DOUBLE AS t, v FROM (
+  SELECT l_suppkey AS seq, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS m, avg(l_extendedprice) / 10007 AS v FROM lineitem GROUP BY 1, 2)),
+seg AS (SELECT seq, t, v, lag(t) OVER (PARTITION BY seq ORDER BY t) AS p, lag(v) OVER (PARTITION BY seq ORDER BY t) AS pv FROM gt)"""
 
 
 def event_columns(rows: DataFrame) -> DataFrame:
@@ -67,12 +68,12 @@ DAY_US = 86_400_000_000
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, idx, lo, hi (us, half-open) and the region of interest of every third day with events."""
+    """seq, idx, lo, hi (us, half-open) and the region of interest of every day with events."""
     ev = events(spark, sf_dir)
-    days = ev.select("seq", F.floor(F.col("t_us") / DAY_US).alias("idx")).distinct().where("idx % 3 = 0")
+    days = ev.select("seq", F.floor(F.col("t_us") / DAY_US).alias("idx")).distinct()
     x1, y1 = (F.col("seq") % 20).cast("double"), (F.col("seq") * 3 % 15).cast("double")
     return days.select("seq", "idx", (F.col("idx") * DAY_US).alias("lo"), ((F.col("idx") + 1) * DAY_US).alias("hi"), (x1 + 0.5).alias("x1"), (y1 + 0.5).alias("y1"), (x1 + 75.2).alias("x2"), (y1 + 80.7).alias("y2"))
 
 
 INTERVALS_SQL = f"""iv AS (SELECT seq, idx, idx * {DAY_US} AS lo, (idx + 1) * {DAY_US} AS hi, seq % 20 + 0.5::DOUBLE AS x1, seq * 3 % 15 + 0.5::DOUBLE AS y1,
-  seq % 20 + 75.2::DOUBLE AS x2, seq * 3 % 15 + 80.7::DOUBLE AS y2 FROM (SELECT DISTINCT seq, t_us // {DAY_US} AS idx FROM ev) WHERE idx % 3 = 0)"""
+  seq % 20 + 75.2::DOUBLE AS x2, seq * 3 % 15 + 80.7::DOUBLE AS y2 FROM (SELECT DISTINCT seq, t_us // {DAY_US} AS idx FROM ev))"""
