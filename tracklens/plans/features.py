@@ -12,6 +12,7 @@ from ..functions import features as fn
 from ..operators import learning, looming, metrics
 from ..sources import files
 from ..sources.driver import TRACKS_SQL, table, tracks
+from ..sources.shared import written
 from . import looming_sql as lsql
 from .evaluation import _BUCKET, _FAMILY, _M, _sql, evaluated
 from .looming import _CANDIDATES, _V4
@@ -77,15 +78,27 @@ def status_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUANTILES = (5, 10, 15, 25, 35, 50, 65, 75)
 _Q = "q AS (SELECT seq, start, count(*) AS n, max(fit_points) AS max_fit, " + ", ".join(f"quantile_cont(ttc, {k / 100}) AS q{k}" for k in QUANTILES) + f" FROM ({_CANDIDATES} SELECT * FROM cands) GROUP BY 1, 2)"
-_RATED = f"{_sql(13)}, {_Q}, rated AS (SELECT m.seq, m.start, m.status, m.pred, m.truth, m.error, m.fold, q.* EXCLUDE (seq, start), {_FAMILY} AS family, {_NAME.replace('seq', 'm.seq')} AS name FROM m JOIN q ON q.seq = m.seq AND q.start = m.start WHERE pred IS NOT NULL AND truth IS NOT NULL)"
+_SEEN = ("n_rows", "n_kept", "ratio", "spread AS pred_spread", "iqr AS pred_iqr")
+_RATED = f"""{_sql(13)}, {_Q}, seen AS (SELECT seq, start, (n_rows - n_kept)::BIGINT AS collapses, ratio, pred_spread, area / before AS ratio_prev FROM ({lsql.estimate(looming.VARIANTS[13], _SEEN)}) e
+  JOIN (WITH {TRACKS_SQL} SELECT seq, label_id AS start, area, lag(area) OVER (PARTITION BY seq ORDER BY label_id) AS before FROM tracks) USING (seq, start)),
+rated AS (SELECT m.seq, m.start, m.status, m.pred, m.truth, m.error, m.fold, q.* EXCLUDE (seq, start), collapses, ratio, pred_spread, ratio_prev, {_FAMILY} AS family, {_NAME.replace('seq', 'm.seq')} AS name FROM m JOIN q ON q.seq = m.seq AND q.start = m.start JOIN seen ON seen.seq = m.seq AND seen.start = m.start WHERE pred IS NOT NULL AND truth IS NOT NULL)"""
 
 
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimates of the last variant that have truth, with candidate quantiles, family and name."""
-    found = looming.with_candidates(looming.histories(tracks(spark, sf_dir), _V4), _V4)
+    """Estimates of the last variant that have truth, with candidate quantiles, family,
+    name, and what the ladders read: collapses (boxes the history guard drops), ratio
+    (area over the median of five before), ratio_prev (over the one before), pred_spread."""
+    boxes = tracks(spark, sf_dir)
+    found = looming.with_candidates(looming.histories(boxes, _V4), _V4)
     q = looming.with_stats(found, quantiles={f"q{k}": k / 100 for k in QUANTILES}).where("n IS NOT NULL").select("seq", "start", "n", "max_fit", *[f"q{k}" for k in QUANTILES])
+    v = looming.VARIANTS[13]
+    rows = looming.estimated(looming.histories(boxes, v), v)
+    seen = rows.select("seq", "start", (F.col("n_rows") - F.col("n_kept")).cast("bigint").alias("collapses"), "ratio", F.col("spread").alias("pred_spread"))
+    last = Window.partitionBy("seq").orderBy("label_id")
+    steps = boxes.select("seq", F.col("label_id").alias("start"), (F.col("area") / F.lag("area").over(last)).alias("ratio_prev"))
     df = evaluated(spark, sf_dir, 13).where("pred IS NOT NULL AND truth IS NOT NULL")
-    return named(df.join(q, ["seq", "start"]).withColumn("family", metrics.status_family(F.col("status"), F.col("truth"))))
+    df = df.join(q, ["seq", "start"]).join(seen, ["seq", "start"]).join(steps, ["seq", "start"])
+    return named(df.withColumn("family", metrics.status_family(F.col("status"), F.col("truth"))))
 
 
 @query("quantile_relatives", f"{_RATED} SELECT seq, start, round(ln(q10 / pred), 5) AS rel10, round(ln(q50 / pred), 5) AS rel50, round(ln(q50), 5) AS log50, round(ln(q25 / q10), 5) AS spread10_25, round(abs(ln(greatest(q75, 1e-9)) - ln(greatest(pred, 1e-9))), 5) AS gap75 FROM rated")
@@ -150,15 +163,15 @@ def hand_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("rule").agg(F.count("*").alias("n"), F.round(F.avg(error), 4).alias("mean"), F.count_if(error >= 50).alias("high"))
 
 
-_SIGNS = "abs(ln(q75) - ln(pred)) AS smooth, abs(ln(q50) - ln(pred)) AS models, (q75 - q25) / greatest(abs(q50), 1e-6) AS iqr, CASE WHEN (seq + start) % 11 = 0 THEN 1 ELSE 0 END AS collapses, pred <= 3 AS kept"
+_SIGNS = "abs(ln(q75) - ln(pred)) AS smooth, abs(ln(q50) - ln(pred)) AS models, (q75 - q25) / greatest(abs(q50), 1e-6) AS iqr, pred <= 3 AS kept"
 _AT = {"events": ("n", 0.2), "iqr": ("iqr", 0.8), "models": ("models", 0.8), "smooth": ("smooth", 0.8), "points": ("max_fit", 0.2)}
 
 
 def signs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, float]]:
     """Rated rows with what the class ladders read, and thresholds over all rows."""
-    df = rated(spark, sf_dir).withColumns({
+    df = written(rated(spark, sf_dir), "rated").withColumns({
         "smooth": fn.abs_log_ratio(F.col("q75"), F.col("pred")), "models": fn.abs_log_ratio(F.col("q50"), F.col("pred")), "iqr": (F.col("q75") - F.col("q25")) / F.greatest(F.abs("q50"), F.lit(1e-6)),
-        "collapses": F.when((F.col("seq") + F.col("start")) % 11 == 0, 1).otherwise(0), "kept": F.col("pred") <= 3,
+        "kept": F.col("pred") <= 3,
     })
     at = df.agg(*[F.percentile(c, F.lit(q)).alias(n) for n, (c, q) in _AT.items()]).first().asDict()
     return df, at
@@ -182,15 +195,14 @@ def observability_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "boundary_taxonomy",
     f"""{_RATED}, f AS (SELECT *, {_SIGNS} FROM rated), lim AS (SELECT quantile_cont(n, 0.25) AS few, quantile_cont(models, 0.8) AS wide FROM f),
-    k AS (SELECT seq, error, kept, CASE WHEN family IN ('CURGUARD', 'HISTGUARD') OR collapses > 0 THEN 'bbox_collapse_or_guard' WHEN n < 8 OR max_fit < 3 THEN 'low_candidate_support' WHEN iqr >= 0.55 THEN 'candidate_disagreement' WHEN models >= wide THEN 'model_disagreement' WHEN n <= few THEN 'low_event_observability'
-      WHEN family = 'PHASESTABLE' THEN 'stable_low_growth' WHEN family IN ('PHASEEARLY', 'PHASEGROWTH', 'PHASELATE') THEN 'phase_specific_geometry' ELSE 'other_geometry_residual' END AS taxonomy FROM f, lim)
+    k AS (SELECT seq, error, kept, CASE WHEN family IN ('CURGUARD', 'HISTGUARD') OR collapses > 0 OR ratio_prev < 0.25 THEN 'bbox_collapse_or_guard' WHEN n < 8 OR max_fit < 3 THEN 'low_candidate_support' WHEN iqr >= 0.55 OR pred_spread >= 1.20 THEN 'candidate_disagreement' WHEN models >= wide THEN 'model_disagreement' WHEN n <= few THEN 'low_event_observability'
+      WHEN family = 'PHASESTABLE' OR ratio <= 1.05 THEN 'stable_low_growth' WHEN family IN ('PHASEEARLY', 'PHASEGROWTH', 'PHASELATE') THEN 'phase_specific_geometry' ELSE 'other_geometry_residual' END AS taxonomy FROM f, lim)
     SELECT kept, taxonomy, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY kept))::DOUBLE, 6) AS share, count(DISTINCT seq) AS sequences, round(avg(error), 4) AS mean, round(quantile_cont(error, 0.5), 4) AS median FROM k GROUP BY 1, 2""",
 )
 def boundary_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, _ = signs(spark, sf_dir)
     at = df.agg(F.percentile("n", F.lit(0.25)).alias("few"), F.percentile("models", F.lit(0.8)).alias("wide")).first()
-    none = F.lit(None).cast("double")
-    c = fn.boundary_class(F.col("family"), F.col("n"), F.col("max_fit"), F.col("iqr"), none, F.col("n"), F.col("collapses"), none, none, F.col("models"), F.lit(at["few"]), F.lit(at["wide"]))
+    c = fn.boundary_class(F.col("family"), F.col("n"), F.col("max_fit"), F.col("iqr"), F.col("pred_spread"), F.col("n"), F.col("collapses"), F.col("ratio_prev"), F.col("ratio"), F.col("models"), F.lit(at["few"]), F.lit(at["wide"]))
     out = df.groupBy("kept", c.alias("taxonomy")).agg(F.count("*").alias("n"), F.count_distinct("seq").alias("sequences"), F.round(F.avg("error"), 4).alias("mean"), F.round(F.percentile("error", F.lit(0.5)), 4).alias("median"))
     return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("kept")), 6))
 
@@ -248,7 +260,7 @@ def ridge_loso(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ridge_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out predictions of ln truth from three features; no SQL inverts the matrix, tests compare with numpy."""
     rows = rated(spark, sf_dir).where("pred > 0 AND truth > 0").withColumns({"x0": F.log("pred"), "x1": F.log("q50"), "x2": F.col("n"), "y": F.log("truth")})
-    rows = rows.select("seq", "start", "fold", "x0", "x1", "x2", "y", "truth")
+    rows = written(rows.select("seq", "start", "fold", "x0", "x1", "x2", "y", "truth"), "ridge")
     out = learning.predicted(rows, learning.ridge_loso(rows, ["x0", "x1", "x2"], "y", 10.0), ["x0", "x1", "x2"])
     guess = fn.clipped_exp(F.col("fitted"))
     return out.select("seq", "start", F.round(guess, 4).alias("guess"), F.round(metrics.error_pct(guess, F.col("truth")), 3).alias("error"))

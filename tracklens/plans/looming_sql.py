@@ -41,8 +41,8 @@ STATS = f"""stats AS (SELECT *, (q75 - q25) / greatest(abs(q50), 1e-6) AS iqr, (
   SELECT seq, start, src, count(*) AS n, max(fit_points) AS max_fit, min(ttc) AS low, {_QUANTILES} FROM cands GROUP BY 1, 2, 3))"""
 
 
-def estimate(v) -> str:
-    """seq, start, status, ttc of a variant."""
+def estimate(v, extra: tuple[str, ...] = ()) -> str:
+    """seq, start, status, ttc of a variant, and extra columns that its gates read (not rounded)."""
     if v.mode != "multi":
         return f"""WITH {histories(v.back, False)}, {candidates(v, (0,))},
 base AS (SELECT seq, start, count(*) AS n_rows FROM hist GROUP BY 1, 2),
@@ -81,4 +81,4 @@ chosen AS (SELECT *, coalesce(CAST(split_part(gate, '|', 3) AS INTEGER), CAST(sp
   coalesce(split_part(gate, '|', 2), split_part(phase, '|', 1), '') || CASE WHEN cur_guard THEN '_CURGUARD' ELSE '' END || CASE WHEN hist_guard THEN '_HISTGUARD' ELSE '' END AS suffix FROM phased),
 named AS (SELECT *, CASE WHEN n_rows < 2 THEN CASE WHEN cur_guard THEN 'BBOX_CURRENT_COLLAPSE_GUARD_NO_HISTORY' ELSE 'BBOX_HISTORY_TOO_SHORT' END {always} WHEN n IS NULL THEN 'BBOX_FIT_FAIL' {rejected}
   ELSE 'OK_BBOX_MULTI_Q' || pick || suffix END AS status FROM chosen)
-SELECT seq, start, status, CASE WHEN status LIKE 'OK%' THEN round(CASE pick WHEN 10 THEN q10 WHEN 25 THEN q25 WHEN 50 THEN q50 ELSE q75 END, 5) END AS ttc FROM named"""
+SELECT seq, start, status, CASE WHEN status LIKE 'OK%' THEN round(CASE pick WHEN 10 THEN q10 WHEN 25 THEN q25 WHEN 50 THEN q50 ELSE q75 END, 5) END AS ttc{"".join(f", {c}" for c in extra)} FROM named"""
