@@ -50,8 +50,10 @@ def test_roi_and_grid(spark):
     (r,) = surface.roi(boxes).collect()
     assert (r["rx0"], r["ry0"], r["rx1"], r["ry1"]) == (0, 2, 5, 5)
     pixels = spark.createDataFrame([(1, 0, 0, 2, 3, 0.5, 0, 2, 5, 5)], "seq int, idx int, x int, y int, n int, surface double, rx0 int, ry0 int, rx1 int, ry1 int")
-    cells = surface.grid_stats(pixels).orderBy("row", "col").collect()
+    cells = surface.grid_stats(pixels, surface.roi(boxes)).orderBy("row", "col").collect()
     assert len(cells) == 9 and [c["events"] for c in cells] == [3] + [0] * 8 and cells[0]["ratio"] == 1.0
+    nothing = surface.grid_stats(pixels.where("n > 9"), surface.roi(boxes)).collect()
+    assert len(nothing) == 9 and all(c["events"] == c["active"] == c["mean"] == 0 for c in nothing)
     with pytest.raises(ValueError):
         surface.band_score(F.lit(1.0), 1.0, 1.0)
 

@@ -281,3 +281,11 @@ def estimated(rows: DataFrame, v: Variant) -> DataFrame:
     status = status.otherwise(ok)
     value = F.when(pick == 10, F.col("q10")).when(pick == 25, F.col("q25")).when(pick == 50, F.col("q50")).otherwise(F.col("q75"))
     return df.withColumns({"status": status, "value": value}).withColumn("ttc", F.when(F.col("status").startswith("OK"), F.col("value"))).drop("value", "cands")
+
+
+def with_fallback(rows: DataFrame) -> DataFrame:
+    """Estimates (status, ttc, truth) beside another predictor's (fallback, fell): the own estimate, else the
+    other's as OK_LTS_FALLBACK, else the other's status or, without one, the own; nothing where there is no truth."""
+    own, other = F.col("ttc").isNotNull(), F.col("fallback").isNotNull() & F.col("fell").startswith("OK")
+    status = F.when(F.col("truth").isNull(), "GT_INVALID").when(own, F.col("status")).when(other, "OK_LTS_FALLBACK").otherwise(F.coalesce("fell", "status"))
+    return rows.withColumns({"status": status, "ttc": F.when(F.col("truth").isNotNull(), F.coalesce("ttc", "fallback"))})

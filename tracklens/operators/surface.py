@@ -29,10 +29,23 @@ def in_roi(events: DataFrame, intervals: DataFrame, slot: int) -> DataFrame:
     return joined.where((F.col("x") >= F.col("rx0")) & (F.col("x") < F.col("rx1")) & (F.col("y") >= F.col("ry0")) & (F.col("y") < F.col("ry1")))
 
 
+def in_closed_region(events: DataFrame, intervals: DataFrame, slot: int, width: int = 100, height: int = 100, pad: int = 0) -> DataFrame:
+    """Events of each interval inside its padded box, both bounds included and clipped to the sensor's last pixel."""
+    joined = interval_join(events, intervals, slot)
+    across = F.col("x").between(F.greatest(F.lit(0), F.floor("x1") - pad), F.least(F.lit(width - 1), F.ceil("x2") + pad))
+    return joined.where(across & F.col("y").between(F.greatest(F.lit(0), F.floor("y1") - pad), F.least(F.lit(height - 1), F.ceil("y2") + pad)))
+
+
+def last_events(rows: DataFrame, n: int) -> DataFrame:
+    """The n latest rows of each interval; of equal times those of greater event_id."""
+    order = Window.partitionBy("seq", "idx").orderBy(F.desc("t_us"), F.desc("event_id"))
+    return rows.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= n).drop("__place")
+
+
 def time_surface(rows: DataFrame, tau_us: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Per pixel (and extra keys): count, last time, and decay since then at the interval's end."""
+    """Per pixel (and extra keys): count, last time, and decay since then at the interval's end; the box and its region go along."""
     keys = ["seq", "idx", *extra, "x", "y"]
-    out = rows.groupBy(*keys, "hi", "rx0", "ry0", "rx1", "ry1").agg(F.count("*").alias("n"), F.max("t_us").alias("last_us"))
+    out = rows.groupBy(*keys, "hi", "rx0", "ry0", "rx1", "ry1", "x1", "y1", "x2", "y2").agg(F.count("*").alias("n"), F.max("t_us").alias("last_us"))
     return out.withColumn("surface", F.exp(-(F.col("hi") - F.col("last_us")) / F.lit(float(tau_us))))
 
 
@@ -41,21 +54,37 @@ def _cell(offset: Column, size: Column, k: int) -> Column:
     return sum((F.when(offset >= F.floor(F.lit(i) * size / k), 1).otherwise(0) for i in range(1, k)), F.lit(0))
 
 
-def grid_stats(surface: DataFrame, k: int = 3) -> DataFrame:
-    """All k * k cells of each interval: events, active pixels, ratio, mean, max and min surface; empty cells are zeros."""
+def region_stats(surface: DataFrame, regions: DataFrame) -> DataFrame:
+    """regions plus n events, active pixels, occupancy and mean surface; zeros where an interval has no event in its region."""
+    sums = surface.groupBy("seq", "idx").agg(F.sum("n").alias("n"), F.count("*").alias("active"), F.avg("surface").alias("mean"))
+    area = (F.col("rx1") - F.col("rx0")) * (F.col("ry1") - F.col("ry0"))
+    return regions.join(sums, ["seq", "idx"], "left").fillna(0, ["n", "active", "mean"]).withColumn("occupancy", F.col("active") / area)
+
+
+def grid_stats(surface: DataFrame, regions: DataFrame, k: int = 3) -> DataFrame:
+    """All k * k cells of each region (of ``roi``): events, active pixels, ratio, mean, max and min surface; empty cells are zeros."""
     h, w = F.col("ry1") - F.col("ry0"), F.col("rx1") - F.col("rx0")
     cells = surface.withColumns({"row": _cell(F.col("y") - F.col("ry0"), h, k), "col": _cell(F.col("x") - F.col("rx0"), w, k)})
     have = cells.groupBy("seq", "idx", "row", "col").agg(
         F.sum("n").alias("events"), F.count("*").alias("active"), F.avg("surface").alias("mean"), F.max("surface").alias("top"), F.min("surface").alias("low")
     )
-    bounds = surface.select("seq", "idx", "rx0", "ry0", "rx1", "ry1").distinct()
-    dense = bounds.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    dense = regions.select("seq", "idx", "rx0", "ry0", "rx1", "ry1").withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     edge = lambda i, n: F.floor(i * n / k)
     area = (edge(F.col("row") + 1, h) - edge(F.col("row"), h)) * (edge(F.col("col") + 1, w) - edge(F.col("col"), w))
     out = dense.withColumn("area", area).join(have, ["seq", "idx", "row", "col"], "left").fillna(0, ["events", "active", "mean", "top", "low"])
     return out.withColumn("ratio", F.col("active") / F.greatest(F.col("area"), F.lit(1))).select("seq", "idx", "row", "col", "events", "active", "ratio", "mean", "top", "low")
 
 
+def feature_vector(cells: DataFrame, regions: DataFrame) -> DataFrame:
+    """Per interval an array: log counts, occupancies and mean surfaces of its cells in
+    row order, then height, width, area, events, occupancy and mean surface of its region."""
+    parts = F.sort_array(F.collect_list(F.struct("row", "col", F.log1p("events").alias("log"), F.col("ratio").cast("double").alias("ratio"), "mean")))
+    grids = cells.groupBy("seq", "idx").agg(parts.alias("parts"))
+    h, w = F.col("ry1") - F.col("ry0"), F.col("rx1") - F.col("rx0")
+    whole = F.array(*[c.cast("double") for c in (h, w, h * w, F.col("n"), F.col("occupancy"), F.col("mean"))])
+    return grids.join(regions.select("seq", "idx", whole.alias("whole")), ["seq", "idx"]).select("seq", "idx", F.concat("parts.log", "parts.ratio", "parts.mean", "whole").alias("vector"))
+
+
 def log_score(value: Column, target: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.log1p(value) / F.log1p(F.lit(max(1e-6, target)))))
 
@@ -114,7 +143,7 @@ def expansion_cues(surface: DataFrame, cells: DataFrame, unit_us: float, k: int
     h, w = F.col("ry1") - F.col("ry0"), F.col("rx1") - F.col("rx0")
     rows = surface.withColumns({"row": _cell(F.col("y") - F.col("ry0"), h, k), "col": _cell(F.col("x") - F.col("rx0"), w, k)})
     rows = rows.join(cells.select("seq", "idx", "row", "col", "conf"), ["seq", "idx", "row", "col"])
-    dx, dy = F.col("x") - (F.col("rx0") + F.col("rx1")) / 2, F.col("y") - (F.col("ry0") + F.col("ry1")) / 2
+    dx, dy = F.col("x") - (F.col("x1") + F.col("x2")) / 2, F.col("y") - (F.col("y1") + F.col("y2")) / 2
     age = (F.col("last_us") - F.col("hi")) / F.lit(unit_us)
     fits = weighted_fit(rows, ["seq", "idx", "row", "col", "conf"], age, F.sqrt(dx * dx + dy * dy), F.col("surface"))
     ttc = F.col("icept") / F.col("slope")

@@ -1,6 +1,6 @@
 """The registered queries of the engine."""
 
-from . import cues, evaluation, events, features, looming, streams
+from . import cues, evaluation, events, features, looming, quality, streams
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cues", "evaluation", "events", "features", "looming", "streams"]
+__all__ = ["ORACLES", "QUERIES", "cues", "evaluation", "events", "features", "looming", "quality", "streams"]

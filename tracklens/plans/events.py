@@ -15,25 +15,39 @@ TAU_US = 20_000_000_000
 
 _BASE = f"WITH {EVENTS_SQL}, {INTERVALS_SQL}"
 _ROI = f"""{_BASE}, roi AS (SELECT *, greatest(0, floor(x1))::BIGINT AS rx0, greatest(0, floor(y1))::BIGINT AS ry0, least(100, ceil(x2))::BIGINT AS rx1, least(100, ceil(y2))::BIGINT AS ry1 FROM iv),
-inside AS (SELECT e.*, r.idx, r.hi, rx0, ry0, rx1, ry1 FROM ev e JOIN roi r ON e.seq = r.seq AND e.t_us >= r.lo AND e.t_us < r.hi AND e.x >= rx0 AND e.x < rx1 AND e.y >= ry0 AND e.y < ry1 WHERE rx1 > rx0 AND ry1 > ry0),
-surf AS (SELECT seq, idx, x, y, hi, rx0, ry0, rx1, ry1, count(*) AS n, max(t_us) AS last_us, exp(-(hi - max(t_us)) / {TAU_US}::DOUBLE) AS surface FROM inside GROUP BY seq, idx, x, y, hi, rx0, ry0, rx1, ry1)"""
+inside AS (SELECT e.*, r.idx, r.hi, rx0, ry0, rx1, ry1, x1, y1, x2, y2 FROM ev e JOIN roi r ON e.seq = r.seq AND e.t_us >= r.lo AND e.t_us < r.hi AND e.x >= rx0 AND e.x < rx1 AND e.y >= ry0 AND e.y < ry1 WHERE rx1 > rx0 AND ry1 > ry0),
+surf AS (SELECT seq, idx, x, y, hi, rx0, ry0, rx1, ry1, x1, y1, x2, y2, count(*) AS n, max(t_us) AS last_us, exp(-(hi - max(t_us)) / {TAU_US}::DOUBLE) AS surface FROM inside GROUP BY seq, idx, x, y, hi, rx0, ry0, rx1, ry1, x1, y1, x2, y2),
+regions AS (SELECT * FROM roi WHERE rx1 > rx0 AND ry1 > ry0)"""
 _GRID = f"""{_ROI}, celled AS (SELECT *, CASE WHEN y - ry0 >= (ry1 - ry0) // 3 THEN 1 ELSE 0 END + CASE WHEN y - ry0 >= 2 * (ry1 - ry0) // 3 THEN 1 ELSE 0 END AS "row",
     CASE WHEN x - rx0 >= (rx1 - rx0) // 3 THEN 1 ELSE 0 END + CASE WHEN x - rx0 >= 2 * (rx1 - rx0) // 3 THEN 1 ELSE 0 END AS col FROM surf),
 have AS (SELECT seq, idx, "row", col, sum(n) AS events, count(*) AS active, avg(surface) AS mean, max(surface) AS top, min(surface) AS low FROM celled GROUP BY seq, idx, "row", col),
 cells AS (SELECT b.seq, b.idx, r."row", c.col, coalesce(h.events, 0)::BIGINT AS events, coalesce(h.active, 0) AS active,
     coalesce(h.active, 0) / greatest(1, ((r."row" + 1) * (ry1 - ry0) // 3 - r."row" * (ry1 - ry0) // 3) * ((c.col + 1) * (rx1 - rx0) // 3 - c.col * (rx1 - rx0) // 3))::DOUBLE AS ratio,
     coalesce(h.mean, 0) AS mean, coalesce(h.top, 0) AS top, coalesce(h.low, 0) AS low
-  FROM (SELECT DISTINCT seq, idx, rx0, ry0, rx1, ry1 FROM surf) b CROSS JOIN (SELECT unnest(range(3)) AS "row") r CROSS JOIN (SELECT unnest(range(3)) AS col) c
+  FROM regions b CROSS JOIN (SELECT unnest(range(3)) AS "row") r CROSS JOIN (SELECT unnest(range(3)) AS col) c
   LEFT JOIN have h ON h.seq = b.seq AND h.idx = b.idx AND h."row" = r."row" AND h.col = c.col)"""
 _CONF = f"""{_GRID}, conf AS (SELECT *, CASE WHEN active > 0 THEN 0.35 * greatest(0, least(1, ln(1 + events) / ln(9::DOUBLE))) + 0.30 * greatest(0, least(1, ratio / 0.05)) + 0.35 * greatest(0, least(1, (mean - 0.05) / 0.6)) ELSE 0 END AS conf FROM cells)"""
 
 
-def _surface(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    return ops.time_surface(ops.in_roi(events(spark, sf_dir), intervals(spark, sf_dir), DAY_US), TAU_US, extra)
+def _spans(sql: str, days: int) -> str:
+    """The SQL with intervals, decay and unit of age of so many days."""
+    return sql.replace(str(DAY_US), str(days * DAY_US)).replace(str(TAU_US), str(days * TAU_US))
 
 
-def _confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.local_confidence(ops.grid_stats(_surface(spark, sf_dir)))
+def _surface(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = (), days: int = 1) -> DataFrame:
+    return ops.time_surface(ops.in_roi(events(spark, sf_dir), intervals(spark, sf_dir, days), days * DAY_US), days * TAU_US, extra)
+
+
+def _regions(spark: SparkSession, sf_dir: str, days: int = 1) -> DataFrame:
+    return ops.roi(intervals(spark, sf_dir, days))
+
+
+def _grid(spark: SparkSession, sf_dir: str, days: int = 1) -> DataFrame:
+    return ops.grid_stats(_surface(spark, sf_dir, days=days), _regions(spark, sf_dir, days))
+
+
+def _confidence(spark: SparkSession, sf_dir: str, days: int = 1) -> DataFrame:
+    return ops.local_confidence(_grid(spark, sf_dir, days))
 
 
 @query("event_interval_join", f"{_BASE} SELECT i.seq, i.idx, count(*) AS n, min(event_id) AS first_event, max(event_id) AS last_event FROM ev e JOIN iv i ON e.seq = i.seq AND e.t_us >= i.lo AND e.t_us < i.hi GROUP BY 1, 2")
@@ -75,16 +89,15 @@ def time_surface_multitau(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "roi_summary",
-    f"{_ROI} SELECT seq, idx, sum(n)::BIGINT AS n, count(*) AS active, round(count(*) / max((rx1 - rx0) * (ry1 - ry0))::DOUBLE, 9) AS occupancy, round(avg(surface), 8) AS mean FROM surf GROUP BY 1, 2",
+    f"{_ROI} SELECT r.seq, r.idx, coalesce(sum(n), 0)::BIGINT AS n, count(s.n) AS active, round(count(s.n) / max((r.rx1 - r.rx0) * (r.ry1 - r.ry0))::DOUBLE, 9) AS occupancy, round(coalesce(avg(surface), 0), 8) AS mean FROM regions r LEFT JOIN surf s ON s.seq = r.seq AND s.idx = r.idx GROUP BY 1, 2",
 )
 def roi_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    area = F.max((F.col("rx1") - F.col("rx0")) * (F.col("ry1") - F.col("ry0")))
-    return _surface(spark, sf_dir).groupBy("seq", "idx").agg(F.sum("n").alias("n"), F.count("*").alias("active"), F.round(F.count("*") / area, 9).alias("occupancy"), F.round(F.avg("surface"), 8).alias("mean"))
+    return ops.region_stats(_surface(spark, sf_dir), _regions(spark, sf_dir)).select("seq", "idx", "n", "active", F.round("occupancy", 9).alias("occupancy"), F.round("mean", 8).alias("mean"))
 
 
 @query("grid_stats_3x3", f'{_GRID} SELECT seq, idx, "row", col, events, active, round(ratio, 9) AS ratio, round(mean, 8) AS mean, round(top, 8) AS top, round(low, 8) AS low FROM cells')
 def grid_stats_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.grid_stats(_surface(spark, sf_dir)).select("seq", "idx", "row", "col", "events", "active", F.round("ratio", 9).alias("ratio"), *[F.round(c, 8).alias(c) for c in ("mean", "top", "low")])
+    return _grid(spark, sf_dir).select("seq", "idx", "row", "col", "events", "active", F.round("ratio", 9).alias("ratio"), *[F.round(c, 8).alias(c) for c in ("mean", "top", "low")])
 
 
 @query("local_confidence", f'{_CONF} SELECT seq, idx, "row", col, round(conf, 8) AS conf FROM conf')

@@ -207,21 +207,6 @@ def boundary_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("kept")), 6))
 
 
-@query(
-    "compare_buckets",
-    f"""{_RATED}, f AS (SELECT CASE WHEN seq % 3 = 0 THEN 'OK_FALLBACK' ELSE 'OK' END AS v1, CASE WHEN start % 2 = 0 THEN 'OK_FALLBACK' ELSE 'OK' END AS v2, (abs(q50 - truth) - abs(pred - truth)) / truth * 100 AS delta, q10 / q75 AS cue, n <= 30 AS few FROM rated),
-    k AS (SELECT CASE WHEN v1 = 'OK' AND v2 = 'OK_FALLBACK' AND delta >= 15 THEN 'GUARD_FALSE_REJECT' WHEN v2 = 'OK_FALLBACK' AND delta <= -15 THEN 'FALLBACK_WIN_BIG' WHEN cue < 0.55 THEN 'CUE_UNDERESTIMATE' WHEN few THEN 'LOW_SUPPORT' WHEN v1 = 'OK_FALLBACK' AND v2 = 'OK_FALLBACK' AND abs(delta) <= 5 THEN 'STABLE_FALLBACK' ELSE 'OTHER' END AS bucket,
-      concat_ws('|', CASE WHEN v1 = 'OK' AND v2 = 'OK_FALLBACK' THEN 'GUARD_SWITCH' END, CASE WHEN delta <= -15 THEN 'BIG_IMPROVEMENT' END, CASE WHEN delta >= 15 THEN 'BIG_REGRESSION' END, CASE WHEN cue < 0.55 THEN 'CUE_UNDERESTIMATE' END, CASE WHEN few THEN 'LOW_SUPPORT' END) AS flags FROM f)
-    SELECT bucket, flags, count(*) AS n FROM k GROUP BY 1, 2""",
-)
-def compare_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    args = (
-        F.when(F.col("seq") % 3 == 0, "OK_FALLBACK").otherwise("OK"), F.when(F.col("start") % 2 == 0, "OK_FALLBACK").otherwise("OK"),
-        (F.abs(F.col("q50") - F.col("truth")) - F.abs(F.col("pred") - F.col("truth"))) / F.col("truth") * 100, F.col("q10") / F.col("q75"), F.col("n") <= 30,
-    )
-    return rated(spark, sf_dir).groupBy(fn.compare_bucket(*args).alias("bucket"), fn.compare_flags(*args).alias("flags")).agg(F.count("*").alias("n"))
-
-
 @query("flag_counts", f"{_M}, x AS (SELECT fold, unnest(string_split({_FAMILY} || '|' || {_BUCKET}, '|')) AS flag FROM m) SELECT coalesce(fold::VARCHAR, 'ALL') AS fold, flag, count(*) AS n FROM x GROUP BY GROUPING SETS ((fold, flag), (flag))")
 def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = F.concat_ws("|", metrics.status_family(F.col("status"), F.col("truth")), metrics.truth_bucket(F.col("truth")))

@@ -67,12 +67,13 @@ EVENTS_SQL = """ev AS (SELECT user_id AS seq, event_id, epoch_us(ts) AS t_us, CA
 DAY_US = 86_400_000_000
 
 
-def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, idx, lo, hi (us, half-open) and the region of interest of every day with events."""
+def intervals(spark: SparkSession, sf_dir: str, days: int = 1) -> DataFrame:
+    """seq, idx, lo, hi (us, half-open) and the region of interest of every span of so many days with events."""
+    width = days * DAY_US
     ev = events(spark, sf_dir)
-    days = ev.select("seq", F.floor(F.col("t_us") / DAY_US).alias("idx")).distinct()
+    days = ev.select("seq", F.floor(F.col("t_us") / width).alias("idx")).distinct()
     x1, y1 = (F.col("seq") % 20).cast("double"), (F.col("seq") * 3 % 15).cast("double")
-    return days.select("seq", "idx", (F.col("idx") * DAY_US).alias("lo"), ((F.col("idx") + 1) * DAY_US).alias("hi"), (x1 + 0.5).alias("x1"), (y1 + 0.5).alias("y1"), (x1 + 75.2).alias("x2"), (y1 + 80.7).alias("y2"))
+    return days.select("seq", "idx", (F.col("idx") * width).alias("lo"), ((F.col("idx") + 1) * width).alias("hi"), (x1 + 0.5).alias("x1"), (y1 + 0.5).alias("y1"), (x1 + 75.2).alias("x2"), (y1 + 80.7).alias("y2"))
 
 
 INTERVALS_SQL = f"""iv AS (SELECT seq, idx, idx * {DAY_US} AS lo, (idx + 1) * {DAY_US} AS hi, seq % 20 + 0.5::DOUBLE AS x1, seq * 3 % 15 + 0.5::DOUBLE AS y1,
