@@ -33,6 +33,14 @@ DIGITS = 16
 SIMILAR = 0.8
 
 
+def _any_anchor() -> str:
+    """A pattern for the anchors, grouped by first letter so that a word tries few of them."""
+    rests: dict[str, list[str]] = {}
+    for a in ANCHORS:
+        rests.setdefault(a[0], []).append(a[1:])
+    return "|".join(f"{first}(?:{'|'.join(r)})(?![^ ])" for first, r in sorted(rests.items()))
+
+
 def _signature(anchor: Column, chain: Column) -> Column:
     return F.substring(F.md5(F.concat(anchor, F.lit(" "), chain)), 1, DIGITS)
 
@@ -44,7 +52,7 @@ def with_signatures(df: DataFrame, text: str, into: str) -> DataFrame:
     df = df.select(*keep, joined.alias("__joined"))
     # A line for each run of anchors and the content words after it; the anchors of a
     # run are set apart by tabs.  The first line precedes all anchors.
-    before_anchor = rf"(?<![^ ])(?=(?:{'|'.join(ANCHORS)})(?![^ ]))"
+    before_anchor = rf"(?<![^ ])(?=[{''.join(sorted({a[0] for a in ANCHORS}))}])(?={_any_anchor()})"
     longest = max(map(len, ANCHORS))
     runs = F.regexp_replace(F.regexp_replace("__joined", before_anchor, "\n"), rf"(?<=\n[^ ]{{1,{longest}}} )\n", "\t")
     df = df.select(*keep, "__joined", F.split(runs, "\n").alias("__runs"))
