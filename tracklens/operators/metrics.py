@@ -68,3 +68,19 @@ def zscores(df: DataFrame, columns: list[str], floor: float = 1e-6) -> DataFrame
     stats = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in columns]).first()
     scale = lambda c: 1.0 if stats[c]["s"] is None or stats[c]["s"] < floor else stats[c]["s"]
     return df.withColumns({c: (F.col(c) - F.lit(stats[c]["m"])) / F.lit(scale(c)) for c in columns})
+
+
+def metric_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Count of all rows, and mean, median, 90th percentile and counts over 50 and 100 of the errors there are."""
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("truth"))), 5).alias("mae"), F.round(F.avg("error"), 4).alias("mean"), F.round(F.percentile("error", F.lit(0.5)), 4).alias("median"),
+        F.round(F.percentile("error", F.lit(0.9)), 4).alias("p90"), F.count_if(F.col("error") > 50).alias("over50"), F.count_if(F.col("error") > 100).alias("over100"),
+    )
+
+
+def seeded_split(rows: DataFrame, group: str, key: str, share: float, seed: int) -> DataFrame:
+    """rows plus held: in each group of two or more, the first share by a seeded hash of group and key, at least one, never all."""
+    order = Window.partitionBy(group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), group, key)), key)
+    n = F.count("*").over(Window.partitionBy(group))
+    wanted = F.least(n - 1, F.greatest(F.lit(1), F.rint(n * F.lit(share)).cast("bigint"))) if share > 0 else F.lit(0)
+    return rows.withColumn("held", (n >= 2) & (F.row_number().over(order) <= wanted))

@@ -162,3 +162,30 @@ def predict_from_cues(cues: DataFrame, fallback: DataFrame) -> DataFrame:
     both = fallback.join(median, ["seq", "idx"], "left")
     blend = (1 - FALLBACK_SHARE) * F.col("median") + FALLBACK_SHARE * F.col("fallback")
     return both.select("seq", "idx", F.coalesce(blend, "median", "fallback").alias("ttc"), F.when(F.col("median").isNotNull(), "OK").when(F.col("fallback").isNotNull(), "OK_FALLBACK").otherwise("NO_VALID_FEATURE").alias("status"))
+
+
+#: A growing spread of events counts from this slope and size, within this range of times.
+GROW_SLOPE, GROW_SIZE, GROW_RANGE = 1.0, 3.0, (0.05, 16.0)
+
+
+def expansion_candidates(rows: DataFrame, bins: int, least: int, unit_us: float) -> DataFrame:
+    """seq, cue, slope, size, ttc and bins of each interval whose events spread out.
+
+    ``rows`` are the interval's events with its lo, hi (us) and box, of which those inside the closed
+    float box count.  Each of ``bins`` equal bins (the last closed) with ``least`` events gives its median time,
+    three quantiles of the distance from the box's centre, and the widths between the 5 and 95 % quantiles; a
+    line through three or more bins gives a cue's size at ``hi`` and its growth.
+    """
+    inside = rows.where(F.col("x").between(F.col("x1"), F.col("x2")) & F.col("y").between(F.col("y1"), F.col("y2")) & (F.col("t_us") >= F.col("lo")) & (F.col("t_us") <= F.col("hi")))
+    place = F.least(F.lit(bins - 1), F.floor((F.col("t_us") - F.col("lo")) * bins / F.greatest(F.lit(1), F.col("hi") - F.col("lo"))))
+    dx, dy = F.col("x") - (F.col("x1") + F.col("x2")) / 2, F.col("y") - (F.col("y1") + F.col("y2")) / 2
+    q = lambda c, p: F.percentile(c, F.lit(p))
+    age = (F.col("t_us") - F.col("hi")) / F.lit(unit_us)
+    binned = inside.withColumns({"bin": place, "r": F.sqrt(dx * dx + dy * dy), "age": age}).groupBy("seq", "bin").agg(
+        F.count("*").alias("n"), q("age", 0.5).alias("age"), q("r", 0.7).alias("r70"), q("r", 0.8).alias("r80"), q("r", 0.9).alias("r90"), (q("x", 0.95) - q("x", 0.05)).alias("w90"), (q("y", 0.95) - q("y", 0.05)).alias("h90")
+    )
+    cues = ("r70", "r80", "r90", "w90", "h90")
+    enough = binned.withColumn("all_n", F.sum("n").over(Window.partitionBy("seq"))).where((F.col("all_n") >= bins * least) & (F.col("n") >= least))
+    fits = enough.groupBy("seq").agg(F.count("*").alias("bins"), F.array(*[F.struct(F.lit(c).alias("cue"), F.regr_slope(c, "age").alias("slope"), F.regr_intercept(c, "age").alias("size")) for c in cues]).alias("fits"))
+    out = fits.where("bins >= 3").select("seq", "bins", F.inline("fits")).withColumn("ttc", F.col("size") / F.col("slope"))
+    return out.where((F.col("slope") > GROW_SLOPE) & (F.col("size") > GROW_SIZE) & F.col("ttc").between(*GROW_RANGE))
