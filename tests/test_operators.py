@@ -3,6 +3,7 @@
 import math
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,15 +77,15 @@ def test_smoothing(spark):
 
 def test_threshold_gate_against_search(spark):
     rows = [(k % 3, float(k % 11), float((k * 7) % 13)) for k in range(60)]
-    thresholds = [2.0, 4.0, 6.0, 8.0]
+    shares = [0.2, 0.35, 0.6, 0.8]
     df = spark.createDataFrame(rows, "fold int, f double, error double")
-    got = {r["fold"]: r["threshold"] for r in gates.threshold_gate(df, "f", thresholds, 5.9, 5).collect()}
+    got = {r["fold"]: r["threshold"] for r in gates.threshold_gate(df, "f", shares, 5.9, 5).collect()}
     for fold in range(3):
         train = [(f, e) for g, f, e in rows if g != fold]
-        options = [(t, [e for f, e in train if f <= t]) for t in thresholds]
+        options = [(t, [e for f, e in train if f <= t]) for t in (float(t) for t in np.quantile([f for f, _ in train], shares))]
         options = [(t, len(k), sum(k) / len(k)) for t, k in options if len(k) >= 5]
         good = [o for o in options if o[2] <= 5.9]
-        assert got[fold] == (max(good, key=lambda o: (o[1], -o[0]))[0] if good else min(options, key=lambda o: (o[2], o[0]))[0])
+        assert got[fold] == pytest.approx(max(good, key=lambda o: (o[1], -o[0]))[0] if good else min(options, key=lambda o: (o[2], o[0]))[0])
 
 
 def test_status_families_and_failures(spark):
