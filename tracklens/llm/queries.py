@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, jaccard, langid, licenses, linkgraph, spotsigs, sql, wordpieces
+from . import bpe, chat, decontaminate, html, jaccard, langid, licenses, linkgraph, pieces, spotsigs, sql, wordpieces
 from .common import table
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -94,6 +94,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
 
 
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -105,5 +109,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 ORACLES: dict[str, str] = {"op2_ngram_jaccard": sql.NGRAM_JACCARD, "op7_fingerprints": sql.FINGERPRINTS, "op9_chat_formatting": sql.CHAT_FORMATTING}
