@@ -46,3 +46,17 @@ t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, ro
 f AS (SELECT *, '<turn>' || replace({_ESCAPED.format("role")}, chr(10), '\\n') || chr(10) || {_ESCAPED.format("text")} || '</turn>' || chr(10) AS shown FROM t),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS turns, coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS loss, sum(length(shown))::BIGINT AS formatted_chars FROM f GROUP BY 1)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
+FILTER_AUDIT = rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+told AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(w) < 100)::INTEGER + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INTEGER + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t))::INTEGER
+  + 8 * regexp_matches(t, '[#$%&*|]')::INTEGER + 16 * coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)::INTEGER AS mask FROM d LEFT JOIN told ON told.doc_id = d.doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY ALL),
+b AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.l || b1.l || b2.l || b3.l || b4.l AS filter_order FROM b a, b b1, b b2, b b3, b b4 WHERE len(list_distinct([a.l, b1.l, b2.l, b3.l, b4.l])) = 5),
+s AS (SELECT filter_order, step, b.bit, (SELECT coalesce(sum(e.bit), 0)::INTEGER FROM b e WHERE strpos(left(filter_order, step::INTEGER - 1), e.l) > 0) AS before FROM o, range(1, 6) r(step), b WHERE b.l = filter_order[step]),
+p AS (SELECT DISTINCT part FROM f),
+r AS (SELECT part, filter_order, step::INTEGER AS step, bit, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(g) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(x) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost FROM p JOIN c USING (part), s GROUP BY ALL)
+SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r"""
