@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, chat, decontaminate, html, jaccard, langid, licenses, linkgraph, pieces, spotsigs, sql, wordpieces
+from . import audit, bpe, chat, decontaminate, html, jaccard, langid, licenses, linkgraph, pieces, repair, spotsigs, sql, wordpieces
 from .common import table
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -94,6 +94,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -113,7 +117,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_structure_repair": op11_structure_repair,
     "op12_filter_audit": op12_filter_audit,
     "op13_sentence_pieces": op13_sentence_pieces,
 }
-ORACLES: dict[str, str] = {"op2_ngram_jaccard": sql.NGRAM_JACCARD, "op7_fingerprints": sql.FINGERPRINTS, "op9_chat_formatting": sql.CHAT_FORMATTING, "op12_filter_audit": sql.FILTER_AUDIT}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": sql.NGRAM_JACCARD, "op7_fingerprints": sql.FINGERPRINTS, "op9_chat_formatting": sql.CHAT_FORMATTING, "op11_structure_repair": sql.STRUCTURE_REPAIR, "op12_filter_audit": sql.FILTER_AUDIT}

@@ -60,3 +60,49 @@ r AS (SELECT part, filter_order, step::INTEGER AS step, bit, coalesce(sum(n) FIL
   coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
   coalesce(sum(g) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(x) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost FROM p JOIN c USING (part), s GROUP BY ALL)
 SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r"""
+
+
+def _after(state: int, cost: str, edit: str, only: str = "true") -> str:
+    """The path v[state] with an edit more, null where it isn't reached."""
+    return f"CASE WHEN v[{state}] IS NOT NULL AND {only} THEN {{'c': v[{state}].c + {cost}, 'a': v[{state}].a || '{edit}'}} END"
+
+
+def _least(*paths: str) -> str:
+    return f"list_sort(list_filter([{', '.join(paths)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _closed(paths: str, source: str) -> str:
+    """Rows of source with the list v of paths followed by insertions."""
+    first = f"SELECT * REPLACE ([v[1], v[2], {_least('v[3]', _after(1, '2', 'I'), _after(2, '2', 'I'))}, v[4]] AS v) FROM (SELECT {paths} FROM {source})"
+    second = f"SELECT * REPLACE ([v[1], v[2], v[3], {_least('v[4]', _after(3, '2', 'I'))}] AS v) FROM ({first})"
+    return f"SELECT * REPLACE ([v[1], v[2], {_least('v[3]', _after(4, '2', 'I'))}, v[4]] AS v) FROM ({second})"
+
+
+def _taken(state: int, initial: str) -> tuple[str, str]:
+    return _after(state, "late", "K", f"NOT gone AND i = '{initial}'"), _after(state, "2 + late", "R", "NOT gone")
+
+
+_STEP = ", ".join([
+    _after(1, "3", "D"), _least(_after(2, "3", "D"), _after(1, "late", "K", "NOT gone AND i = 's'")),
+    _least(_after(3, "3", "D"), *_taken(1, "u"), *_taken(2, "u"), *_taken(4, "u")), _least(_after(4, "3", "D"), *_taken(3, "a")),
+])
+_CRC = "xor(list_reduce(flatten(list_transform(string_split(key, ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0])), lambda c, e: xor(xor(c, e) >> 1, (xor(c, e) & 1) * 3988292384), 4294967295::BIGINT), 4294967295)"
+
+STRUCTURE_REPAIR = rf"""WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+kinds AS (SELECT *, {_CRC} % 20 AS kind FROM named),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM d),
+f AS (SELECT *, role[1] AS i, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut FROM o),
+g AS (SELECT *, blank OR again AS gone, (NOT blank AND NOT again AND cut)::BIGINT AS late, lag(i) OVER (PARTITION BY conv_id ORDER BY k) || i AS pair FROM f),
+told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate, sum(late)::BIGINT AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n FROM g GROUP BY 1),
+best(conv_id, k, v) AS ({_closed("*", "(SELECT conv_id, 0::BIGINT AS k, [{'c': 0::BIGINT, 'a': ''}, NULL, NULL, NULL] AS v FROM told)")}
+  UNION ALL {_closed(f"conv_id, k, [{_STEP}] AS v", "(SELECT g.*, v FROM best JOIN g ON g.conv_id IS NOT DISTINCT FROM best.conv_id AND g.k = best.k + 1)")}),
+ends AS (SELECT told.*, {_least("v[1]", "v[4]")} AS p FROM told JOIN best ON best.conv_id IS NOT DISTINCT FROM told.conv_id AND best.k = told.n),
+edits AS (SELECT conv_id, nr, p.a[nr] AS edit FROM (SELECT conv_id, p, unnest(range(1, len(p.a) + 1)) AS nr FROM ends)),
+places AS (SELECT *, count(*) FILTER (edit <> 'I') OVER w AS k, count(*) FILTER (edit <> 'D') OVER w AS place FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY nr)),
+kept AS (SELECT e.*, g.role, g.text, bool_or(edit = 'K' AND i = 's') OVER (PARTITION BY e.conv_id)::INTEGER AS shift FROM places e LEFT JOIN g ON edit <> 'I' AND g.conv_id IS NOT DISTINCT FROM e.conv_id AND g.k = e.k WHERE edit <> 'D'),
+lines AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY nr) AS whole FROM kept GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(p.c, 0) AS cost, coalesce(p.a, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN lines ON lines.conv_id IS NOT DISTINCT FROM c.conv_id"""
