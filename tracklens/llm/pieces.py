@@ -25,6 +25,7 @@ import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,9 @@ CHARSMAP, DUMMY_PREFIX, REMOVE_SPACES, ESCAPE_SPACES = 2, 3, 4, 5
 BPE = 2
 END = "</s>"
 
+#: A part's ids in decimal, joined by spaces, and the bytes that they stand for.
+Coded = tuple[str, bytes]
+
 _MASK = (1 << 32) - 1
 codecs.register_error("tracklens-each-byte", lambda e: ("�", e.start + 1))
 
@@ -86,7 +90,7 @@ def _parts(pairs: set[str]) -> str:
     return rf" *[^{other}]+| *(?:(?! )[{other}])+| +"
 
 
-def _kept(cache: dict[str, bytes], part: str, value: bytes) -> bytes:
+def _kept(cache: dict[str, Coded], part: str, value: Coded) -> Coded:
     """value, remembered unless the part is long."""
     if len(part) <= CACHE_CHARS:
         if len(cache) >= CACHE_ENTRIES:
@@ -126,8 +130,8 @@ class Pieces:
         self.decimals = [str(i) for i in range(len(rows))]
         self.pairs = {p[k : k + 2] for p in self.ranks for k in range(len(p) - 1)}
         self.parts = re.compile(_parts(self.pairs), re.DOTALL)
-        self.cache: dict[str, bytes] = {}
-        self.merged: dict[str, bytes] = {}
+        self.cache: dict[str, Coded] = {}
+        self.merged: dict[str, Coded] = {}
         self.fresh: list[tuple[str, list[int]]] = []  # merged since the library was last asked
         joined = set("".join(self.pairs))
         self.wall = next(c for c in map(chr, range(1, 0x110000)) if c not in joined)  # no piece joins it to anything
@@ -135,13 +139,10 @@ class Pieces:
     def merge(self, part: str) -> list[int]:
         """Ids of a part, by the agenda of adjacent pairs."""
         n, rank_of, symbols = len(part), self.ranks.get, list(part)
-        after, before, best = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        agenda = []
-        for i in range(n - 1):
-            rank = rank_of(part[i : i + 2])
-            if rank is not None:
-                best[i] = rank
-                agenda.append(rank << 32 | i)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        best = [rank_of(pair, -1) for pair in map(add, part, part[1:])]  # of the pair that starts there
+        agenda = [rank << 32 | i for i, rank in enumerate(best) if rank >= 0]
+        best.append(-1)
         heapify(agenda)
         while agenda:
             entry = heappop(agenda)
@@ -153,52 +154,56 @@ class Pieces:
             symbols[gone], best[gone] = "", -1
             follows, prior = after[gone], before[at]
             after[at] = follows
-            rank = None
             if follows < n:
                 before[follows] = at
-                rank = rank_of(merged + symbols[follows])
-            if rank is None:
-                best[at] = -1
+                rank = best[at] = rank_of(merged + symbols[follows], -1)
+                if rank >= 0:
+                    heappush(agenda, rank << 32 | at)
             else:
-                best[at] = rank
-                heappush(agenda, rank << 32 | at)
+                best[at] = -1
             if prior >= 0:
-                rank = rank_of(symbols[prior] + merged)
-                if rank is None:
-                    best[prior] = -1
-                else:
-                    best[prior] = rank
+                rank = best[prior] = rank_of(symbols[prior] + merged, -1)
+                if rank >= 0:
                     heappush(agenda, rank << 32 | prior)
-        out = []
-        for s in symbols:
-            if s:
-                i = self.ids.get(s)
-                if i is None:
-                    out += [self.byte_ids[b] for b in s.encode()]
-                else:
-                    out.append(i)
-        return out
+        id_of = self.ids.get
+        ids = [id_of(s) for s in symbols if s]
+        if None in ids:
+            return [i for s in symbols if s for i in ([id_of(s)] if s in self.ids else [self.byte_ids[b] for b in s.encode()])]
+        return ids
 
     def cut(self, text: str) -> list[str]:
         """The parts of a text, with the space in front, that are merged apart."""
         return self.parts.findall(" " + text.replace(SPACE, " ")) if text else []
 
-    def _merged(self, part: str) -> bytes:
+    def _merged(self, part: str) -> Coded:
         ids = self.merge(part)
         self.fresh.append((part, ids))
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return " ".join([self.decimals[i] for i in ids]), b"".join([self.surfaces[i] for i in ids])
 
-    def _packed(self, part: str) -> bytes:
-        """Packed ids of a part: merged between the signs that no piece holds together."""
+    def _coded(self, part: str) -> Coded:
+        """A part, merged between the signs that no piece holds together."""
         pairs, known = self.pairs, self.merged.get
         ends = [k + 1 for k in range(len(part) - 1) if part[k : k + 2] not in pairs]
-        out = [known(x) or _kept(self.merged, x, self._merged(x)) for x in map(part.__getitem__, map(slice, [0, *ends], [*ends, len(part)]))]
-        return _kept(self.cache, part, b"".join(out))
+        if not ends:
+            found = known(part) or _kept(self.merged, part, self._merged(part))
+        else:
+            each = [known(x) or _kept(self.merged, x, self._merged(x)) for x in map(part.__getitem__, map(slice, [0, *ends], [*ends, len(part)]))]
+            found = " ".join([x[0] for x in each]), b"".join([x[1] for x in each])
+        return _kept(self.cache, part, found)
+
+    def coded(self, text: str) -> Coded:
+        """A text's ids with the end id, and what they decode to: a part's signs are decoded when it
+        is first merged, the space in front goes."""
+        if not text:
+            return self.decimals[self.end], b""
+        known, make = self.cache.get, self._coded
+        each = [known(x) or make(x) for x in self.cut(text)]
+        ids, data = " ".join([x[0] for x in each]), b"".join([x[1] for x in each])
+        return f"{ids} {self.decimals[self.end]}", data[1:]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text and the end id."""
-        known, make = self.cache.get, self._packed
-        return [*np.frombuffer(b"".join([known(x) or make(x) for x in self.cut(text)]), dtype="<u4").tolist(), self.end]
+        return [int(x) for x in self.coded(text)[0].split(" ")]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: control ids are silent, each byte that is no UTF-8 becomes U+FFFD, the space in front goes."""
@@ -210,6 +215,8 @@ class Pieces:
 
     def agrees(self, library: SentencePieceProcessor) -> bool:
         """Whether the library gives the same ids for all parts merged since the last call."""
+        if not self.fresh:
+            return True
         asked, self.fresh = self.fresh, []
         skip = len(library.encode(self.wall))
         told = library.encode([self.wall + part for part, _ in asked], num_threads=1)
@@ -228,13 +235,13 @@ def encode_batches(batches: Iterable[pa.RecordBatch], column: str, path: str, wi
     for batch in batches:
         n, packed, digest, decoded, agrees = [], [], [], [], []
         for text in batch.column(column):
-            ids = pieces.encode(text.as_py() or "")
-            n.append(len(ids))
-            digest.append(hashlib.sha256(" ".join(map(pieces.decimals.__getitem__, ids)).encode()).hexdigest())
-            decoded.append(hashlib.sha256(pieces.decode(ids).encode()).hexdigest())
+            ids, data = pieces.coded(text.as_py() or "")
+            n.append(ids.count(" ") + 1)
+            digest.append(hashlib.sha256(ids.encode()).hexdigest())
+            decoded.append(hashlib.sha256(data).hexdigest())
             agrees.append(pieces.agrees(library))
             if with_ids:
-                packed.append(np.array(ids, dtype="<u4").tobytes())
+                packed.append(np.array(ids.split(" "), dtype="<u4").tobytes())
         out = batch.drop_columns([column])
         for name, values, kind in (("n_tokens", n, pa.int64()), ("ids_sha256", digest, pa.string()), ("decoded_sha256", decoded, pa.string()), ("agrees", agrees, pa.bool_())):
             out = out.append_column(name, pa.array(values, kind))
