@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,7 +15,7 @@ from .joins import less_own
 
 
 def training_quantiles(rows: DataFrame, feature: str, shares: list[float], group: str = "fold") -> DataFrame:
-    """group, threshold: for each group, the interpolated quantiles of the other groups' values, each once.
+    """group, share, threshold: for each group, the interpolated quantiles of the other groups' values.
 
     The values are ranked once, by distinct value; a group's training ranks are those
     ranks less its own rows below, so no fold's training rows are joined or gathered.
@@ -37,22 +41,26 @@ def training_quantiles(rows: DataFrame, feature: str, shares: list[float], group
     own_upto = F.sum("own").over(inside)
     own = written(own, "own")
     stretches = own.withColumns({"own_upto": own_upto, "next_from": F.lead(F.col("upto") - F.col("c")).over(inside), "low": F.col("upto") - F.col("c") - (own_upto - F.col("own"))})
-    # Training ranks (from 1) of an own value, if other groups have it, and of the stretch after it: rank + shift is a rank among all.
-    at_value = stretches.where("c > own").select("g", (F.col("low") + 1).alias("first"), (F.col("low") + F.col("c") - F.col("own")).alias("last"), F.lit(None).cast("bigint").alias("shift"), "x")
-    after = stretches.join(sizes.select("g", "all_n"), "g").select("g", (F.col("upto") - F.col("own_upto") + 1).alias("first"), (F.coalesce("next_from", "all_n") - F.col("own_upto")).alias("last"), F.col("own_upto").alias("shift"), F.lit(None).cast("double").alias("x"))
-    head = stretches.groupBy("g").agg(F.min(F.col("upto") - F.col("c")).alias("last")).select("g", F.lit(1).cast("bigint").alias("first"), "last", F.lit(0).cast("bigint").alias("shift"), F.lit(None).cast("double").alias("x"))
-    parts = at_value.unionByName(after).unionByName(head).where("last >= first")
+    # Training ranks (from 1) before the first own value, of an own value, if other groups have it, and of the
+    # stretch after it: rank + shift is a rank among all.  All come from one row, so nothing is dealt twice.
+    stretches = stretches.withColumn("opens", F.row_number().over(inside) == 1).join(sizes.select("g", "all_n"), "g")
+    part = lambda there, first, last, shift, x: F.when(there, F.struct(first.alias("first"), last.alias("last"), shift.cast("bigint").alias("shift"), x.cast("double").alias("x")))
+    head = part(F.col("opens"), F.lit(1).cast("bigint"), F.col("upto") - F.col("c"), F.lit(0), F.lit(None))
+    at_value = part(F.col("c") > F.col("own"), F.col("low") + 1, F.col("low") + F.col("c") - F.col("own"), F.lit(None), F.col("x"))
+    after = part(F.lit(True), F.col("upto") - F.col("own_upto") + 1, F.coalesce("next_from", "all_n") - F.col("own_upto"), F.col("own_upto"), F.lit(None))
+    parts = stretches.select("g", F.explode(F.array_compact(F.array(head, at_value, after))).alias("p")).select("g", "p.*").where("last >= first")
     position = lambda s: (F.col("all_n") - F.col("own_n") - 1) * F.lit(s)
     each = F.array(*[F.struct(F.lit(s).alias("share"), position(s).alias("at")) for s in shares])
     wanted = sizes.where("all_n > own_n").select("g", F.explode(each).alias("w")).select("g", "w.share", "w.at")
     wanted = wanted.select("g", "share", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("k")).withColumn("rank", F.col("k") + 1)
     told = wanted.join(parts, "g").where(F.col("rank").between(F.col("first"), F.col("last"))).select("g", "share", "at", "k", "x", (F.col("rank") + F.col("shift")).alias("place"))
+    told = written(told, "told")
     spread = ranked.select(F.col("x").alias("value"), F.explode(F.sequence(F.floor((F.col("upto") - F.col("c")) / STEP), F.floor((F.col("upto") - 1) / STEP))).alias("step"), "upto", (F.col("upto") - F.col("c")).alias("from_"))
     missing = told.where("x IS NULL").withColumn("step", F.floor((F.col("place") - 1) / STEP)).join(spread, "step").where((F.col("place") > F.col("from_")) & (F.col("place") <= F.col("upto")))
     values = told.where("x IS NOT NULL").select("g", "share", "at", "k", "x").unionByName(missing.select("g", "share", "at", "k", F.col("value").alias("x")))
     low, high = F.min("x"), F.max("x")
     found = values.groupBy("g", "share").agg((low + (F.first("at") - F.floor(F.first("at"))) * (high - low)).alias("threshold"))
-    return found.select(F.col("g").alias(group), "threshold").distinct()
+    return found.select(F.col("g").alias(group), "share", "threshold")
 
 
 #: Ranges of values that are ranked apart, and ranks that are looked up together.
@@ -71,7 +79,7 @@ def threshold_gate(rows: DataFrame, feature: str, shares: list[float], target: f
     """
     used = rows.where(F.col(feature).isNotNull() & F.col("error").isNotNull()).select(F.col(group).alias("g"), F.col(feature).cast("double").alias("x"), "error")
     used = written(used, "gate")
-    at = training_quantiles(used, "x", shares, "g")
+    at = training_quantiles(used, "x", shares, "g").select("g", "threshold").distinct()
     counts = below(used, at)
     t = counts.select("g", "threshold", (F.col("all_n") - F.col("own_n")).alias("train_n"), ((F.col("all_e") - F.col("own_e")) / F.nullif(F.col("all_n") - F.col("own_n"), F.lit(0))).alias("mean"), F.col("own_n").alias("kept"), F.col("own_e").alias("kept_error"))
     t = t.where(F.col("train_n") >= least)
@@ -82,13 +90,128 @@ def threshold_gate(rows: DataFrame, feature: str, shares: list[float], target: f
     return best.select(F.col("g").alias(group), "threshold", "train_n", "mean", "kept", "kept_error")
 
 
+#: Value ranges of an axis are found in two steps of so many cuts each.
+TREE = 32
+
+
+def feature_gate(rows: DataFrame, features: list[str], shares: list[float], target: float, least: int, group: str = "fold") -> DataFrame:
+    """For each group, thresholds on two or three features chosen from the other groups.
+
+    The thresholds are the training rows' quantiles of each feature, so every group has a grid of its
+    own.  Kept rows are at or below all thresholds; the choice is that of ``threshold_gate``, ties by the last
+    feature's threshold, then the first's, then the second's.
+
+    No row meets every group: all rows are counted once over a common grid, by quantiles of all rows.
+    A row lies in another cell of a group's own grid only if one of the group's thresholds and the
+    common one are on either side of it.  A group of n rows moves each quantile by at most n ranks, so those
+    rows are at most features x shares x rows over all groups, however uneven these are; they are found by a join on value ranges.
+    Cells of a group are common ones, with moved rows taken from one and given to another, less the group's own rows; running sums
+    along the axes give the counts below each choice of thresholds, at most shares ** features a group.
+    """
+    d, k = len(features), len(shares)
+    xs, axes = [f"x{i}" for i in range(d)], range(d)
+    cells = [f"c{i}" for i in axes]
+    used = rows.where(F.col(group).isNotNull() & F.col("error").isNotNull())
+    for f in features:
+        used = used.where(F.col(f).isNotNull())
+    used = written(used.select(F.col(group).alias("g"), *[F.col(f).cast("double").alias(x) for f, x in zip(features, xs, strict=True)], "error"), "gate")
+    own_at = None
+    for i, x in enumerate(xs):
+        at = training_quantiles(used, x, shares, "g").groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("share", "threshold"))), lambda q: q["threshold"]).alias(f"t{i}"))
+        own_at = at if own_at is None else own_at.join(at, "g")
+    own_at = written(own_at, "gate-thresholds")
+    many = TREE * TREE
+    common = used.agg(*[F.percentile_approx(x, shares, 10_000).alias(f"r{i}") for i, x in enumerate(xs)], *[F.percentile_approx(x, [j / many for j in range(1, many)], 10 * many).alias(f"v{i}") for i, x in enumerate(xs)]).withColumn("__one", F.lit(1))
+    spot = lambda at, x: F.size(F.filter(at, lambda t: t < x))
+
+    def blocks(i: int) -> Column:
+        """The cuts of axis i, TREE by TREE."""
+        return F.transform(F.sequence(F.lit(0), F.lit(TREE - 1)), lambda j: F.slice(f"v{i}", j * TREE + 1, TREE))
+
+    common = written(common.select("__one", *[f"r{i}" for i in axes], *[blocks(i).alias(f"v{i}") for i in axes]), "gate-common")
+
+    def span(i: int, x: Column) -> Column:
+        """The value range of x on axis i; greater values have no lesser range."""
+        block = F.size(F.filter(F.slice(F.transform(f"v{i}", lambda b: F.element_at(b, -1)), 1, TREE - 1), lambda t: t < x))
+        return block * TREE + F.size(F.filter(F.get(f"v{i}", block), lambda t: t < x))
+
+    def with_common(df: DataFrame) -> DataFrame:
+        return df.withColumn("__one", F.lit(1)).join(F.broadcast(common), "__one").drop("__one")
+
+    points = used.groupBy(*xs).agg(F.count("*").alias("n"), F.sum("error").alias("e"))
+    points = with_common(points).select(*xs, "n", "e", *[spot(F.col(f"r{i}"), F.col(xs[i])).alias(f"c{i}") for i in axes], F.array(*[span(i, F.col(xs[i])) for i in axes]).alias("spans"))
+    points = written(points, "gate-points")
+    # Ranges in which a group's thresholds and the common ones differ.
+    apart = with_common(own_at)
+
+    def between(i: int) -> Column:
+        each = F.transform(F.arrays_zip(F.col(f"r{i}").alias("r"), F.col(f"t{i}").alias("t")), lambda z: F.when(z["r"] != z["t"], F.sequence(span(i, F.least(z["r"], z["t"])), span(i, F.greatest(z["r"], z["t"])))))
+        return F.transform(F.array_distinct(F.flatten(F.array_compact(each))), lambda b: F.struct(F.lit(i).alias("axis"), b.alias("span")))
+
+    thresholds = [f"t{i}" for i in axes]
+    apart = apart.select("g", *thresholds, F.explode(F.concat(*[between(i) for i in axes])).alias("w")).select("g", *thresholds, "w.axis", "w.span")
+    near = points.select(*xs, "n", "e", *cells, F.posexplode("spans").alias("axis", "span")).join(apart, ["axis", "span"])
+    mine = [spot(F.col(t), F.col(x)) for t, x in zip(thresholds, xs, strict=True)]
+    near = near.withColumns({f"m{i}": c for i, c in enumerate(mine)})
+    # A row that several axes move is taken at the first of them.
+    first = F.coalesce(*[F.when(F.col(f"m{i}") != F.col(f"c{i}"), i) for i in axes])
+    nothing = F.lit(0).cast("bigint")
+    change = lambda names, n, e, own_n, own_e: F.struct(*[F.col(m).alias(c) for m, c in zip(names, cells, strict=True)], n.alias("n"), e.alias("e"), own_n.alias("own_n"), own_e.alias("own_e"))
+    moved = near.where(first == F.col("axis")).select("g", F.explode(F.array(change(cells, -F.col("n"), -F.col("e"), nothing, F.lit(0.0)), change([f"m{i}" for i in axes], F.col("n"), F.col("e"), nothing, F.lit(0.0)))).alias("p")).select("g", "p.*")
+    own = used.join(own_at, "g").withColumns({f"m{i}": c for i, c in enumerate(mine)})
+    own = own.select("g", change([f"m{i}" for i in axes], -F.lit(1).cast("bigint"), -F.col("error"), F.lit(1).cast("bigint"), F.col("error")).alias("p")).select("g", "p.*")
+    sums = [F.sum(c).alias(c) for c in ("n", "e", "own_n", "own_e")]
+    kept_cells = moved.unionByName(own).where(" AND ".join(f"{c} < {k}" for c in cells)).groupBy("g", *cells).agg(*sums)
+    of_group = kept_cells.groupBy("g").agg(F.collect_list(F.struct(*cells, "n", "e", "own_n", "own_e")).alias("own"))  # at most k ** d
+    every = points.where(" AND ".join(f"{c} < {k}" for c in cells)).groupBy(*cells).agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    every = every.agg(F.collect_list(F.struct(*cells, "n", "e")).alias("every")).withColumn("__one", F.lit(1))  # at most k ** d
+    # A group whose rows all lie above its thresholds has no cells.
+    whole = own_at.join(of_group, "g", "left").withColumn("__one", F.lit(1)).join(F.broadcast(every), "__one").drop("__one")
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                found = _best([row[t] for t in thresholds], row["every"], row["own"], cells, k, target, least)
+                if found:
+                    out.append((row["g"], *found))
+            yield pd.DataFrame(out, columns=["g", *xs, "train_n", "mean", "kept", "kept_error"])
+
+    kind = used.schema["g"].dataType.simpleString()
+    found = whole.mapInPandas(choose, f"g {kind}, {', '.join(f'{x} double' for x in xs)}, train_n bigint, mean double, kept bigint, kept_error double")
+    return found.select(F.col("g").alias(group), *[F.col(x).alias(f) for x, f in zip(xs, features, strict=True)], "train_n", "mean", "kept", "kept_error")
+
+
+def _best(thresholds: list, every: list, own: list | None, cells: list[str], k: int, target: float, least: int) -> tuple | None:
+    """The thresholds chosen from the cells' sums, with train_n, mean, kept and kept_error; None if none keeps enough rows."""
+    n, e, own_n, own_e = grids = [np.zeros((k,) * len(cells)) for _ in range(4)]
+    for names, rows in ((("n", "e"), every), (("n", "e", "own_n", "own_e"), own if own is not None else [])):
+        for c in rows:
+            for grid, name in zip(grids, names, strict=False):
+                grid[tuple(c[x] for x in cells)] += c[name]
+    for grid in grids:
+        for axis in range(len(cells)):
+            np.cumsum(grid, axis=axis, out=grid)
+    last_first = (len(cells) - 1, *range(len(cells) - 1)) if len(cells) > 2 else tuple(range(len(cells)))
+    n, e, own_n, own_e = (g.transpose(last_first) for g in grids)
+    valid = np.rint(n) >= least
+    if not valid.any():
+        return None
+    mean = np.where(valid, np.round(e / np.maximum(n, 1), 9), np.inf)
+    good = mean <= target
+    at = np.unravel_index(np.argmax(np.where(good, np.rint(n), -1)) if good.any() else np.argmin(mean), n.shape)
+    place = dict(zip(last_first, at, strict=True))
+    return (*[float(thresholds[i][place[i]]) for i in range(len(cells))], round(n[at]), float(e[at] / n[at]), round(own_n[at]), float(own_e[at]))
+
+
 def below(used: DataFrame, at: DataFrame) -> DataFrame:
     """at (g, threshold) plus count and sum of error of the rows (g, x, error) at or
     below the threshold: of the own group (own_n, own_e) and of all (all_n, all_e)."""
     cuts = used.agg(F.percentile_approx("x", [k / RANGES for k in range(1, RANGES)], 10_000).alias("cuts")).withColumn("__one", F.lit(1))
-    points = used.groupBy("g", "x").agg(F.count("*").alias("n"), F.sum("error").alias("e")).withColumn("ask", F.lit(0))
+    points = used.select("g", "x", F.lit(1).cast("bigint").alias("n"), F.col("error").alias("e"), F.lit(0).alias("ask"))
     asked = at.select("g", F.col("threshold").alias("x"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("e"), F.lit(1).alias("ask"))
-    both = points.unionByName(asked).withColumn("__one", F.lit(1)).join(F.broadcast(cuts), "__one")
+    both = points.unionByName(asked).groupBy("g", "x").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.max("ask").alias("ask"))
+    both = both.withColumn("__one", F.lit(1)).join(F.broadcast(cuts), "__one")
     both = both.select("g", "x", "n", "e", "ask", F.size(F.filter("cuts", lambda t: t < F.col("x"))).alias("range"))
     totals = both.groupBy("range").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
     upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import features as fn
-from ..operators import learning, looming, metrics
+from ..operators import gates, learning, looming, metrics
 from ..sources import files
 from ..sources.driver import TRACKS_SQL, table, tracks
 from ..sources.shared import written
@@ -270,6 +270,40 @@ def gate_2f_loso(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("fold", F.round("pred", 4).alias("pred"), F.round("iqr", 4).alias("iqr"), "train_n", F.round("mean", 4).alias("mean"), "kept")
 
 
+#: Thresholds of the gates on several features: these quantiles of the training rows.
+PAIR_SHARES, TRIPLE_SHARES = [j / 12 for j in range(1, 13)], [j / 8 for j in range(1, 9)]
+
+
+def _gate_sql(features: list[str], shares: list[float], target: float) -> str:
+    d, k = range(len(features)), len(shares)
+    places = ", ".join(f"c{i}" for i in d)
+    order = ", ".join(f"p.c{i}" for i in ([2, 0, 1] if len(features) > 2 else d))
+    return f"""{_RATED}, u AS (SELECT fold, error, {", ".join(f"{f} AS x{i}" for i, f in enumerate(features))} FROM (SELECT *, {_SIGNS} FROM rated) WHERE error IS NOT NULL AND {" AND ".join(f"{f} IS NOT NULL" for f in features)}),
+    th AS (SELECT f.fold, {", ".join(f"quantile_cont(x{i}, {shares}) AS t{i}" for i in d)} FROM (SELECT DISTINCT fold FROM u) f JOIN u ON u.fold <> f.fold GROUP BY f.fold),
+    b AS (SELECT th.fold, u.fold = th.fold AS own, error, {", ".join(f"len(list_filter(t{i}, lambda t: t < x{i})) AS c{i}" for i in d)} FROM th, u),
+    c AS (SELECT fold, {places}, count(*) FILTER (NOT own) AS n, coalesce(sum(error) FILTER (NOT own), 0) AS e, count(*) FILTER (own) AS o FROM b WHERE {" AND ".join(f"c{i} < {k}" for i in d)} GROUP BY ALL),
+    p AS (SELECT * FROM {", ".join(f"range({k}) r{i}(c{i})" for i in d)}),
+    s AS (SELECT c.fold, {", ".join(f"p.c{i}" for i in d)}, sum(n)::BIGINT AS train_n, sum(e) / sum(n) AS mean, sum(o)::BIGINT AS kept FROM c JOIN p ON {" AND ".join(f"c.c{i} <= p.c{i}" for i in d)} GROUP BY ALL),
+    best AS (SELECT * FROM s p WHERE train_n >= 100 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(mean, 9) <= {target} DESC, CASE WHEN round(mean, 9) <= {target} THEN -train_n END, CASE WHEN round(mean, 9) > {target} THEN round(mean, 9) END, {order}) = 1)
+    SELECT fold, {", ".join(f"round(t{i}[c{i} + 1], 4) AS {f}" for i, f in enumerate(features))}, train_n, round(mean, 4) AS mean, kept FROM best JOIN th USING (fold)"""
+
+
+def _gate(spark: SparkSession, sf_dir: str, features: list[str], shares: list[float], target: float) -> DataFrame:
+    found = gates.feature_gate(signs(spark, sf_dir)[0], features, shares, target, 100)
+    return found.select("fold", *[F.round(f, 4).alias(f) for f in features], "train_n", F.round("mean", 4).alias("mean"), "kept")
+
+
+@query("gate_2f_quantiles", _gate_sql(["iqr", "models"], PAIR_SHARES, 60.0))
+def gate_2f_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gate(spark, sf_dir, ["iqr", "models"], PAIR_SHARES, 60.0)
+
+
+@query("gate_3f_loso", _gate_sql(["iqr", "models", "smooth"], TRIPLE_SHARES, 60.0))
+def gate_3f_loso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates on candidate spread, model and smoothing disagreement, each sequence's from the others' quantiles."""
+    return _gate(spark, sf_dir, ["iqr", "models", "smooth"], TRIPLE_SHARES, 60.0)
+
+
 @query("mask_algebra", f"{_RATED} SELECT seq, start FROM rated WHERE (NOT (n < 30) AND NOT starts_with(name, 'CPNA')) OR (starts_with(name, 'CPNA') AND pred <= 3)")
 def mask_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(base and not reject, outside the low families) or (low and kept): row sets as boolean columns."""
