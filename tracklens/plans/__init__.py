@@ -1,6 +1,6 @@
 """The registered queries of the engine."""
 
-from . import cues, evaluation, events, features, looming, quality, streams, summaries
+from . import cues, evaluation, events, export, features, looming, quality, streams, summaries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cues", "evaluation", "events", "features", "looming", "quality", "streams", "summaries"]
+__all__ = ["ORACLES", "QUERIES", "cues", "evaluation", "events", "export", "features", "looming", "quality", "streams", "summaries"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics
 from ..operators.joins import unfinished
+from .shared import written
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
@@ -32,6 +33,20 @@ def write_run(results: DataFrame, path: str, config: dict[str, str]) -> None:
     spark.createDataFrame(sorted(config.items()), "key string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/config")
 
 
+def write_samples(samples: DataFrame, wanted: DataFrame, path: str, key: str = "seq") -> None:
+    """Training samples in a folder per sequence, arrays as 32-bit floats; sequences already written stay.
+
+    wanted: key of every sequence.  ValueError, naming a few, if one of those still to write has no sample; nothing is written then.
+    """
+    todo = resume(samples.sparkSession, wanted.select(key).distinct(), path, key)
+    rows = written(samples.join(todo, key, "left_semi"), "samples")
+    without = [r[0] for r in todo.join(rows, key, "left_anti").limit(5).collect()]
+    if without:
+        raise ValueError(f"no sample in: {without}")
+    floats = {c: F.col(c).cast("array<float>") for c, kind in rows.dtypes if kind == "array<double>"}
+    write_sequences(rows.withColumns(floats), path, key)
+
+
 def build_status(wanted: DataFrame, built: DataFrame, key: str = "seq") -> DataFrame:
     """key and status of each wanted output: complete, partial (fewer rows than wanted) or missing.
 
