@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import features as fn
-from ..operators import gates, learning, looming, metrics
+from ..operators import gates, learning, looming, metrics, selector
 from ..sources import files
 from ..sources.driver import TRACKS_SQL, table, tracks
 from ..sources.shared import written
@@ -304,6 +304,29 @@ def gate_3f_loso(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gate(spark, sf_dir, ["iqr", "models", "smooth"], TRIPLE_SHARES, 60.0)
 
 
+@query("softmax_selector")
+def softmax_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each held-out sequence's candidate quantile, chosen by softmax regression on the others; no SQL descends gradients, tests compare with numpy."""
+    gaps = F.array(*[F.round(F.abs(F.col(f"q{k}") - F.col("truth")), 9) for k in QUANTILES])
+    rows = rated(spark, sf_dir).where("pred > 0 AND truth > 0").withColumns({"x0": F.log("pred"), "x1": F.log(F.col("q50") / F.col("pred")), "x2": F.log1p("n"), "x3": F.log(F.col("q75") / F.col("q10")), "label": (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int"), "picks": F.array(*[F.col(f"q{k}") for k in QUANTILES])})
+    rows = written(rows.select("seq", "start", "fold", "truth", "label", "picks", "x0", "x1", "x2", "x3"), "softmax-rows")
+    features = ["x0", "x1", "x2", "x3"]
+    model = selector.softmax_fit(rows, features, "label", len(QUANTILES), 15, 0.5, 1e-3)
+    pick = F.get("picks", F.col("chosen"))
+    return selector.softmax_predict(rows, model).select("seq", "start", F.get(F.array(*[F.lit(k) for k in QUANTILES]), F.col("chosen")).alias("quantile"), F.round(pick, 5).alias("guess"), F.round(metrics.error_pct(pick, F.col("truth")), 3).alias("error"))
+
+
+@query("boosted_predictions")
+def boosted_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates of ln truth by boosted trees under the huber loss, each family of sequences held out; tests compare with plain growing."""
+    rows = rated(spark, sf_dir).where("pred > 0 AND truth > 0").withColumns({"held": fn.sequence_family(F.col("name")), "x0": F.log("pred"), "x1": F.log("q10"), "x2": F.log("q50"), "x3": F.log("q75"), "x4": F.col("n").cast("double"), "x5": F.col("ratio"), "y": F.log("truth")})
+    features = [f"x{k}" for k in range(6)]
+    rows = written(rows.select("seq", "start", "held", "truth", "y", *features), "boosted-rows")
+    model = selector.boosted_fit(rows, features, "y", "huber", 8, 3, 0.3, group="held")
+    guess = fn.clipped_exp(F.col("fitted"))
+    return selector.boosted_predict(rows, model).select("seq", "start", "held", F.round(guess, 4).alias("guess"), F.round(metrics.error_pct(guess, F.col("truth")), 3).alias("error"))
+
+
 @query("mask_algebra", f"{_RATED} SELECT seq, start FROM rated WHERE (NOT (n < 30) AND NOT starts_with(name, 'CPNA')) OR (starts_with(name, 'CPNA') AND pred <= 3)")
 def mask_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(base and not reject, outside the low families) or (low and kept): row sets as boolean columns."""
