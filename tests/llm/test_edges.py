@@ -17,7 +17,7 @@ VOCABULARY, RANKS = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "b
 
 def test_queries_match_their_sql(spark, sf):
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     plain = lambda x: round(x, 6) if isinstance(x, float) else x
     for name, text in queries.ORACLES.items():
