@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracklens.operators import gates, joins, looming, metrics, smoothing, surface
+from tracklens.operators import clips, gates, joins, looming, metrics, smoothing, surface
 
 
 def golden_track(spark):
@@ -69,8 +69,8 @@ def test_weighted_median_and_fit(spark):
 def test_smoothing(spark):
     values = [1.0, 5.0, None, 9.0, 8.5]
     df = spark.createDataFrame([(1, k, v) for k, v in enumerate(values)], "seq bigint, start bigint, ttc double")
-    assert [r["smooth"] for r in smoothing.recursive_clip(df, 1.0).orderBy("start").collect()] == [1.0, 2.0, None, 9.0, 8.5]
-    assert [r["smooth"] for r in smoothing.recursive_clip(df, 2.0, ratio=True).orderBy("start").collect()] == [1.0, 2.0, None, 9.0, 8.5]
+    assert [r["smooth"] for r in clips.recursive_clip(df, 1.0).orderBy("start").collect()] == [1.0, 2.0, None, 9.0, 8.5]
+    assert [r["smooth"] for r in clips.recursive_clip(df, 2.0, ratio=True).orderBy("start").collect()] == [1.0, 2.0, None, 9.0, 8.5]
     got = [r["smooth"] for r in smoothing.rolling_median(df, 3, causal=False).orderBy("start").collect()]
     assert got == [statistics.median(x) for x in ([1, 5], [1, 5], [5, 9], [9, 8.5], [9, 8.5])]
 

@@ -18,24 +18,3 @@ def rolling_median(df: DataFrame, width: int, causal: bool, value: str = "ttc")
     frame = (-(width - 1), 0) if causal else (-(width // 2), width // 2)
     w = Window.partitionBy("seq").orderBy("start").rowsBetween(*frame)
     return df.withColumn("smooth", clipped(F.percentile(value, F.lit(0.5)).over(w)))
-
-
-def recursive_clip(df: DataFrame, step: Column | float, ratio: bool = False, value: str = "ttc") -> DataFrame:
-    """Each value clamped to within ``step`` of (or by the factor ``step`` around)
-    the clamped value before it; a null passes and forgets the one before.
-
-    A fold over each sequence in order: the recursion has no window form.  The
-    rows of one sequence meet in one task, as its order demands.
-    """
-    ordered = F.sort_array(F.collect_list(F.struct("start", F.col(value).alias("v"))))
-    kind = "struct<out:array<struct<start:bigint,v:double,smooth:double>>,last:double>"
-    step = F.lit(step)
-
-    def fold(acc: Column, x: Column) -> Column:
-        low, high = (acc["last"] / step, acc["last"] * step) if ratio else (acc["last"] - step, acc["last"] + step)
-        now = F.when(x["v"].isNull() | acc["last"].isNull(), x["v"]).otherwise(F.greatest(low, F.least(high, x["v"])))
-        return F.struct(F.concat(acc["out"], F.array(F.struct(x["start"].alias("start"), x["v"].alias("v"), now.alias("smooth")))).alias("out"), now.alias("last"))
-
-    empty = F.struct(F.array().cast("array<struct<start:bigint,v:double,smooth:double>>").alias("out"), F.lit(None).cast("double").alias("last")).cast(kind)
-    folded = df.groupBy("seq").agg(ordered.alias("rows")).select("seq", F.explode(F.aggregate("rows", empty, fold)["out"]).alias("r"))
-    return folded.select("seq", "r.start", F.col("r.v").alias(value), "r.smooth")

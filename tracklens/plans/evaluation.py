@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import gates, looming, metrics, smoothing
+from ..operators import clips, gates, looming, metrics, smoothing
 from ..operators.joins import asof_interpolate, unfinished
 from ..sources.driver import GROUND_TRUTH_SQL, ground_truth, tracks
+from ..sources.shared import written
 from . import looming_sql
 from .registry import ORACLES, query
 
@@ -132,12 +135,34 @@ def _clip_sql(low: str, high: str) -> str:
 
 @query("delta_clip", _clip_sql("c.smooth - 1", "c.smooth + 1"))
 def delta_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return smoothing.recursive_clip(evaluated(spark, sf_dir), 1.0, value="pred").select("seq", "start", F.round("smooth", 5).alias("smooth"))
+    return clips.recursive_clip(evaluated(spark, sf_dir), 1.0, value="pred").select("seq", "start", F.round("smooth", 5).alias("smooth"))
 
 
 @query("ratio_clip", _clip_sql("c.smooth / 1.5::DOUBLE", "c.smooth * 1.5::DOUBLE"))
 def ratio_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return smoothing.recursive_clip(evaluated(spark, sf_dir), 1.5, ratio=True, value="pred").select("seq", "start", F.round("smooth", 5).alias("smooth"))
+    return clips.recursive_clip(evaluated(spark, sf_dir), 1.5, ratio=True, value="pred").select("seq", "start", F.round("smooth", 5).alias("smooth"))
+
+
+def _clips_sql(ratio: bool, sizes: tuple[float, ...]) -> str:
+    low, high = ("c.smooth / {}::DOUBLE", "c.smooth * {}::DOUBLE") if ratio else ("c.smooth - {}::DOUBLE", "c.smooth + {}::DOUBLE")
+    each = [f"SELECT {x}::DOUBLE AS size, * FROM ({_clip_sql(low.format(x), high.format(x))})" for x in sizes]
+    return " UNION ALL ".join(each)
+
+
+def _clips(spark: SparkSession, sf_dir: str, sizes: tuple[float, ...], ratio: bool) -> DataFrame:
+    each = written(evaluated(spark, sf_dir).select("seq", "start", "pred"), "clip-rows")
+    found = [clips.recursive_clip(each, x, ratio, "pred").select(F.lit(x).alias("size"), "seq", "start", F.round("smooth", 5).alias("smooth")) for x in sizes]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("delta_clips", _clips_sql(False, (0.5, 2.0)))
+def delta_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clips(spark, sf_dir, (0.5, 2.0), False)
+
+
+@query("ratio_clips", _clips_sql(True, (1.25, 2.0)))
+def ratio_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clips(spark, sf_dir, (1.25, 2.0), True)
 
 
 #: Gate thresholds: these quantiles of the training rows.
