@@ -59,7 +59,8 @@ def test_label_files_and_metrics(spark, tmp_path):
     assert got == {5: (3.0, 12.0), 6: (2.0, 0.0)}
     (tmp_path / "m").mkdir()
     (tmp_path / "m/a.json").write_text(json.dumps({"x": [{"mae": 1.5}, {"y": {"mae": None}}], "mae": 2}))
-    assert sorted(str(r.value) for r in files.metric_records(spark, f"{tmp_path}/m", "mae").collect()) == ["1.5", "2.0", "None"]
+    found = files.metric_records(spark, f"{tmp_path}/m", ("mae",)).collect()
+    assert sorted((r.file, r.path, str(json.loads(r.record)["mae"])) for r in found) == [("a.json", "$", "2"), ("a.json", "$.x[0]", "1.5"), ("a.json", "$.x[1].y", "None")]
     (tmp_path / "t.tsv").write_text("1\t2\t3\t4\t5\n1\t2\n")
     assert [r.cells for r in files.tab_series(spark, f"{tmp_path}/t.tsv").collect()] == [[1.0, 2.0, 3.0, 4.0, 5.0]]
 

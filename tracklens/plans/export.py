@@ -1,14 +1,19 @@
-"""Queries on training samples: images, skipped intervals, summary."""
+"""Queries on training samples, on slices of the event table, and on run summaries."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import export, surface
+from ..operators import export, records, surface
 from ..operators.joins import asof_interpolate
-from ..sources.driver import DAY_US, GROUND_TRUTH_SQL, events, ground_truth, intervals
+from ..sources import files
+from ..sources.driver import DAY_US, EVENTS_SQL, GROUND_TRUTH_SQL, events, ground_truth, intervals
+from ..sources.shared import shared_folder
+from .evaluation import _M, evaluated
 from .events import _ROI, TAU_US
 from .registry import query
 
@@ -67,3 +72,57 @@ def sample_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("export_summary", f"{_TARGETS} SELECT coalesce(seq::VARCHAR, 'ALL') AS seq, count(*) FILTER (reason IS NULL) AS samples, count(reason) AS skipped, count(*) FILTER (reason = 'INVALID_GT') AS invalid_gt, count(*) FILTER (reason = 'EXPORT_FAIL') AS export_fail FROM judged GROUP BY ROLLUP (judged.seq)")
 def export_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.summary(targets(spark, sf_dir)).withColumn("seq", F.coalesce(F.col("seq").cast("string"), F.lit("ALL")))
+
+
+#: A slice of the event table.
+SLICE = (7, 2, 60)
+
+
+@query("event_range_scan", f"WITH {EVENTS_SQL} SELECT * FROM (SELECT seq, event_id, t_us, x, y, p, row_number() OVER (PARTITION BY seq ORDER BY t_us, event_id) - 1 AS event_idx FROM ev) WHERE seq = {SLICE[0]} AND event_idx >= {SLICE[1]} AND event_idx < {SLICE[2]}")
+def event_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slice of one sequence's events, read from the sorted layout of all of them."""
+    path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    files.write_events(files.numbered(events(spark, sf_dir), 30 * DAY_US), path)
+    return files.event_slice(spark, path, *SLICE).select("seq", "event_id", "t_us", "x", "y", "p", "event_idx")
+
+
+#: Runs of the frontier, one for each remainder of the sequence by RUNS; the last wanted one doesn't exist.
+RUNS, LIMITS = 5, {"upto_1": 1.0, "upto_2": 2.0, "upto_4": 4.0, records.BASE_POLICY: 1e9}
+
+_RUN = f"""{_M}, r AS (SELECT 'run-' || seq % {RUNS} AS run, pred, truth, error FROM m), t AS (SELECT run, count(truth) AS with_truth, count(error) AS valid FROM r GROUP BY 1),
+p AS (SELECT unnest({[k for k in LIMITS]}) AS policy, unnest({[v for v in LIMITS.values()]}) AS upto),
+s AS (SELECT r.run, 7.0::DOUBLE AS target, p.policy, count(*) AS est_valid, avg(abs(pred - truth)) AS mae_s, avg(error) AS e_ttc, count(*) / any_value(valid)::DOUBLE AS of_valid, count(*) / any_value(with_truth)::DOUBLE AS of_truth, count(*) FILTER (error > 50) AS over50, count(*) FILTER (error > 100) AS over100
+  FROM r JOIN t USING (run) JOIN p ON pred <= upto WHERE error IS NOT NULL GROUP BY ALL)"""
+
+
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run and value: a JSON summary of each run's policies, as runs write them."""
+    rows = evaluated(spark, sf_dir).withColumn("run", F.concat(F.lit("run-"), (F.col("seq") % RUNS).cast("string")))
+    whole = rows.groupBy("run").agg(F.count("truth").alias("with_truth"), F.count("error").alias("valid"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("policy"), F.lit(v).alias("upto")) for k, v in LIMITS.items()]))
+    kept = rows.where("error IS NOT NULL").select("run", "pred", "truth", "error", each.alias("p")).where("pred <= p.upto")
+    told = kept.groupBy("run", F.col("p.policy").alias("policy")).agg(F.count("*").alias("count"), F.avg(F.abs(F.col("pred") - F.col("truth"))).alias("mae_s"), F.avg("error").alias("e_ttc_pct"), F.count_if(F.col("error") > 50).alias("over50"), F.count_if(F.col("error") > 100).alias("over100")).join(whole, "run")
+    summary = F.struct("count", "mae_s", "e_ttc_pct", (F.col("count") / F.col("valid")).alias("coverage_of_v13_valid"), (F.col("count") / F.col("with_truth")).alias("coverage_of_gt_valid"), "over50", "over100")
+    policies = F.map_from_entries(F.collect_list(F.struct("policy", summary)))  # one entry a policy
+    return told.groupBy("run").agg(F.to_json(F.struct(F.struct(F.lit(7.0).alias("target_e_ttc_pct")).alias("args"), policies.alias("policy_summaries"))).alias("value"))
+
+
+@query(
+    "coverage_frontier",
+    f"""{_RUN}, k AS (SELECT * FROM s WHERE policy <> '{records.BASE_POLICY}')
+    SELECT run, target, policy, est_valid, round(mae_s, 5) AS mae_s, round(e_ttc, 4) AS e_ttc, round(of_valid, 6) AS of_valid, round(of_truth, 6) AS of_truth, over50, over100, 'ok' AS status, e_ttc < 7 AS success,
+      NOT EXISTS (SELECT 1 FROM k o WHERE o.run = k.run AND (o.of_truth >= k.of_truth AND o.e_ttc < k.e_ttc OR o.of_truth > k.of_truth AND o.e_ttc <= k.e_ttc)) AS best FROM k
+    UNION ALL SELECT 'run-{RUNS}', NULL, 'missing', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'missing', NULL, false""",
+)
+def coverage_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = spark.createDataFrame([(f"run-{k}",) for k in range(RUNS + 1)], "run string")
+    rows = records.frontier(records.coverage_rows(summaries(spark, sf_dir), wanted))
+    shown = {"mae_s": 5, "e_ttc": 4, "of_valid": 6, "of_truth": 6}
+    return rows.select("run", "target", "policy", "est_valid", *[F.round(c, k).alias(c) for c, k in shown.items()], "over50", "over100", "status", "success", "best")
+
+
+@query("metric_records", f"""{_RUN} SELECT run AS file, '$.policy_summaries.' || policy AS path, est_valid AS count, round(e_ttc, 4) AS e_ttc FROM s""")
+def metric_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object with a metric in the runs' summaries, found wherever it stands."""
+    found = records.metric_records(summaries(spark, sf_dir).withColumnRenamed("run", "file"))
+    return found.select("file", "path", F.get_json_object("record", "$.count").cast("bigint").alias("count"), F.round(F.get_json_object("record", "$.e_ttc_pct").cast("double"), 4).alias("e_ttc"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import records
+
 #: The columns of the dataset's tables, in file order.
 BOXES = "label_id int, frame_idx int, timestamp_s double, x1 double, y1 double, x2 double, y2 double, area double, category string, object_index int, json_path string"
 TRUTH = "index int, time_s double, distance_m double, velocity_mps double, ttc_s double"
@@ -124,8 +126,32 @@ def samples(intervals: DataFrame, start: int = 0, most: int | None = None, key:
     return rows.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
 
 
-def metric_records(spark: SparkSession, path: str, metric: str) -> DataFrame:
-    """``file`` and ``value`` of the metric's key wherever it stands in JSON documents."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    hits = F.regexp_extract_all("value", F.lit(rf'"{metric}"\s*:\s*(-?[0-9][0-9.eE+-]*|null)'), F.lit(1))
-    return text.select("file", F.explode(hits).alias("v")).select("file", F.col("v").try_cast("double").alias("value"))
+def metric_records(spark: SparkSession, path: str, keys: tuple[str, ...] = records.METRIC_KEYS) -> DataFrame:
+    """file, path and record of every object with one of the keys in the JSON documents of a folder."""
+    return records.metric_records(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value"), keys)
+
+
+def numbered(events: DataFrame, slot_us: int) -> DataFrame:
+    """events plus event_idx, their place in their sequence by (t_us, event_id), from 0.
+
+    Places are taken within (seq, slot of time) and moved by the counts of the slots before, so that a long sequence spreads over many tasks.
+    """
+    slots = events.withColumn("__slot", F.floor(F.col("t_us") / slot_us))
+    counts = slots.groupBy("seq", "__slot").agg(F.count("*").alias("n"))
+    before = counts.select("seq", "__slot", (F.sum("n").over(Window.partitionBy("seq").orderBy("__slot")) - F.col("n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("seq", "__slot").orderBy("t_us", "event_id")) - 1
+    return slots.withColumn("__place", place).join(before, ["seq", "__slot"]).withColumn("event_idx", (F.col("__before") + F.col("__place")).cast("bigint")).drop("__slot", "__before", "__place")
+
+
+def write_events(events: DataFrame, path: str, group_bytes: int = 8 << 20) -> None:
+    """Numbered events as Parquet in order of (seq, event_idx) over ranges: files hold few sequences, and row
+    groups of about so many bytes hold a stretch of one, told by their statistics."""
+    ordered = events.repartitionByRange("seq", "event_idx").sortWithinPartitions("seq", "event_idx")
+    ordered.write.mode("overwrite").option("parquet.block.size", group_bytes).parquet(path)
+
+
+def event_slice(spark: SparkSession, path: str, seq: int, lo: int, hi: int) -> DataFrame:
+    """Events [lo, hi) of a sequence; both bounds reach the scan, which skips row groups outside them."""
+    if lo > hi:
+        raise ValueError("lo is greater than hi")
+    return spark.read.parquet(path).where((F.col("seq") == seq) & (F.col("event_idx") >= lo) & (F.col("event_idx") < hi))
