@@ -94,7 +94,27 @@ def test_ridge_against_numpy(spark):
         z = np.where(np.isnan(tx), mean, tx) - mean
         std = z.std(axis=0)
         beta = np.linalg.solve((z / std).T @ (z / std) + 5 * np.eye(3), (z / std).T @ (ty - ty.mean())) / std
-        assert r.n == len(ty) and np.allclose(r.coefficients, beta) and math.isclose(r.intercept, ty.mean() - beta @ mean)
+        assert r.n == len(ty) and np.allclose(r.coefficients, beta) and math.isclose(r.intercept, ty.mean() - beta @ mean) and np.allclose(r.fills, mean)
+
+
+def test_ridge_with_medians_against_numpy(spark):
+    """Nulls stand for the training median, in the fit and in what is predicted."""
+    rng = np.random.default_rng(4)
+    x = rng.gamma(1, 2, size=(90, 2))
+    y = x @ [1.0, -0.3] + rng.normal(size=90)
+    x[rng.random((90, 2)) < 0.3] = np.nan
+    fold = np.arange(90) % 3
+    rows = [(k, int(f), *[None if np.isnan(v) else float(v) for v in r], float(t)) for k, (f, r, t) in enumerate(zip(fold, x, y, strict=True))]
+    df = spark.createDataFrame(rows, "id int, fold bigint, a double, b double, y double")
+    got = {r.id: r.fitted for r in learning.predicted(df, learning.ridge_loso(df, ["a", "b"], "y", 10.0, median=True), ["a", "b"]).collect()}
+    for f in range(3):
+        t = fold != f
+        middle = np.nanmedian(x[t], axis=0)
+        z = np.where(np.isnan(x), middle, x)
+        s = (z - z[t].mean(axis=0)) / z[t].std(axis=0)
+        beta = np.linalg.solve(s[t].T @ s[t] + 10 * np.eye(2), s[t].T @ (y[t] - y[t].mean()))
+        for k in np.flatnonzero(~t):
+            assert math.isclose(got[int(k)], y[t].mean() + s[k] @ beta, rel_tol=1e-9)
 
 
 def test_scalars(spark):

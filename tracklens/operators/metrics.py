@@ -47,6 +47,21 @@ def run_summary(metrics: DataFrame) -> DataFrame:
     )
 
 
+def diagnostic_group(failure: Column, error: Column) -> Column:
+    """The side of a high or severe failure by how its type begins; other high errors; the rest."""
+    side = lambda name: failure.startswith(f"SEVERE_{name}") | failure.startswith(f"HIGH_{name}")
+    return F.when(side("OVER"), "HIGH_OVER").when(side("UNDER"), "HIGH_UNDER").when(error >= HIGH_ERROR, "OTHER_HIGH_ERROR").otherwise("LOW_ERROR_OR_MODERATE")
+
+
+def method_summary(rows: DataFrame, by: str) -> DataFrame:
+    """Per method: rows with truth, with an estimate besides, failures, mean absolute and relative error."""
+    both = F.col("pred").isNotNull() & F.col("truth").isNotNull()
+    return rows.groupBy(by).agg(
+        F.count("truth").alias("gt_valid"), F.count_if(both).alias("est_valid"), F.count_if(~F.col("status").startswith("OK")).alias("failures"),
+        F.round(F.avg(F.when(both, F.abs(F.col("pred") - F.col("truth")))), 5).alias("mae"), F.round(F.avg("error"), 4).alias("e_ttc"),
+    )
+
+
 def error_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     """Count, mean, median, 90th percentile and shares over 50 and 100 of ``error``."""
     return rows.where(F.col("error").isNotNull()).groupBy(*by).agg(
