@@ -75,3 +75,10 @@ def test_gates_over_many_rows_with_adaptive_execution(spark):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, 1.0, 2.0, 3.0), (1, 2.0, 1.0, 3.0)]])
+def test_no_rows_or_no_other_fold_gives_no_gate(spark, rows):
+    df = spark.createDataFrame(rows, "fold bigint, a double, b double, error double")
+    assert gates.threshold_gate(df, "a", [0.5, 1.0], 5.0, 1).count() == 0
+    assert gates.feature_gate(df, ["a", "b"], [0.5, 1.0], 5.0, 1).count() == 0
