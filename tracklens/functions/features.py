@@ -154,3 +154,9 @@ def observability_class(kept: Column, low: Column, error: Column, iqr: Column, m
         ],
         "kept_good",
     )
+
+
+def box_aux(status: Column, ttc: Column, confidence: Column) -> dict[str, Column]:
+    """log_ttc, valid (1 or 0) and confidence of a box estimate; zeros where it is no good one."""
+    valid = F.coalesce(status.startswith("OK") & ~F.isnan(ttc) & (ttc > 0) & (ttc < float("inf")), F.lit(False))
+    return {"log_ttc": F.when(valid, F.log(F.greatest(ttc, F.lit(1e-6)))).otherwise(0.0), "valid": F.when(valid, 1.0).otherwise(0.0), "confidence": F.when(valid, F.coalesce(confidence, F.lit(0.0))).otherwise(0.0)}

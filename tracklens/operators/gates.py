@@ -230,6 +230,40 @@ def gated(rows: DataFrame, found: DataFrame, bounds: dict[str, str], group: str
     return joined.select(*rows.columns)
 
 
+def family_gate(rows: DataFrame, member: Column, features: list[str], shares: list[float], target: float, least: int, group: str = "fold") -> DataFrame:
+    """Thresholds for the rows of a family (``member``), for each group that has such rows, chosen from the other groups.
+
+    A group is trained on the others' rows of the family or, where those are fewer than ``least``, on all rows of the others
+    (``widened``); both are ``feature_gate``'s choice.  Beside the thresholds, train_n and mean come ``tested`` (the group's rows of the
+    family), and ``kept`` and ``kept_error`` of those at or below the thresholds.  Rows without error, group or a feature count
+    nowhere, those of unknown membership are not of the family; a group without a choice that keeps ``least`` training rows has no row.
+    """
+    names = [f"f{i}" for i in range(len(features))]
+    used = rows.select(F.col(group).alias("g"), F.coalesce(member, F.lit(False)).alias("member"), *[F.col(f).cast("double").alias(n) for f, n in zip(features, names, strict=True)], "error")
+    used = written(used.where(" AND ".join(f"{c} IS NOT NULL" for c in ("g", "error", *names))), "gate-family")
+    own = used.groupBy("g").agg(F.count_if("member").alias("tested")).withColumn("train", F.col("tested"))
+    asked = written(less_own(own, ["train"]).where("tested > 0").select("g", "tested", (F.col("train") < least).alias("widened")), "gate-asked")
+    mine = used.where("member")
+    found = None
+    # Most runs need one of the two; which, the groups' counts tell.
+    for widened in [r["widened"] for r in asked.select("widened").distinct().collect()]:
+        chosen = feature_gate(used if widened else mine, names, shares, target, least, "g").drop("kept", "kept_error")
+        part = asked.where(F.col("widened") == widened).join(chosen, "g")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = asked.join(feature_gate(mine, names, shares, target, least, "g").drop("kept", "kept_error"), "g")
+    found = written(found, "gate-found")
+    kept = gated(mine, found, {n: n for n in names}, "g").groupBy("g").agg(F.count("*").alias("kept"), F.sum("error").alias("kept_error"))
+    out = found.join(kept, "g", "left").fillna(0, ["kept"])
+    return out.select(F.col("g").alias(group), *[F.col(n).alias(f) for n, f in zip(names, features, strict=True)], "widened", "tested", "train_n", "mean", "kept", "kept_error")
+
+
+def decided(rows: DataFrame, decisions: DataFrame, on: list[str]) -> DataFrame:
+    """rows plus kept, as the decisions (``on``, kept) have it, of repeated ones any; false where there is none."""
+    told = decisions.groupBy(*on).agg(F.bool_or("kept").alias("kept"))
+    return rows.drop("kept").join(told, on, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
 def log_affine(rows: DataFrame, group: str = "fold") -> DataFrame:
     """ln truth = a + b ln pred, fitted for each group on all others from sums."""
     x, y = F.log("pred"), F.log("truth")

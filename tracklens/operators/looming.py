@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-CUES = ("width", "height", "diag", "root_area", "bottom")
+#: The cues as statuses name them, in order.
+CUES = ("width", "height", "diag", "sqrt_area", "bottom_offset")
 #: Thresholds of the quality gate and the guards.
 MIN_REF, MIN_SLOPE, MIN_TTC = 3.0, 1.0, 0.05
 MIN_CANDIDATES, MIN_FIT, MAX_DISPERSION, COLLAPSE = 30, 6, 0.7, 0.2
@@ -154,7 +155,7 @@ def _sums(hist: Column, used: list[int]) -> Column:
 
 def _fits(sums: Column, variant: Variant) -> Column:
     """Candidates, struct(back, ord, fit_points, slope, ref, ttc), of every cue over every trailing window."""
-    used = [0] if variant.mode == "width" else list(range(5 if variant.bottom else 4))
+    used = list(range(5 if variant.bottom else 4))
     backs = F.sequence(F.lit(2 if variant.mode == "multi" else variant.back), F.lit(variant.back))
 
     def of_window(back: Column) -> Column:
@@ -173,7 +174,7 @@ def _fits(sums: Column, variant: Variant) -> Column:
 
 def with_candidates(rows: DataFrame, variant: Variant, kept_only: bool = False, into: str = "cands") -> DataFrame:
     """rows plus the candidates from each history, or from what the history guard keeps of it."""
-    used = [0] if variant.mode == "width" else list(range(5 if variant.bottom else 4))
+    used = list(range(5 if variant.bottom else 4))
     hist = F.filter("hist", lambda b: ~b["dropped"]) if kept_only else F.col("hist")
     return rows.withColumn(into, _let(_sums(hist, used), lambda sums: _fits(sums, variant)))
 
@@ -228,21 +229,53 @@ def _phase(level: int) -> Column:
     return out.when((frac >= 0.50) & ratio.isNotNull() & (iqr <= 0.35), phase("_PHASELATE", 10))
 
 
+#: Ways to select one cue's fit: of these, all but the first compare the fits, the first cue of equals winning.
+SELECTORS = ("width", "lowest_residual", "score_rel_slope_over_resid", "highest_rel_slope")
+
+
+def with_selected(rows: DataFrame, selector: str) -> DataFrame:
+    """rows (histories with candidates of one window) plus status, ttc and the fit that ``selector`` takes:
+    fit_points, slope, ref, residual (root mean square about the line, over the size) and rel_slope (slope over size).
+
+    Without a candidate the status is BBOX_FIT_FAIL, without the width's BBOX_WIDTH_UNAVAILABLE where that is asked for,
+    and BBOX_UNKNOWN_CUE_MODE with the name where no such selector is; then there is no time.
+    """
+    def judged(c: Column) -> Column:
+        away = F.transform("hist", lambda b: F.pow(F.get(F.array(*_cues(b)), c["ord"]) - c["ref"] - c["slope"] * (b["ts"] - F.col("query_t")), F.lit(2)))
+        residual = F.sqrt(F.aggregate(away, F.lit(0.0), lambda a, x: a + x) / F.size("hist"))
+        size = F.greatest(F.abs(c["ref"]), F.lit(1e-6))
+        return F.struct(c["ord"].alias("ord"), c["ttc"].alias("ttc"), c["fit_points"].alias("fit_points"), c["slope"].alias("slope"), c["ref"].alias("ref"), (residual / size).alias("residual"), (c["slope"] / size).alias("rel_slope"))
+
+    # Compared to twelve places (scores, up to thousands, to six), so that equal fits are equal.
+    rank = {
+        "width": lambda c: F.lit(0.0), "lowest_residual": lambda c: F.round(c["residual"], 12), "highest_rel_slope": lambda c: F.round(-c["rel_slope"], 12),
+        "score_rel_slope_over_resid": lambda c: F.round(-c["rel_slope"] / F.greatest(c["residual"], F.lit(1e-4)), 6),
+    }.get(selector, lambda c: F.lit(0.0))
+    fits = F.transform("cands", judged)
+    asked = F.filter(fits, lambda c: c["ord"] == 0) if selector == "width" else F.filter(fits, lambda c: F.lit(selector in SELECTORS))
+    best = F.array_min(F.transform(asked, lambda c: F.struct(rank(c).alias("rank"), c["ord"].alias("ord"), c.alias("fit"))))["fit"]
+    df = rows.select("*", F.inline(F.array(F.struct(best.alias("best")))))
+    named = F.concat(F.lit("OK_BBOX_"), F.upper(F.get(F.array(*map(F.lit, CUES)), F.col("best.ord"))))
+    none = F.lit("BBOX_WIDTH_UNAVAILABLE") if selector == "width" else F.lit(f"BBOX_UNKNOWN_CUE_MODE:{selector}") if selector not in SELECTORS else F.lit("BBOX_FIT_FAIL")
+    status = F.when(F.size("hist") < 2, "BBOX_HISTORY_TOO_SHORT").when(F.size("cands") == 0, "BBOX_FIT_FAIL").when(F.col("best").isNull(), none).otherwise(named)
+    long_enough = lambda c: F.when(F.size("hist") >= 2, F.col(f"best.{c}")).alias(c)
+    return df.select(*rows.columns, status.alias("status"), *[long_enough(c) for c in ("ttc", "fit_points", "slope", "ref", "residual", "rel_slope")])
+
+
 def estimate(tracks: DataFrame, number: int) -> DataFrame:
     """seq, start, status and ttc of every sample, by variant ``number``."""
     return estimated(histories(tracks, VARIANTS[number]), VARIANTS[number]).select("seq", "start", "status", "ttc")
 
 
-def estimated(rows: DataFrame, v: Variant) -> DataFrame:
-    """Histories plus status and ttc and, in the variants of many windows, the candidates' statistics."""
+def estimated(rows: DataFrame, v: Variant, chosen: bool = False) -> DataFrame:
+    """Histories plus status and ttc and, in the variants of many windows, the candidates' statistics.
+
+    With ``chosen``, also fit_points, slope and ref of the candidate nearest to ttc (of equals that of the shortest
+    window, then of the first cue)."""
     df = with_candidates(rows, v)
     df = df.withColumns({"n_rows": F.size("hist"), "n_kept": F.size(F.filter("hist", lambda b: ~b["dropped"]))})
     if v.mode != "multi":
-        best = F.array_max(F.transform("cands", lambda c: F.struct((c["slope"] / F.abs(c["ref"])).alias("rel"), (-c["ord"]).alias("minus"), c["ttc"].alias("ttc"))))
-        df = df.withColumn("best", best)
-        named = F.concat(F.lit("OK_BBOX_"), F.upper(F.get(F.array(*map(F.lit, CUES)), -F.col("best.minus"))))
-        status = F.when(F.col("n_rows") < 2, "BBOX_HISTORY_TOO_SHORT").when(F.col("best").isNull(), "BBOX_FIT_FAIL").otherwise(named)
-        return df.withColumns({"status": status, "ttc": F.when(F.col("n_rows") >= 2, F.col("best.ttc"))})
+        return with_selected(df, "width" if v.mode == "width" else "highest_rel_slope")
 
     columns = ["n", "max_fit", "low", "q10", "q25", "q50", "q75", "q90", "iqr", "spread"]
     df = with_stats(df)
@@ -256,6 +289,7 @@ def estimated(rows: DataFrame, v: Variant) -> DataFrame:
             poor = (F.col("n") < MIN_CANDIDATES) | (F.col("max_fit") < MIN_FIT) | (F.col("iqr") > MAX_DISPERSION)
             used = F.coalesce(poor & removed & F.col("g_n").isNotNull(), F.lit(False))
         df = df.withColumn("hist_guard", used)
+        columns = [*columns, "cands"]
         df = df.select(*[c for c in df.columns if c not in columns and not c.startswith("g_")], *[F.when(F.col("hist_guard"), F.col(f"g_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
     else:
         df = df.withColumn("hist_guard", used)
@@ -280,7 +314,12 @@ def estimated(rows: DataFrame, v: Variant) -> DataFrame:
         status = status.when(F.col("gate").isNotNull(), F.concat(F.lit("BBOX_LOW_QUALITY_"), F.col("gate.name"), F.lit(tail)))
     status = status.otherwise(ok)
     value = F.when(pick == 10, F.col("q10")).when(pick == 25, F.col("q25")).when(pick == 50, F.col("q50")).otherwise(F.col("q75"))
-    return df.withColumns({"status": status, "value": value}).withColumn("ttc", F.when(F.col("status").startswith("OK"), F.col("value"))).drop("value", "cands")
+    df = df.withColumns({"status": status, "value": value}).withColumn("ttc", F.when(F.col("status").startswith("OK"), F.col("value"))).drop("value")
+    if chosen:
+        gaps = F.transform("cands", lambda c: F.struct(F.round(F.abs(c["ttc"] - F.col("ttc")), 9).alias("gap"), c["back"].alias("back"), c["ord"].alias("ord"), c.alias("fit")))
+        fit = F.when(F.col("ttc").isNotNull(), F.array_min(gaps)["fit"])
+        df = df.select("*", F.inline(F.array(F.struct(fit.alias("fit"))))).withColumns({c: F.col(f"fit.{c}") for c in ("fit_points", "slope", "ref")}).drop("fit")
+    return df.drop("cands")
 
 
 def with_fallback(rows: DataFrame) -> DataFrame:
@@ -289,3 +328,23 @@ def with_fallback(rows: DataFrame) -> DataFrame:
     own, other = F.col("ttc").isNotNull(), F.col("fallback").isNotNull() & F.col("fell").startswith("OK")
     status = F.when(F.col("truth").isNull(), "GT_INVALID").when(own, F.col("status")).when(other, "OK_LTS_FALLBACK").otherwise(F.coalesce("fell", "status"))
     return rows.withColumns({"status": status, "ttc": F.when(F.col("truth").isNotNull(), F.coalesce("ttc", "fallback"))})
+
+
+def records(rows: DataFrame, back: int) -> DataFrame:
+    """What a run writes of each sample: rows (status, ttc, fit_points, slope, ref of the box estimate, n_rows, truth, and of
+    the other predictor fallback, fell and fell_confidence) with status and ttc of ``with_fallback`` plus
+    error_pct, confidence, fallback_ttc and debug_ref.
+
+    An own estimate is the surer the more of the back + 1 boxes its fit had, at most 1; otherwise the other predictor's
+    confidence counts.  debug_ref tells the fit, or both statuses where the other predictor was asked, or the boxes there
+    were where there is none; it is empty without truth.
+    """
+    out = with_fallback(rows.withColumn("own", F.col("status")).withColumn("own_ttc", F.col("ttc")))
+    known, own, other = F.col("truth").isNotNull(), F.col("own_ttc").isNotNull(), F.col("fell").isNotNull()
+    share = F.least(F.lit(1.0), F.col("fit_points") / F.lit(float(max(back + 1, 1))))
+    text = F.when(~known, "").when(own, F.format_string("fit_points=%d;slope_px_per_s=%.6f;width_ref_px=%.6f", "fit_points", "slope", "ref"))
+    text = text.when(other, F.concat(F.lit("bbox_status="), "own", F.lit(";fallback_status="), "fell")).otherwise(F.concat(F.lit("fit_points="), F.col("n_rows").cast("string")))
+    return out.withColumns({
+        "error_pct": F.when(F.col("truth") > 0, F.abs(F.col("ttc") - F.col("truth")) / F.col("truth") * 100), "confidence": F.when(known & own, share).when(known, F.col("fell_confidence")),
+        "fallback_ttc": F.when(known & ~own, F.col("fallback")), "debug_ref": text,
+    }).drop("own", "own_ttc", "fallback", "fell_confidence")

@@ -75,6 +75,54 @@ def grid_stats(surface: DataFrame, regions: DataFrame, k: int = 3) -> DataFrame:
     return out.withColumn("ratio", F.col("active") / F.greatest(F.col("area"), F.lit(1))).select("seq", "idx", "row", "col", "events", "active", "ratio", "mean", "top", "low")
 
 
+def count_frames(rows: DataFrame, width: int = 100, height: int = 100, flip_x: bool = False, flip_y: bool = False, above: int = 0, log: bool = False) -> DataFrame:
+    """seq, idx, x, y, n and brightness (0 to 255) of every pixel that has events in its window.
+
+    Coordinates are mirrored if asked, then those off the sensor are left out.  Counts of at most ``above`` are dark (n is 0);
+    the others are brightest at the window's greatest count, by share or by share of logs, in single precision, cut to whole numbers.
+    A window has at most width * height pixels, counted before they meet.
+    """
+    if above < 0:
+        raise ValueError("a count cannot lie above a negative one only")
+    x, y = (F.lit(width - 1) - F.col("x") if flip_x else F.col("x")), (F.lit(height - 1) - F.col("y") if flip_y else F.col("y"))
+    placed = rows.select("seq", "idx", x.alias("x"), y.alias("y")).where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
+    counts = placed.groupBy("seq", "idx", "x", "y").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("n", F.when(F.col("n") > above, F.col("n")).otherwise(0)) if above else counts
+    counts = counts.withColumn("top", F.max("n").over(Window.partitionBy("seq", "idx")))
+    share = F.log1p("n").cast("float") / F.log1p("top") if log else (F.col("n") / F.col("top")).cast("float")
+    scaled = (share * F.lit(255.0)) if log else (share * F.lit(255.0).cast("float"))
+    return counts.select("seq", "idx", "x", "y", "n", F.when(F.col("top") == 0, 0).otherwise(F.floor(scaled)).cast("int").alias("brightness"))
+
+
+def payload(regions: DataFrame, cells: DataFrame, selected: DataFrame, tau_us: int, components: bool = True) -> DataFrame:
+    """seq, idx and payload, the nested summary of each region: its box, counts and surface, the grids of its cells
+    as rows of rows, and its confidence with the chosen cells in row order.
+
+    ``regions`` are of ``region_stats``, ``cells`` of ``local_confidence``, ``selected`` of ``selected_cells``.  With
+    ``components``, the confidence has the grids of its three scores and of activity, too.
+    """
+    keys = ["seq", "idx"]
+    values = {
+        "event_count": F.col("events"), "occupancy_ratio": F.col("ratio").cast("double"), "mean_surface": F.col("mean"), "confidence": F.col("conf"), "active": (F.col("active") > 0).cast("int"),
+        "event_score": log_score(F.col("events"), TARGET_EVENTS), "occupancy_score": band_score(F.col("ratio"), 0.0, 0.05), "freshness_score": band_score(F.col("mean"), FRESH_LOW, FRESH_HIGH),
+    }
+    parts = cells.select(*keys, "row", "col", *[v.alias(n) for n, v in values.items()])
+    parts = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("row", "col", *values))).alias("parts"))  # the cells of one region
+    size = lambda c: F.array_max(F.transform("parts", lambda p: p[c])) + 1
+    grid = lambda name: F.transform(F.sequence(F.lit(0), size("row") - 1), lambda r: F.transform(F.filter("parts", lambda p: p["row"] == r), lambda p: p[name]))
+    chosen = selected.groupBy(*keys).agg(F.sort_array(F.collect_list(F.array("row", "col"))).alias("chosen"))
+    whole = global_confidence(cells).withColumnRenamed("confidence", "whole")
+    rows = regions.join(parts, keys).join(whole, keys).join(chosen, keys, "left").withColumn("chosen", F.coalesce("chosen", F.array().cast("array<array<int>>")))
+    h, w, shape = F.col("ry1") - F.col("ry0"), F.col("rx1") - F.col("rx0"), F.array(size("row"), size("col")).alias("grid_shape")
+    grids = [grid(f"{n}_score").alias(f"{n}_score_grid") for n in ("event", "occupancy", "freshness")] + [grid("active").alias("active_mask")] if components else []
+    return rows.select(*keys, F.struct(
+        F.array("rx0", "ry0", "rx1", "ry1").alias("roi_xyxy"), F.array(h, w).alias("roi_shape_hw"), (h * w).alias("roi_area"), F.col("n").alias("roi_event_count"), F.col("active").alias("active_pixel_count"),
+        F.col("occupancy").alias("occupancy_ratio"), F.col("mean").alias("mean_surface"), F.lit(tau_us).alias("tau_us"), F.col("hi").alias("reference_t_us"),
+        F.struct(shape, *[grid(n).alias(f"{n}_grid") for n in ("event_count", "occupancy_ratio", "mean_surface")]).alias("local_stats"),
+        F.struct(shape, F.col("whole").alias("global_confidence"), F.col("chosen").alias("selected_cell_indices"), F.size("chosen").alias("selected_cell_count"), grid("confidence").alias("confidence_grid"), *grids).alias("confidence"),
+    ).alias("payload"))
+
+
 def feature_vector(cells: DataFrame, regions: DataFrame) -> DataFrame:
     """Per interval an array: log counts, occupancies and mean surfaces of its cells in
     row order, then height, width, area, events, occupancy and mean surface of its region."""

@@ -1,6 +1,6 @@
 """The registered queries of the engine."""
 
-from . import cues, diagnostics, evaluation, events, export, features, looming, quality, streams, summaries
+from . import composite, cues, diagnostics, evaluation, events, export, features, looming, quality, streams, summaries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cues", "diagnostics", "evaluation", "events", "export", "features", "looming", "quality", "streams", "summaries"]
+__all__ = ["ORACLES", "QUERIES", "composite", "cues", "diagnostics", "evaluation", "events", "export", "features", "looming", "quality", "streams", "summaries"]

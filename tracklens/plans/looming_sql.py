@@ -26,7 +26,7 @@ hist AS (SELECT *, coalesce(len(l) > 0 AND len(r) > 0 AND area / list_aggregate(
 
 def candidates(v, sources: tuple[int, ...]) -> str:
     cues = ["w", "h", "sqrt(w * w + h * h)", "sqrt(greatest(area, 1e-6))", "h / 2"]
-    used = [0] if v.mode == "width" else [0, 1, 2, 3, 4] if v.bottom else [0, 1, 2, 3]
+    used = [0, 1, 2, 3, 4] if v.bottom else [0, 1, 2, 3]
     backs = f"unnest(range(2, {v.back} + 1))" if v.mode == "multi" else str(v.back)
     fits = ", ".join(f"regr_slope({cues[i]}, ts) AS s{i}, regr_intercept({cues[i]}, ts) AS i{i}" for i in used)
     src = "CASE WHEN dropped THEN [0] ELSE [0, 1] END" if 1 in sources else "[0]"
@@ -41,15 +41,26 @@ STATS = f"""stats AS (SELECT *, (q75 - q25) / greatest(abs(q50), 1e-6) AS iqr, (
   SELECT seq, start, src, count(*) AS n, max(fit_points) AS max_fit, min(ttc) AS low, {_QUANTILES} FROM cands GROUP BY 1, 2, 3))"""
 
 
+def selected(v, selector: str) -> str:
+    """WITH ... selected: status, ttc and the selected fit of every sample."""
+    cues = "[w, h, sqrt(w * w + h * h), sqrt(greatest(area, 1e-6)), h / 2]"
+    rank = {"width": "0", "lowest_residual": "round(residual, 12)", "highest_rel_slope": "round(-rel_slope, 12)", "score_rel_slope_over_resid": "round(-rel_slope / greatest(residual, 1e-4), 6)"}[selector]
+    only, none = ("WHERE ord = 0", "BBOX_WIDTH_UNAVAILABLE") if selector == "width" else ("", "BBOX_FIT_FAIL")
+    return f"""WITH {histories(v.back, False)}, {candidates(v, (0,))},
+base AS (SELECT seq, start, count(*) AS n_rows FROM hist GROUP BY 1, 2),
+judged AS (SELECT c.seq, c.start, ord, any_value(fit_points) AS fit_points, any_value(slope) AS slope, any_value(ref) AS ref, any_value(ttc) AS ttc, any_value(slope) / greatest(abs(any_value(ref)), 1e-6) AS rel_slope,
+  sqrt(avg(({cues}[ord + 1] - ref - slope * (ts - query_t)) ** 2)) / greatest(abs(any_value(ref)), 1e-6) AS residual FROM cands c JOIN hist h ON h.seq = c.seq AND h.start = c.start GROUP BY 1, 2, 3),
+had AS (SELECT DISTINCT seq, start FROM cands),
+best AS (SELECT * FROM judged {only} QUALIFY row_number() OVER (PARTITION BY seq, start ORDER BY {rank}, ord) = 1),
+selected AS (SELECT s.seq, s.start, CASE WHEN coalesce(n_rows, 0) < 2 THEN 'BBOX_HISTORY_TOO_SHORT' WHEN had.seq IS NULL THEN 'BBOX_FIT_FAIL' WHEN ttc IS NULL THEN '{none}'
+  ELSE 'OK_BBOX_' || upper(['width', 'height', 'diag', 'sqrt_area', 'bottom_offset'][ord + 1]) END AS status, ttc, fit_points, slope, ref, residual, rel_slope
+FROM samples s LEFT JOIN base b ON b.seq = s.seq AND b.start = s.start LEFT JOIN had ON had.seq = s.seq AND had.start = s.start LEFT JOIN best x ON x.seq = s.seq AND x.start = s.start)"""
+
+
 def estimate(v, extra: tuple[str, ...] = ()) -> str:
     """seq, start, status, ttc of a variant, and extra columns that its gates read (not rounded)."""
     if v.mode != "multi":
-        return f"""WITH {histories(v.back, False)}, {candidates(v, (0,))},
-base AS (SELECT seq, start, count(*) AS n_rows FROM hist GROUP BY 1, 2),
-best AS (SELECT seq, start, ord, ttc FROM cands QUALIFY row_number() OVER (PARTITION BY seq, start ORDER BY slope / abs(ref) DESC, ord) = 1)
-SELECT s.seq, s.start, CASE WHEN coalesce(n_rows, 0) < 2 THEN 'BBOX_HISTORY_TOO_SHORT' WHEN ttc IS NULL THEN 'BBOX_FIT_FAIL'
-  ELSE 'OK_BBOX_' || upper(['width', 'height', 'diag', 'root_area', 'bottom'][ord + 1]) END AS status, round(ttc, 5) AS ttc
-FROM samples s LEFT JOIN base b ON b.seq = s.seq AND b.start = s.start LEFT JOIN best x ON x.seq = s.seq AND x.start = s.start"""
+        return f"""{selected(v, "width" if v.mode == "width" else "highest_rel_slope")} SELECT seq, start, status, round(ttc, 5) AS ttc FROM selected"""
     guard = v.history_guard
     used = "false"
     if guard == "always":
@@ -82,3 +93,13 @@ chosen AS (SELECT *, coalesce(CAST(split_part(gate, '|', 3) AS INTEGER), CAST(sp
 named AS (SELECT *, CASE WHEN n_rows < 2 THEN CASE WHEN cur_guard THEN 'BBOX_CURRENT_COLLAPSE_GUARD_NO_HISTORY' ELSE 'BBOX_HISTORY_TOO_SHORT' END {always} WHEN n IS NULL THEN 'BBOX_FIT_FAIL' {rejected}
   ELSE 'OK_BBOX_MULTI_Q' || pick || suffix END AS status FROM chosen)
 SELECT seq, start, status, CASE WHEN status LIKE 'OK%' THEN round(CASE pick WHEN 10 THEN q10 WHEN 25 THEN q25 WHEN 50 THEN q50 ELSE q75 END, 5) END AS ttc{"".join(f", {c}" for c in extra)} FROM named"""
+
+
+def nearest(v) -> str:
+    """seq, start, status, ttc (not rounded), n_rows and, of the candidate nearest to ttc, fit_points, slope and ref."""
+    sql = estimate(v, ("hist_guard", "n_rows")).replace("round(CASE pick", "(CASE pick").replace("ELSE q75 END, 5)", "ELSE q75 END)")
+    head, tail = sql.rsplit("SELECT seq, start, status,", 1)
+    return f"""{head.rstrip()}, est AS (SELECT seq, start, status,{tail})
+SELECT e.seq, e.start, status, ttc, n_rows, fit_points, slope, ref FROM est e LEFT JOIN (
+  SELECT e.seq, e.start, fit_points, slope, ref FROM est e JOIN cands c ON c.seq = e.seq AND c.start = e.start AND c.src = CASE WHEN hist_guard THEN 1 ELSE 0 END WHERE e.ttc IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY e.seq, e.start ORDER BY round(abs(c.ttc - e.ttc), 9), back, ord) = 1) f ON f.seq = e.seq AND f.start = e.start"""
