@@ -25,7 +25,7 @@ def plain(x):
 
 
 #: One of each kind; the driver runs them all.
-CHOSEN = "looming_v1 looming_v2 looming_v5 looming_v9 looming_v13 multiwindow_candidates collapse_guard_history gt_asof_interp grid_stats_3x3 selected_cells weighted_median_pixels tumbling_event_windows run_summary_rollup failure_summary delta_clip gate_1f_loso log_affine_loso observability_taxonomy compare_buckets gate_2f_loso ridge_loso event_predictor event_predictor_v2 cue_diagnostics compare_summary looming_with_fallback feature_vector last_roi_events stream_tumbling_counts stream_interval_join stream_delta_clip gate_3f_loso sample_images coverage_frontier delta_clips probe_compare".split()
+CHOSEN = "looming_v1 looming_v2 looming_v5 looming_v9 looming_v13 multiwindow_candidates collapse_guard_history gt_asof_interp grid_stats_3x3 selected_cells weighted_median_pixels tumbling_event_windows run_summary_rollup failure_summary delta_clip gate_1f_loso log_affine_loso observability_taxonomy compare_buckets gate_2f_loso ridge_loso event_predictor event_predictor_v2 cue_diagnostics compare_summary looming_with_fallback feature_vector last_roi_events stream_tumbling_counts stream_interval_join stream_delta_clip gate_3f_loso sample_images coverage_frontier delta_clips probe_compare cue_residual_score looming_records preview_frames_log surface_payload failure_classes".split()
 
 
 @pytest.mark.parametrize("name", CHOSEN)

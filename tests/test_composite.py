@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklens.functions import features as fn
-from tracklens.operators import gates, looming, surface
+from tracklens.operators import gates, looming, metrics, surface
 from tests.test_gates import plain
 
 
@@ -147,3 +147,24 @@ def test_payload_nests_grids_in_row_order(spark):
         assert p["confidence"]["active_mask"] == [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
         assert p["confidence"]["selected_cell_indices"] == want and p["confidence"]["selected_cell_count"] == len(want)
     assert "active_mask" not in surface.payload(region, conf, none, 9, components=False).schema["payload"].dataType["confidence"].dataType.names
+
+
+def test_failure_classes_and_flags(spark):
+    rows = [
+        ("OK_BBOX_MULTI_Q25_LOWFIT", 1.0, 80.0, 1.8, 2, 0.1, "LOWFIT_OVER", "current_bbox_collapse_signal|history_bbox_collapse_signal|overestimate"), ("OK_BBOX_MULTI_Q25_DISPSHORT_HISTGUARD", 1.0, 60.0, 0.4, 0, None, "HIGH_DISPERSION_UNDER", "underestimate"),
+        ("OK_BBOX_MULTI_Q25_CURGUARD", 1.0, 50.0, 1.5, 0, 0.9, "REPAIRED_LOW_ERROR_GUARD_SAMPLE", "overestimate"), ("OK_BBOX_MULTI_Q25", 1.0, 50.0, 1.0, 0, 0.9, "LOW_ERROR_ACCEPTED", "overestimate"),
+        ("OK_BBOX_MULTI_Q25", 1.0, 70.0, 0.3, 1, 0.2, "UNGUARDED_HISTORY_BBOX_COLLAPSE_UNDER", "history_bbox_collapse_signal|underestimate"), ("OK_BBOX_MULTI_Q25", 1.0, 70.0, 1.7, 1, 0.19, "UNGUARDED_CURRENT_BBOX_COLLAPSE_OVER", "current_bbox_collapse_signal|history_bbox_collapse_signal|overestimate"),
+        ("OK_BBOX_MULTI_Q25", 1.0, 70.0, 1.7, 0, None, "APPARENT_HIGH_CONF_GEOMETRY_OVER", "overestimate"), ("OK_BBOX_WIDTH", 1.0, 70.0, None, None, None, "OTHER_OK_OTHER_UNDER", ""), ("BBOX_FIT_FAIL", 1.0, None, None, 0, None, "NO_VALID_PREDICTION", ""),
+    ]
+    df = spark.createDataFrame(rows, "status string, truth double, error double, over double, collapses int, area double, class string, flags string")
+    got = df.select("class", "flags", metrics.failure_class(*[F.col(c) for c in ("status", "truth", "error", "over", "collapses", "area")]).alias("c"), metrics.failure_flags(F.col("over"), F.col("collapses"), F.col("area")).alias("f")).collect()
+    assert [(r["c"], r["f"]) for r in got] == [(r["class"], r["flags"]) for r in got]
+
+
+def test_variant_labels_and_columns_from_the_truth():
+    assert fn.variant_label("cnn", "image_only") == "TinyCnnImageOnlyV1"
+    with pytest.raises(ValueError, match=r"takes the modes \['pooled_image_stats_metadata', 'stats_metadata'\]"):
+        fn.variant_label("ridge", "image_only")
+    with pytest.raises(ValueError, match="no model"):
+        fn.variant_label("forest", "image_only")
+    assert fn.without_truth(["q10", "truth", "e_ttc_pct", "pred", "flags"]) == ["q10", "pred"]

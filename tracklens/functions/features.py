@@ -160,3 +160,33 @@ def box_aux(status: Column, ttc: Column, confidence: Column) -> dict[str, Column
     """log_ttc, valid (1 or 0) and confidence of a box estimate; zeros where it is no good one."""
     valid = F.coalesce(status.startswith("OK") & ~F.isnan(ttc) & (ttc > 0) & (ttc < float("inf")), F.lit(False))
     return {"log_ttc": F.when(valid, F.log(F.greatest(ttc, F.lit(1e-6)))).otherwise(0.0), "valid": F.when(valid, 1.0).otherwise(0.0), "confidence": F.when(valid, F.coalesce(confidence, F.lit(0.0))).otherwise(0.0)}
+
+
+#: Columns derived from the truth, which no learner may read.
+FROM_TRUTH = (
+    "gt_ttc_s", "e_ttc_pct", "pred_over_gt", "is_high_error", "is_severe_error", "primary_failure_type", "diagnostic_group", "gt_bucket", "best_quantile_key", "best_quantile_e_ttc_pct",
+    "candidate_q05_e_ttc_pct", "candidate_q10_e_ttc_pct", "candidate_q15_e_ttc_pct", "candidate_q25_e_ttc_pct", "candidate_q35_e_ttc_pct", "candidate_q50_e_ttc_pct", "candidate_q65_e_ttc_pct", "candidate_q75_e_ttc_pct",
+    "candidate_q90_e_ttc_pct", "v11_e_ttc_pct", "v11_pred_over_gt", "flags",
+)
+#: The same by this engine's own names.
+OWN_FROM_TRUTH = ("truth", "error", "error_pct", "over", "failure", "bucket", "kept_error")
+
+
+def without_truth(columns: Sequence[str]) -> list[str]:
+    """The columns that a learner may read, in order."""
+    return [c for c in columns if c not in FROM_TRUTH and c not in OWN_FROM_TRUTH]
+
+
+#: What a model of a kind on features of a mode is called.
+VARIANT_LABELS = {
+    ("ridge", "stats_metadata"): "RidgeStatsMetaV1", ("ridge", "pooled_image_stats_metadata"): "RidgePooledV1", ("mlp", "stats_metadata"): "TinyMlpStatsMetaV1", ("mlp", "pooled_image_stats_metadata"): "TinyMlpPooledV1",
+    ("cnn", "image_only"): "TinyCnnImageOnlyV1", ("cnn", "image_stats_metadata"): "TinyCnnStatsMetaV1", ("cnn", "image_late_fusion_stats_metadata"): "TinyCnnLateFusionV1", ("cnn", "image_residual_stats_metadata"): "TinyCnnResidualFusionV1",
+}
+
+
+def variant_label(model: str, mode: str) -> str:
+    """The label of a model's variant; an error names the modes that the model takes, or that there is no such model."""
+    if (model, mode) in VARIANT_LABELS:
+        return VARIANT_LABELS[model, mode]
+    modes = sorted(m for k, m in VARIANT_LABELS if k == model)
+    raise ValueError(f"{model!r} takes the modes {modes}, not {mode!r}" if modes else f"no model {model!r}")

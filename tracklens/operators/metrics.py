@@ -36,6 +36,32 @@ def failure_type(pred: Column, truth: Column, status: Column) -> Column:
     )
 
 
+#: Parts of a status and the class of a high error, in order of precedence; an area ratio below which a box has collapsed.
+CLASSES = (
+    ("LOWFIT", "LOWFIT"), ("LOWCAND", "LOWCAND"), ("DISP", "HIGH_DISPERSION"), ("PHASEEARLY", "PHASEEARLY_RESIDUAL"), ("PHASEGROWTH", "PHASEGROWTH_RESIDUAL"), ("PHASESTABLE", "PHASESTABLE_RESIDUAL"),
+    ("PHASELATE", "PHASELATE_RESIDUAL"), ("CURGUARD", "CURRENT_BBOX_GUARD_RESIDUAL"), ("HISTGUARD", "HISTORY_BBOX_GUARD_RESIDUAL"),
+)
+COLLAPSED_AREA = 0.20
+
+
+def failure_class(status: Column, truth: Column, error: Column, over: Column, collapses: Column, area: Column, high: float = HIGH_ERROR) -> Column:
+    """What made an error: its class by the status' first part of CLASSES, else by unguarded collapses, else by family, with
+    the side on which it lies (``over``: estimate over truth, unknown being under); errors up to ``high`` by whether a guard repaired them."""
+    low = F.when(status.contains("CURGUARD") | status.contains("HISTGUARD"), "REPAIRED_LOW_ERROR_GUARD_SAMPLE").otherwise("LOW_ERROR_ACCEPTED")
+    kind = F
+    for part, name in CLASSES:
+        kind = kind.when(status.contains(part), name)
+    family = status_family(status, truth)
+    kind = kind.when(area < COLLAPSED_AREA, "UNGUARDED_CURRENT_BBOX_COLLAPSE").when(collapses > 0, "UNGUARDED_HISTORY_BBOX_COLLAPSE").when(family == "HIGH_CONF_Q25", "APPARENT_HIGH_CONF_GEOMETRY").otherwise(F.concat(F.lit("OTHER_"), family))
+    side = F.when(over >= 1, "OVER").otherwise("UNDER")
+    return F.when(error.isNull(), "NO_VALID_PREDICTION").when(error <= high, low).otherwise(F.concat_ws("_", kind, side))
+
+
+def failure_flags(over: Column, collapses: Column, area: Column) -> Column:
+    """The signs that hold, joined by |."""
+    return F.concat_ws("|", F.when(area < COLLAPSED_AREA, "current_bbox_collapse_signal"), F.when(collapses > 0, "history_bbox_collapse_signal"), F.when(over >= 1, "overestimate").when(over.isNotNull(), "underestimate"))
+
+
 def run_summary(metrics: DataFrame) -> DataFrame:
     """Per sequence and, in the row of null seq, over all: one pass by rollup."""
     ok = F.col("status").startswith("OK") & F.col("pred").isNotNull()

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import features as fn
-from ..operators import gates, looming
+from ..operators import gates, looming, metrics
 from ..operators import surface as ops
 from ..operators.joins import asof_interpolate, interval_join
 from ..sources.driver import DAY_US, GROUND_TRUTH_SQL, events, ground_truth, intervals, tracks
 from . import looming_sql as sql
 from .cues import _CUES, _FALL, _cues, _fallback
-from .evaluation import _M, evaluated
+from .evaluation import _FAMILY, _M, _sql, evaluated
 from .events import _BASE, TAU_US, _confidence, _regions, _surface
-from .features import _RATED, _SIGNS, TRIPLE_SHARES, signs
+from .features import _RATED, _SIGNS, QUANTILES, TRIPLE_SHARES, rated, signs
 from .quality import _V1
 from .registry import query
 
@@ -195,3 +195,46 @@ def surface_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
         "seq", "idx", F.to_json(p["roi_xyxy"]).alias("roi"), p["roi_event_count"].alias("events"), p["active_pixel_count"].alias("active"), F.round(p["confidence"]["global_confidence"], 6).alias("whole"),
         F.to_json(p["confidence"]["selected_cell_indices"]).alias("cells"), F.to_json(p["local_stats"]["event_count_grid"]).alias("event_count"), *[micro(g).alias(n) for n, g in grids.items()],
     )
+
+
+_CLASS = f"""CASE WHEN error IS NULL THEN 'NO_VALID_PREDICTION' WHEN error <= 50 THEN CASE WHEN contains(status, 'CURGUARD') OR contains(status, 'HISTGUARD') THEN 'REPAIRED_LOW_ERROR_GUARD_SAMPLE' ELSE 'LOW_ERROR_ACCEPTED' END
+  ELSE CASE {" ".join(f"WHEN contains(status, '{a}') THEN '{b}'" for a, b in metrics.CLASSES)} WHEN ratio < 0.2::DOUBLE THEN 'UNGUARDED_CURRENT_BBOX_COLLAPSE' WHEN collapses > 0 THEN 'UNGUARDED_HISTORY_BBOX_COLLAPSE' WHEN {_FAMILY} = 'HIGH_CONF_Q25' THEN 'APPARENT_HIGH_CONF_GEOMETRY'
+  ELSE 'OTHER_' || {_FAMILY} END || CASE WHEN pred / truth >= 1 THEN '_OVER' ELSE '_UNDER' END END"""
+_FLAGS = "concat_ws('|', CASE WHEN ratio < 0.2::DOUBLE THEN 'current_bbox_collapse_signal' END, CASE WHEN collapses > 0 THEN 'history_bbox_collapse_signal' END, CASE WHEN truth > 0 AND pred / truth >= 1 THEN 'overestimate' WHEN truth > 0 AND pred IS NOT NULL THEN 'underestimate' END)"
+
+
+def _classes_sql(number: int) -> str:
+    return f"""{_sql(number)}, seen AS ({sql.estimate(looming.VARIANTS[number], ("n_rows - n_kept AS collapses", "ratio"))}), j AS (SELECT m.*, collapses, ratio FROM m JOIN seen ON seen.seq = m.seq AND seen.start = m.start) SELECT seq, start, {_CLASS} AS class, {_FLAGS} AS flags FROM j"""
+
+
+def _classes(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
+    boxes, v = tracks(spark, sf_dir), looming.VARIANTS[number]
+    truth = asof_interpolate(boxes.select("seq", F.col("label_id").alias("start"), "ts"), ground_truth(spark, sf_dir), "ts", 0.1).select("seq", "start", F.col("v").alias("truth"))
+    rows = looming.estimated(looming.histories(boxes, v), v).join(truth, ["seq", "start"])
+    error, over = metrics.error_pct(F.col("ttc"), F.col("truth")), F.when(F.col("truth") > 0, F.col("ttc") / F.col("truth"))
+    collapses = F.col("n_rows") - F.col("n_kept")
+    return rows.select("seq", "start", metrics.failure_class(F.col("status"), F.col("truth"), error, over, collapses, F.col("ratio")).alias("class"), metrics.failure_flags(over, collapses, F.col("ratio")).alias("flags"))
+
+
+@query("failure_classes", _classes_sql(13))
+def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each of the last variant's estimates is as wrong as it is, with the signs that hold."""
+    return _classes(spark, sf_dir, 13)
+
+
+@query("failure_classes_unguarded", _classes_sql(4))
+def failure_classes_unguarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the variant without gates or guards, whose collapses nothing repairs."""
+    return _classes(spark, sf_dir, 4)
+
+
+_ALLOWED = ("seq", "start", "status", "pred", "fold", "n", "max_fit", *[f"q{k}" for k in QUANTILES], "collapses", "ratio", "pred_spread", "ratio_prev", "family", "name")
+
+
+@query("allowed_features", f"{_RATED} SELECT unnest({list(_ALLOWED)}) AS feature, unnest([{', '.join(f'count({c})' for c in _ALLOWED)}]) AS n FROM rated")
+def allowed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a learner may read of the rated estimates, and in how many rows it is known."""
+    rows = rated(spark, sf_dir)
+    columns = fn.without_truth(rows.columns)
+    counts = rows.agg(*[F.count(c).alias(c) for c in columns])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n")) for c in columns])))
