@@ -67,7 +67,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     fell = fell.select("seq", _place().alias("start"), F.col("ttc").alias("fallback"), F.col("status").alias("fell"), "fell_confidence")
     boxes = tracks(spark, sf_dir)
     truth = asof_interpolate(boxes.select("seq", F.col("label_id").alias("start"), "ts"), ground_truth(spark, sf_dir), "ts", 0.1).select("seq", "start", F.col("v").alias("truth"))
-    rows = looming.estimated(looming.histories(boxes, _V13), _V13, chosen=True).select("seq", "start", "status", "ttc", "n_rows", "fit_points", "slope", "ref")
+    rows = looming.estimated(boxes, _V13, chosen=True).select("seq", "start", "status", "ttc", "n_rows", "fit_points", "slope", "ref")
     return looming.records(rows.join(truth, ["seq", "start"]).join(fell, ["seq", "start"], "left"), _V13.back)
 
 
@@ -210,7 +210,7 @@ def _classes_sql(number: int) -> str:
 def _classes(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
     boxes, v = tracks(spark, sf_dir), looming.VARIANTS[number]
     truth = asof_interpolate(boxes.select("seq", F.col("label_id").alias("start"), "ts"), ground_truth(spark, sf_dir), "ts", 0.1).select("seq", "start", F.col("v").alias("truth"))
-    rows = looming.estimated(looming.histories(boxes, v), v).join(truth, ["seq", "start"])
+    rows = looming.estimated(boxes, v).join(truth, ["seq", "start"])
     error, over = metrics.error_pct(F.col("ttc"), F.col("truth")), F.when(F.col("truth") > 0, F.col("ttc") / F.col("truth"))
     collapses = F.col("n_rows") - F.col("n_kept")
     return rows.select("seq", "start", metrics.failure_class(F.col("status"), F.col("truth"), error, over, collapses, F.col("ratio")).alias("class"), metrics.failure_flags(over, collapses, F.col("ratio")).alias("flags"))

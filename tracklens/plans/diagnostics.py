@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import features as fn
 from ..operators import learning, metrics, surface
 from ..sources.shared import written
-from .evaluation import _FAILURE, _M, _sql, evaluated
+from .evaluation import _FAILURE, _M, _sql, evaluated, evaluated_each
 from .events import _ROI, _regions, _surface
 from .features import _RATED, _SIGNS, rated, signs
 from .registry import ORACLES, query
@@ -102,8 +102,6 @@ _EACH = " UNION ALL ".join(f"SELECT 'v{n}' AS method, * FROM ({_sql(n)} SELECT s
 @query("method_summaries", f"WITH a AS ({_EACH}) SELECT method, count(truth) AS gt_valid, count(*) FILTER (pred IS NOT NULL AND truth IS NOT NULL) AS est_valid, count(*) FILTER (NOT starts_with(status, 'OK')) AS failures, round(avg(CASE WHEN truth IS NOT NULL THEN abs(pred - truth) END), 5) AS mae, round(avg(error), 4) AS e_ttc FROM a GROUP BY 1")
 def method_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of several methods summed up side by side, in one pass over all."""
-    each = None
-    for n in (4, 6, 13):
-        rows = evaluated(spark, sf_dir, n).select(F.lit(f"v{n}").alias("method"), "status", "pred", "truth", "error")
-        each = rows if each is None else each.unionByName(rows)
+    rows = evaluated_each(spark, sf_dir, (4, 6, 13))
+    each = rows.select("truth", F.inline(F.array(*[F.struct(F.lit(f"v{n}").alias("method"), f"v{n}.*") for n in (4, 6, 13)])))
     return metrics.method_summary(each, "method")
