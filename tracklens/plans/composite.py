@@ -117,7 +117,7 @@ def _family_sql(features: list[str], shares: list[float], target: float, member:
 
 
 def _family_gate(spark: SparkSession, sf_dir: str, member: Column, features: list[str], least: int) -> DataFrame:
-    found = gates.family_gate(signs(spark, sf_dir)[0], member, features, TRIPLE_SHARES, 60.0, least)
+    found = gates.family_gate(signs(spark, sf_dir), member, features, TRIPLE_SHARES, 60.0, least)
     return found.select("fold", *[F.round(f, 4).alias(f) for f in features], "widened", "tested", "train_n", F.round("mean", 4).alias("mean"), "kept")
 
 

@@ -64,7 +64,7 @@ def probe_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an estimate was made from, beside how it failed."""
     failure = metrics.failure_type(F.col("pred"), F.col("truth"), F.col("status"))
-    rows = signs(spark, sf_dir)[0]
+    rows = signs(spark, sf_dir)
     return rows.select("seq", "start", "status", "family", failure.alias("failure"), F.coalesce(F.col("error") >= metrics.HIGH_ERROR, F.lit(False)).alias("high"), F.col("n").alias("candidates"), "max_fit", F.round("iqr", 5).alias("iqr"), "collapses", F.round("ratio", 5).alias("ratio"), F.round(F.col("pred") / F.col("truth"), 5).alias("over"))
 
 
@@ -78,7 +78,7 @@ def sequence_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each sequence its intervals, errors, and means of what its estimates were made from."""
     every = evaluated(spark, sf_dir, 13).groupBy("seq").agg(F.count("*").alias("intervals"))
     q = lambda p: F.round(F.percentile("error", F.lit(p)), 4)
-    told = signs(spark, sf_dir)[0].where("error IS NOT NULL").groupBy("seq").agg(
+    told = signs(spark, sf_dir).where("error IS NOT NULL").groupBy("seq").agg(
         F.count("error").alias("valid"), F.round(F.avg("error"), 4).alias("mean"), q(0.5).alias("median"), q(0.9).alias("p90"), F.count_if(F.col("error") > 50).alias("over50"),
         F.round(F.avg("n"), 4).alias("candidates"), F.round(F.avg("max_fit"), 4).alias("fit_points"), F.round(F.avg("iqr"), 5).alias("iqr"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import features as fn
 from ..operators import looming, metrics, surface
+from ..operators.quantiles import exact_quantiles
 from ..sources.driver import DAY_US, EVENTS_SQL, GROUND_TRUTH_SQL, TRACKS_SQL, events, ground_truth, tracks
 from ..sources.shared import written
 from .evaluation import _FAMILY, _M, evaluated
@@ -79,8 +80,7 @@ def guard_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept rows less those of low families that a guard rejects; limits are quantiles of the low families' rows, in a one-row table."""
     rows = rated(spark, sf_dir).select("n", "max_fit", "collapses", "error", F.col("name").startswith("CPNA").alias("low"), (F.col("pred") <= 3).alias("kept"), fn.abs_log_ratio(F.col("q75"), F.col("pred")).alias("smooth"))
     rows = written(rows, "guards")
-    low = lambda c, q: F.percentile(F.when(F.col("low"), F.col(c)), F.lit(q))
-    at = rows.agg(low("smooth", 0.75).alias("s75"), low("max_fit", 0.25).alias("f25"), low("n", 0.2).alias("n20")).withColumn("__one", F.lit(1))
+    at = exact_quantiles(rows.where("low"), [], {"s75": ("smooth", 0.75), "f25": ("max_fit", 0.25), "n20": ("n", 0.2)}).withColumn("__one", F.lit(1))
     known = rows.where("kept").withColumn("__one", F.lit(1)).join(F.broadcast(at), "__one")
     each = F.array(*[F.struct(F.lit(g).alias("policy"), F.coalesce(F.expr(f"NOT (low AND ({c}))"), F.lit(False)).alias("stays")) for g, c in _GUARDS.items()])
     kept = known.select("low", "error", F.inline(each)).where("stays")
