@@ -10,7 +10,7 @@ from ..functions import features as fn
 from ..operators import gates, looming, metrics
 from ..operators import surface as ops
 from ..operators.joins import asof_interpolate, interval_join
-from ..sources.driver import DAY_US, GROUND_TRUTH_SQL, events, ground_truth, intervals, tracks
+from ..sources.driver import DAY_US, GROUND_TRUTH_SQL, events, intervals, observed, tracks
 from . import looming_sql as sql
 from .cues import _CUES, _FALL, _cues, _fallback
 from .evaluation import _FAMILY, _M, _sql, evaluated
@@ -65,8 +65,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     conf = ops.global_confidence(_confidence(spark, sf_dir)).withColumnRenamed("confidence", "fell_confidence")
     fell = ops.predict_from_cues(_cues(spark, sf_dir), _fallback(spark, sf_dir)).join(conf, ["seq", "idx"])
     fell = fell.select("seq", _place().alias("start"), F.col("ttc").alias("fallback"), F.col("status").alias("fell"), "fell_confidence")
-    boxes = tracks(spark, sf_dir)
-    truth = asof_interpolate(boxes.select("seq", F.col("label_id").alias("start"), "ts"), ground_truth(spark, sf_dir), "ts", 0.1).select("seq", "start", F.col("v").alias("truth"))
+    boxes, series = observed(spark, sf_dir)
+    truth = asof_interpolate(boxes.select("seq", F.col("label_id").alias("start"), "ts"), series, "ts", 0.1).select("seq", "start", F.col("v").alias("truth"))
     rows = looming.estimated(boxes, _V13, chosen=True).select("seq", "start", "status", "ttc", "n_rows", "fit_points", "slope", "ref")
     return looming.records(rows.join(truth, ["seq", "start"]).join(fell, ["seq", "start"], "left"), _V13.back)
 
@@ -208,8 +208,8 @@ def _classes_sql(number: int) -> str:
 
 
 def _classes(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
-    boxes, v = tracks(spark, sf_dir), looming.VARIANTS[number]
-    truth = asof_interpolate(boxes.select("seq", F.col("label_id").alias("start"), "ts"), ground_truth(spark, sf_dir), "ts", 0.1).select("seq", "start", F.col("v").alias("truth"))
+    (boxes, series), v = observed(spark, sf_dir), looming.VARIANTS[number]
+    truth = asof_interpolate(boxes.select("seq", F.col("label_id").alias("start"), "ts"), series, "ts", 0.1).select("seq", "start", F.col("v").alias("truth"))
     rows = looming.estimated(boxes, v).join(truth, ["seq", "start"])
     error, over = metrics.error_pct(F.col("ttc"), F.col("truth")), F.when(F.col("truth") > 0, F.col("ttc") / F.col("truth"))
     collapses = F.col("n_rows") - F.col("n_kept")

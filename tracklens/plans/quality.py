@@ -11,7 +11,7 @@ from ..operators import looming, metrics
 from ..operators import quality_cues as ops
 from ..operators import surface as surf
 from ..operators.joins import asof_interpolate
-from ..sources.driver import DAY_US, GROUND_TRUTH_SQL, events, ground_truth, intervals, tracks
+from ..sources.driver import DAY_US, GROUND_TRUTH_SQL, events, ground_truth, intervals, observed, tracks
 from .cues import _CUES, _FALL, PIXELS, UNIT_US, _cues, _fallback
 from .evaluation import _sql
 from .events import _CONF, _confidence, _regions, _spans, _surface
@@ -127,9 +127,9 @@ def looming_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The box estimator; where it has no estimate, the event predictor of the interval at the same place in the sequence."""
     place = (F.row_number().over(Window.partitionBy("seq").orderBy("idx")) - 1).cast("bigint")
     fell = surf.predict_from_cues(_cues(spark, sf_dir), _fallback(spark, sf_dir)).select("seq", place.alias("start"), F.col("ttc").alias("fallback"), F.col("status").alias("fell"))
-    boxes = tracks(spark, sf_dir)
-    truth = asof_interpolate(boxes.select("seq", F.col("label_id").alias("start"), "ts"), ground_truth(spark, sf_dir), "ts", 0.1).select("seq", "start", F.col("v").alias("truth"))
-    rows = looming.estimate(boxes, 13).join(truth, ["seq", "start"]).join(fell, ["seq", "start"], "left")
+    boxes, series = observed(spark, sf_dir)
+    rows = looming.estimated(boxes, looming.VARIANTS[13]).select("seq", "start", "query_t", "status", "ttc")
+    rows = asof_interpolate(rows, series, "query_t", 0.1).withColumnRenamed("v", "truth").drop("query_t", "v_status").join(fell, ["seq", "start"], "left")
     return looming.with_fallback(rows).select("seq", "start", "status", F.round("ttc", 4).alias("ttc"), F.round(metrics.error_pct(F.col("ttc"), F.col("truth")), 3).alias("error"))
 
 
