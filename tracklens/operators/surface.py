@@ -54,6 +54,12 @@ def _cell(offset: Column, size: Column, k: int) -> Column:
     return sum((F.when(offset >= F.floor(F.lit(i) * size / k), 1).otherwise(0) for i in range(1, k)), F.lit(0))
 
 
+def _cell_area(h: Column, w: Column, k: int) -> Column:
+    """Pixels of the cell (row, col) of such a grid."""
+    edge = lambda i, n: F.floor(i * n / k)
+    return (edge(F.col("row") + 1, h) - edge(F.col("row"), h)) * (edge(F.col("col") + 1, w) - edge(F.col("col"), w))
+
+
 def region_stats(surface: DataFrame, regions: DataFrame) -> DataFrame:
     """regions plus n events, active pixels, occupancy and mean surface; zeros where an interval has no event in its region."""
     sums = surface.groupBy("seq", "idx").agg(F.sum("n").alias("n"), F.count("*").alias("active"), F.avg("surface").alias("mean"))
@@ -69,12 +75,19 @@ def grid_stats(surface: DataFrame, regions: DataFrame, k: int = 3) -> DataFrame:
         F.sum("n").alias("events"), F.count("*").alias("active"), F.avg("surface").alias("mean"), F.max("surface").alias("top"), F.min("surface").alias("low")
     )
     dense = regions.select("seq", "idx", "rx0", "ry0", "rx1", "ry1").withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    edge = lambda i, n: F.floor(i * n / k)
-    area = (edge(F.col("row") + 1, h) - edge(F.col("row"), h)) * (edge(F.col("col") + 1, w) - edge(F.col("col"), w))
-    out = dense.withColumn("area", area).join(have, ["seq", "idx", "row", "col"], "left").fillna(0, ["events", "active", "mean", "top", "low"])
+    out = dense.withColumn("area", _cell_area(h, w, k)).join(have, ["seq", "idx", "row", "col"], "left").fillna(0, ["events", "active", "mean", "top", "low"])
     return out.withColumn("ratio", F.col("active") / F.greatest(F.col("area"), F.lit(1))).select("seq", "idx", "row", "col", "events", "active", "ratio", "mean", "top", "low")
 
 
+def active_cells(surface: DataFrame, unit_us: float, k: int = 3) -> DataFrame:
+    """The cells of ``grid_stats`` that have events (events, active, ratio and mean), with the sums of the fit of ``expansion_cues``:
+    the surface is grouped once for grid, region and cues."""
+    h, w = F.col("ry1") - F.col("ry0"), F.col("rx1") - F.col("rx0")
+    cells = surface.withColumns({"row": _cell(F.col("y") - F.col("ry0"), h, k), "col": _cell(F.col("x") - F.col("rx0"), w, k)}).withColumn("area", _cell_area(h, w, k))
+    have = cells.groupBy("seq", "idx", "row", "col", "area").agg(F.sum("n").alias("events"), F.count("*").alias("active"), F.avg("surface").alias("mean"), *_sums(*_away(unit_us), F.col("surface")))
+    return have.withColumn("ratio", F.col("active") / F.greatest(F.col("area"), F.lit(1))).drop("area")
+
+
 def count_frames(rows: DataFrame, width: int = 100, height: int = 100, flip_x: bool = False, flip_y: bool = False, above: int = 0, log: bool = False) -> DataFrame:
     """seq, idx, x, y, n and brightness (0 to 255) of every pixel that has events in its window.
 
@@ -161,8 +174,18 @@ def selected_cells(conf: DataFrame, least: int = 1) -> DataFrame:
 
 def global_confidence(conf: DataFrame) -> DataFrame:
     """Cell confidences averaged by active pixels and events; 0 where nothing is active."""
+    return conf.groupBy("seq", "idx").agg(_averaged().alias("confidence"))
+
+
+def _averaged() -> Column:
     weight = F.greatest(F.col("events"), F.lit(1)) * F.col("active")
-    return conf.groupBy("seq", "idx").agg(F.coalesce(F.try_divide(F.sum(F.col("conf") * weight), F.sum(weight)), F.lit(0.0)).alias("confidence"))
+    return F.coalesce(F.try_divide(F.sum(F.col("conf") * weight), F.sum(weight)), F.lit(0.0))
+
+
+def cell_regions(conf: DataFrame, regions: DataFrame) -> DataFrame:
+    """regions plus what ``region_stats`` (n, active, mean) and ``global_confidence`` (confidence) give, from the confidences of ``active_cells``."""
+    sums = conf.groupBy("seq", "idx").agg(F.sum("events").alias("n"), F.sum("active").alias("active"), (F.sum("sw") / F.sum("active")).alias("mean"), _averaged().alias("confidence"))
+    return regions.join(sums, ["seq", "idx"], "left").fillna(0, ["n", "active", "mean", "confidence"])
 
 
 def weighted_median(rows: DataFrame, group: list[str], value: str, weight: str) -> DataFrame:
@@ -174,7 +197,14 @@ def weighted_median(rows: DataFrame, group: list[str], value: str, weight: str)
 
 def weighted_fit(rows: DataFrame, group: list[str], x: Column, y: Column, w: Column) -> DataFrame:
     """Weighted least squares of y on x per group, from sums; null slope without spread."""
-    sums = rows.groupBy(*group).agg(F.sum(w).alias("sw"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"), F.count("*").alias("points"))
+    return _line(rows.groupBy(*group).agg(*_sums(x, y, w)), group)
+
+
+def _sums(x: Column, y: Column, w: Column) -> list[Column]:
+    return [F.sum(w).alias("sw"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"), F.count("*").alias("points")]
+
+
+def _line(sums: DataFrame, group: list[str]) -> DataFrame:
     spread = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("sw")
     slope = F.when((F.col("points") >= 2) & (F.col("sw") > 0) & (F.abs(spread) >= 1e-12), (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("sw")) / spread)
     return sums.withColumn("slope", slope).withColumn("icept", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("sw")).select(*group, "points", "slope", "icept")
@@ -185,15 +215,30 @@ CUE_PIXELS, CUE_RADIUS, CUE_SLOPE, CUE_RANGE = 8, 3.0, 1.0, (0.05, 20.0)
 FALLBACK_SHARE = 0.35
 
 
+_CUE = ["seq", "idx", "row", "col", "conf"]
+
+
 def expansion_cues(surface: DataFrame, cells: DataFrame, unit_us: float, k: int = 3, pixels: int = CUE_PIXELS) -> DataFrame:
     """Per selected cell: a weighted fit of the pixels' distance from the box's
     centre on their age, its status, and the time to contact it gives."""
     h, w = F.col("ry1") - F.col("ry0"), F.col("rx1") - F.col("rx0")
     rows = surface.withColumns({"row": _cell(F.col("y") - F.col("ry0"), h, k), "col": _cell(F.col("x") - F.col("rx0"), w, k)})
     rows = rows.join(cells.select("seq", "idx", "row", "col", "conf"), ["seq", "idx", "row", "col"])
+    return _cues(weighted_fit(rows, _CUE, *_away(unit_us), F.col("surface")), pixels)
+
+
+def cell_cues(cells: DataFrame, pixels: int = CUE_PIXELS) -> DataFrame:
+    """``expansion_cues`` of selected ``active_cells``, from their sums."""
+    return _cues(_line(cells, _CUE), pixels)
+
+
+def _away(unit_us: float) -> tuple[Column, Column]:
+    """A pixel's age and its distance from the box's centre."""
     dx, dy = F.col("x") - (F.col("x1") + F.col("x2")) / 2, F.col("y") - (F.col("y1") + F.col("y2")) / 2
-    age = (F.col("last_us") - F.col("hi")) / F.lit(unit_us)
-    fits = weighted_fit(rows, ["seq", "idx", "row", "col", "conf"], age, F.sqrt(dx * dx + dy * dy), F.col("surface"))
+    return (F.col("last_us") - F.col("hi")) / F.lit(unit_us), F.sqrt(dx * dx + dy * dy)
+
+
+def _cues(fits: DataFrame, pixels: int) -> DataFrame:
     ttc = F.col("icept") / F.col("slope")
     status = (
         F.when(F.col("points") < pixels, "TOO_FEW_PIXELS").when(F.col("slope").isNull(), "FIT_FAIL").when(F.col("icept") <= CUE_RADIUS, "RADIUS_TOO_SMALL").when(F.col("slope") <= CUE_SLOPE, "NON_POSITIVE_EXPANSION")
@@ -204,12 +249,13 @@ def expansion_cues(surface: DataFrame, cells: DataFrame, unit_us: float, k: int
 
 def predict_from_cues(cues: DataFrame, fallback: DataFrame) -> DataFrame:
     """ttc and status of each interval: the weighted median of its good cues
-    blended with the fallback, the fallback alone without a cue."""
+    blended with the fallback, the fallback alone without a cue; other columns of the fallback go along."""
     weight = F.col("conf") * F.greatest(F.col("points"), F.lit(1))
     median = weighted_median(cues.where("status = 'OK'").withColumn("weight", weight), ["seq", "idx"], "ttc", "weight")
     both = fallback.join(median, ["seq", "idx"], "left")
     blend = (1 - FALLBACK_SHARE) * F.col("median") + FALLBACK_SHARE * F.col("fallback")
-    return both.select("seq", "idx", F.coalesce(blend, "median", "fallback").alias("ttc"), F.when(F.col("median").isNotNull(), "OK").when(F.col("fallback").isNotNull(), "OK_FALLBACK").otherwise("NO_VALID_FEATURE").alias("status"))
+    more = [c for c in fallback.columns if c not in ("seq", "idx", "fallback")]
+    return both.select("seq", "idx", *more, F.coalesce(blend, "median", "fallback").alias("ttc"), F.when(F.col("median").isNotNull(), "OK").when(F.col("fallback").isNotNull(), "OK_FALLBACK").otherwise("NO_VALID_FEATURE").alias("status"))
 
 
 #: A growing spread of events counts from this slope and size, within this range of times.

@@ -11,9 +11,10 @@ from ..operators import gates, looming, metrics
 from ..operators import surface as ops
 from ..operators.joins import asof_interpolate, interval_join
 from ..sources.driver import DAY_US, GROUND_TRUTH_SQL, events, intervals, observed, tracks
+from ..sources.shared import written
 from . import looming_sql as sql
-from .cues import _CUES, _FALL, _cues, _fallback
-from .evaluation import _FAMILY, _M, _sql, evaluated
+from .cues import _CUES, _FALL, predicted
+from .evaluation import _FAMILY, _M, _sql, evaluated, with_truth
 from .events import _BASE, TAU_US, _confidence, _regions, _surface
 from .features import _RATED, _SIGNS, QUANTILES, TRIPLE_SHARES, rated, signs
 from .quality import _V1
@@ -60,15 +61,16 @@ def _place() -> Column:
     return (F.row_number().over(Window.partitionBy("seq").orderBy("idx")) - 1).cast("bigint")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last variant's records, the event predictor of the interval at the same place in the sequence behind it."""
-    conf = ops.global_confidence(_confidence(spark, sf_dir)).withColumnRenamed("confidence", "fell_confidence")
-    fell = ops.predict_from_cues(_cues(spark, sf_dir), _fallback(spark, sf_dir)).join(conf, ["seq", "idx"])
-    fell = fell.select("seq", _place().alias("start"), F.col("ttc").alias("fallback"), F.col("status").alias("fell"), "fell_confidence")
+def records(spark: SparkSession, sf_dir: str, spans: DataFrame) -> DataFrame:
+    """The last variant's records, the event predictor of the interval (of ``spans``) at the same place in the sequence behind it.
+
+    Each part is written before the next is planned, so that the driver holds one part's plan at a time.
+    """
+    fell = predicted(spark, sf_dir, spans).select("seq", _place().alias("start"), F.col("ttc").alias("fallback"), F.col("status").alias("fell"), F.col("confidence").alias("fell_confidence"))
+    fell = written(fell, "fell")
     boxes, series = observed(spark, sf_dir)
-    truth = asof_interpolate(boxes.select("seq", F.col("label_id").alias("start"), "ts"), series, "ts", 0.1).select("seq", "start", F.col("v").alias("truth"))
-    rows = looming.estimated(boxes, _V13, chosen=True).select("seq", "start", "status", "ttc", "n_rows", "fit_points", "slope", "ref")
-    return looming.records(rows.join(truth, ["seq", "start"]).join(fell, ["seq", "start"], "left"), _V13.back)
+    rows = looming.estimated(boxes, _V13, chosen=True).select("seq", "start", "query_t", "status", "ttc", "n_rows", "fit_points", "slope", "ref")
+    return looming.records(with_truth(rows, series).join(fell, ["seq", "start"], "left"), _V13.back)
 
 
 @query(
@@ -79,7 +81,7 @@ def looming_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run writes of each sample; of debug_ref the part before the fit's decimals, which stand beside it."""
     known = F.col("truth").isNotNull()
     shown = F.when(F.col("debug_ref").startswith("fit_points="), F.substring_index("debug_ref", ";", 1)).otherwise(F.col("debug_ref"))
-    return records(spark, sf_dir).select(
+    return records(spark, sf_dir, intervals(spark, sf_dir)).select(
         "seq", "start", "status", F.round("ttc", 4).alias("ttc"), F.round("error_pct", 3).alias("error_pct"), F.round("confidence", 6).alias("confidence"), F.round("fallback_ttc", 4).alias("fallback_ttc"),
         shown.alias("debug"), F.when(known, F.round(F.col("ref") / F.col("slope"), 4)).alias("fit_ttc"), F.when(known, F.round(F.log("ref"), 6)).alias("log_ref"),
     )
@@ -92,8 +94,9 @@ def looming_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def box_aux_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each event interval the box estimate at its place as features of a learner; zeros where there is none."""
-    at = intervals(spark, sf_dir).select("seq", "idx", _place().alias("start"))
-    found = at.join(records(spark, sf_dir).select("seq", "start", "status", "ttc", "confidence"), ["seq", "start"], "left")
+    spans = written(intervals(spark, sf_dir), "intervals")
+    at = spans.select("seq", "idx", _place().alias("start"))
+    found = at.join(records(spark, sf_dir, spans).select("seq", "start", "status", "ttc", "confidence"), ["seq", "start"], "left")
     return found.select("seq", "idx", *[F.round(c, 6).alias(n) for n, c in fn.box_aux(F.col("status"), F.col("ttc"), F.col("confidence")).items()])
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as fn
 from ..operators import surface as ops
-from .events import _CONF, _confidence, _regions, _surface
+from ..sources.driver import DAY_US, events
+from ..sources.shared import written
+from .events import _CONF, TAU_US, _confidence, _regions, _surface
 from .registry import query
 
 #: Ages in days, so that slopes pass their gate; cells here are sparse.
@@ -29,9 +31,20 @@ def _cues(spark: SparkSession, sf_dir: str, days: int = 1) -> DataFrame:
 
 
 def _fallback(spark: SparkSession, sf_dir: str, days: int = 1) -> DataFrame:
+    return ops.region_stats(_surface(spark, sf_dir, days=days), _regions(spark, sf_dir, days)).select("seq", "idx", _density())
+
+
+def _density() -> Column:
     diagonal = F.sqrt(F.pow(F.col("x2") - F.col("x1"), F.lit(2)) + F.pow(F.col("y2") - F.col("y1"), F.lit(2)))
-    stats = ops.region_stats(_surface(spark, sf_dir, days=days), _regions(spark, sf_dir, days))
-    return stats.select("seq", "idx", fn.fallback_ttc(diagonal, F.col("n"), F.col("mean")).alias("fallback"))
+    return fn.fallback_ttc(diagonal, F.col("n"), F.col("mean")).alias("fallback")
+
+
+def predicted(spark: SparkSession, sf_dir: str, spans: DataFrame) -> DataFrame:
+    """seq, idx, confidence, ttc and status of the event predictor over ``intervals``: the events are read and their pixels grouped once."""
+    surface = ops.time_surface(ops.in_roi(events(spark, sf_dir), spans, DAY_US), TAU_US)
+    conf = ops.local_confidence(written(ops.active_cells(surface, UNIT_US), "cells"))
+    cues = ops.cell_cues(ops.selected_cells(conf.withColumn("conf", F.round("conf", 10))), PIXELS)
+    return ops.predict_from_cues(cues, ops.cell_regions(conf, ops.roi(spans)).select("seq", "idx", "confidence", _density()))
 
 
 @query("fallback_ttc", f"{_CUES}, {_FALL} SELECT seq, idx, round(fallback, 6) AS fallback FROM fall")
