@@ -81,7 +81,7 @@ def looming_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run writes of each sample; of debug_ref the part before the fit's decimals, which stand beside it."""
     known = F.col("truth").isNotNull()
     shown = F.when(F.col("debug_ref").startswith("fit_points="), F.substring_index("debug_ref", ";", 1)).otherwise(F.col("debug_ref"))
-    return records(spark, sf_dir, intervals(spark, sf_dir)).select(
+    return records(spark, sf_dir, written(intervals(spark, sf_dir), "intervals")).select(
         "seq", "start", "status", F.round("ttc", 4).alias("ttc"), F.round("error_pct", 3).alias("error_pct"), F.round("confidence", 6).alias("confidence"), F.round("fallback_ttc", 4).alias("fallback_ttc"),
         shown.alias("debug"), F.when(known, F.round(F.col("ref") / F.col("slope"), 4)).alias("fit_ttc"), F.when(known, F.round(F.log("ref"), 6)).alias("log_ref"),
     )
